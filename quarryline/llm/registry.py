@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, sharding, urlrules
+from . import decontam, langid, minhash, packing, pii, quality, sharding, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scrub(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
 #: The rules of the contract.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -64,6 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_packing": op2_packing,
+        "op4_line_frequency": op4_line_frequency,
+        "op5_disclosure": op5_disclosure,
+        "op7_decontamination": op7_decontamination,
+        "op8_language_id": op8_language_id,
         "op9_url_rules": op9_url_rules,
         "op10_feistel_shards": op10_feistel_shards,
     }
