@@ -99,15 +99,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     to the tasks while their texts have at most ``most_item_bytes``; beyond
     that the windows are joined as hashes (``joined_contamination``).
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).dropna()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    items = _items(benchmark, item_id, item_text)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if total > most_item_bytes:
+    if not _fits(items, most_item_bytes):
         return joined_contamination(own, items, size)
-    owners: dict[bytes, set[int]] = {}
-    for item, text in items.collect():
-        for p in windows_of(words_of(text.encode()), size):
-            owners.setdefault(p, set()).add(item)
+    owners = _owners(items, size)
     patterns = tuple(sorted(owners))
     of = [sorted(owners[p]) for p in patterns]
     lengths = [p.count(b" ") - 1 for p in patterns]
@@ -125,6 +121,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     return own.mapInArrow(run, SCHEMA)
 
 
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).dropna()
+
+
+def _fits(items: DataFrame, most: int) -> bool:
+    return items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= most
+
+
+def _owners(items: DataFrame, size: int) -> dict[bytes, set[int]]:
+    """The items of each window."""
+    owners: dict[bytes, set[int]] = {}
+    for item, text in items.collect():
+        for p in windows_of(words_of(text.encode()), size):
+            owners.setdefault(p, set()).add(item)
+    return owners
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most_item_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs."""
+    items = _items(benchmark, item_id, item_text)
+    if not _fits(items, most_item_bytes):
+        own = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).distinct()
+        bad = joined_contamination(own, items, size, keep_key=True).where("contaminated").select("key").distinct()
+        return docs.join(bad, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256) == bad["key"], "left_anti")
+    patterns = tuple(sorted(_owners(items, size)))
+    lengths = [p.count(b" ") - 1 for p in patterns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(patterns) if patterns else None
+        for batch in batches:
+            good = [not scan(raw.as_py(), machine, lengths)[1] for raw in batch.column("_text").cast(pa.binary())]
+            yield batch.filter(pa.array(good, pa.bool_())).select(names)
+
+    names = docs.columns
+    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+
+
 def _row(raw: bytes | None, n: int, hit: list[tuple[int, int]], items: set[int]) -> tuple:
     spans = []
     if hit:
@@ -143,7 +176,7 @@ def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
 
-def joined_contamination(own: DataFrame, items: DataFrame, size: int) -> DataFrame:
+def joined_contamination(own: DataFrame, items: DataFrame, size: int, keep_key: bool = False) -> DataFrame:
     """The same rows for any amount of items: windows of items and documents meet by their digest."""
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,5 +221,7 @@ def joined_contamination(own: DataFrame, items: DataFrame, size: int) -> DataFra
     keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
     texts = keyed.select("key", "text").dropDuplicates(["key"])
     hits = texts.mapInArrow(doc_windows, "key string, first long, window binary").join(wanted, "window")
+    if keep_key:
+        return hits.select("key", F.lit(True).alias("contaminated"))
     found = hits.groupBy("key").agg(F.collect_set(F.struct("item", "first", "length")).alias("found"))
     return keyed.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(finish, SCHEMA)

@@ -319,3 +319,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, id_c
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, one row per id, and those without an id."""
+    kept = near_duplicates(docs, id_col=id_col, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    return named.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))

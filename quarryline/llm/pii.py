@@ -257,6 +257,33 @@ def scrub(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     return own.mapInArrow(run, SCHEMA) if with_text else own.mapInArrow(run, SCHEMA).drop("clean")
 
 
+def sanitise(docs: DataFrame, text_col: str = "text", most_pairs: int = MOST_PAIRS, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+    """The documents with sanitised texts, all columns kept; a length in ``n_chars`` follows the text."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    pairs = checkpointed(disclosures(texts, "text", least_contexts, most_pairs=most_pairs))
+    many = pairs.count() > most_pairs
+    strong = {} if many else {(r[0], r[1]): r[2] for r in pairs.collect()}
+    own = docs.withColumn("_text", F.col(text_col).cast("string"))
+    if many:
+        keyed = own.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
+        lists = _found(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")), pairs)
+        own = keyed.join(lists, keyed["_key"] == lists["key"], "left").drop("key", "_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            own = [{(f["entity"], f["term"]): f["strength"] for f in fs or ()} for fs in batch.column("found").to_pylist()] if many else [strong] * len(texts)
+            found = [(t, base_spans(t), s) for t, s in zip(texts, own)]
+            clean = [sanitised(t, _with_terms(t, spans, s)) if spans else t for t, spans, s in found]
+            columns = {n: batch.column(n) for n in names} | {text_col: pa.array(clean, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t or "") for t in clean]).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    names = docs.columns
+    return own.mapInArrow(run, docs.schema)
+
+
 def _result(ids: pa.Array, texts: list[str | None], spans: list[list], with_text: bool) -> pa.RecordBatch:
     base = [[(a, b, k) for a, b, k, _ in s if k != "term"] for s in spans]
     count = lambda kind: pa.array([sum(k == kind for _, _, k in s) for s in base], pa.int64())
@@ -269,9 +296,8 @@ def _result(ids: pa.Array, texts: list[str | None], spans: list[list], with_text
     )
 
 
-def _joined(own: DataFrame, pairs: DataFrame, with_text: bool) -> DataFrame:
-    """The same rows with the judged pairs joined to the words near entities."""
-    keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+def _found(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each ``key`` of a text: the judged pairs that meet in it."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +307,12 @@ def _joined(own: DataFrame, pairs: DataFrame, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(e, pa.int64()), pa.array(t, pa.int64())], ["key", "entity", "term"])
 
     found = keyed.mapInArrow(near, "key string, entity long, term long").distinct().join(pairs, ["entity", "term"])
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("entity", "term", "strength")).alias("found"))
+    return found.groupBy("key").agg(F.collect_list(F.struct("entity", "term", "strength")).alias("found"))
+
+
+def _joined(own: DataFrame, pairs: DataFrame, with_text: bool) -> DataFrame:
+    """The same rows as ``scrub`` with the judged pairs joined to the words near entities."""
+    keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,5 +320,5 @@ def _joined(own: DataFrame, pairs: DataFrame, with_text: bool) -> DataFrame:
             strong = [{(f["entity"], f["term"]): f["strength"] for f in fs or ()} for fs in batch.column("found").to_pylist()]
             yield _result(batch.column("doc_id"), texts, [_with_terms(t, base_spans(t), s) if t else [] for t, s in zip(texts, strong)], with_text)
 
-    out = keyed.join(lists, "key", "left").select("doc_id", "text", "found").mapInArrow(run, SCHEMA)
+    out = keyed.join(_found(keyed.select("key", "text"), pairs), "key", "left").select("doc_id", "text", "found").mapInArrow(run, SCHEMA)
     return out if with_text else out.drop("clean")

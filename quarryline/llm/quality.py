@@ -72,18 +72,17 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         for batch in batches:
             hosts, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows = [measure(t, b"" if h is None else h.encode() + b"\n") for h, t in zip(hosts, texts)]
-            hashes = [xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts]
             n, chars, symbols, dup, repeat, lines, counts = zip(*rows) if rows else ((),) * 7
             long = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [long(range(at, at + len(texts))), batch.column(0), batch.column(1), long(hashes), long(n), long(chars), long(symbols), long(dup), long(repeat),
+                [long(range(at, at + len(texts))), batch.column(0), batch.column(1), batch.column(3), long(n), long(chars), long(symbols), long(dup), long(repeat),
                  pa.array(lines, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
                 ["row", "doc_id", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
             )
             at += len(texts)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, SCHEMA)
+    return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, SCHEMA)
 
 
 def _bounded(df: DataFrame, most: int) -> DataFrame:
@@ -162,3 +161,34 @@ def without_lines(text: str | None, removed: set[int], source: str | None) -> st
         if not own or xxhash.xxh3_64_intdigest(host + b" ".join(own)) - (1 << 63) not in removed:
             kept.append(line)
     return "\n".join(kept)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The documents that are kept, without the lines above their host's limit.
+
+    Has the columns of ``docs``; a length in ``n_chars`` follows the text.
+    """
+    key = {"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string")), "_host": F.col(host_col).cast("string")}
+    verdicts = (
+        judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+        .where("kept")
+        .select(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("source").alias("v_host"), F.col("removed_lines").alias("_removed"))
+        .dropDuplicates(["v_id", "v_hash", "v_host"])
+    )
+    own = docs.withColumns(key)
+    same = own["_hash"].eqNullSafe(verdicts["v_hash"]) & own["_id"].eqNullSafe(verdicts["v_id"]) & own["_host"].eqNullSafe(verdicts["v_host"])
+    joined = own.join(verdicts, same).drop("v_id", "v_hash", "v_host", "_id", "_hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                without_lines(t, set(r), h)
+                for t, r, h in zip(batch.column("_text").to_pylist(), batch.column("_removed").to_pylist(), batch.column("_host").to_pylist())
+            ]
+            columns = {n: batch.column(n) for n in names} | {text_col: pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t or "") for t in texts]).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    names = docs.columns
+    return joined.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, packing, pii, quality, sharding, urlrules
+from . import decontam, langid, minhash, packing, pii, quality, sharding, tokenstore, urlrules
+from ._common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    tokenstore.write_store(_table(spark, sf_dir, "documents"), path)
+    return tokenstore.verify_store(spark, path).drop("row")
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_packing": op2_packing,
+        "op3_token_store": op3_token_store,
         "op4_line_frequency": op4_line_frequency,
         "op5_disclosure": op5_disclosure,
         "op7_decontamination": op7_decontamination,

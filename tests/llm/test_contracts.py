@@ -325,3 +325,7 @@ def test_sharding_law_and_places(spark, docs, odd, empty):
         assert all(r.slot * 24 + r.shard == sharding.place_of(r.row, len(rows), 9) for r in got)
         assert [r.doc_id for r in sorted(got, key=lambda r: r.row)] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
     assert sharding.shard_rows(empty).count() == 0
+
+
+def base_of(text):
+    return text.split("\n", 1)[1]
