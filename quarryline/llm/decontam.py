@@ -161,7 +161,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_c
 def _row(raw: bytes | None, n: int, hit: list[tuple[int, int]], items: set[int]) -> tuple:
     spans = []
     if hit:
-        at = [m.span() for m in WORD.finditer(raw.decode())]
+        at = [m.span() for m in WORD.finditer(raw.lower().decode())]  # bytes.lower changes A-Z only
         spans = [{"start": at[first][0], "end": at[end - 1][1]} for first, end in hit]
     return n, sum(end - first for first, end in hit), len(items), digest(items), bool(hit), sorted(items), spans
 

@@ -266,6 +266,9 @@ def test_decontamination_matches_brute_force(spark, docs, odd, empty):
         assert Counter(tuple(r)[:6] for r in got.collect()) == brute
     span = next(r for r in decontam.contamination(odd, bench).collect() if r.doc_id == 12)
     assert [odd_rows()[12][1][s.start : s.end] for s in span.spans] == ["日本語 テキスト é"][: len(span.spans)]
+    upper = spark.createDataFrame([(1, "Éa LAMBDA Mu, alpha; Beta GAMMA delta epsilon zeta eta theta IOTA. End")], "doc_id long, text string")
+    one = decontam.contamination(upper, bench).first()
+    assert [upper.first().text[s.start : s.end] for s in one.spans] == ["LAMBDA Mu, alpha; Beta GAMMA delta epsilon zeta eta theta IOTA"]
     assert decontam.contamination(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontam.contamination(odd, bench.where("false")).collect())
 
