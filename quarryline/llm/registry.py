@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, packing, pii, quality, sharding, tokenstore, urlrules
+from . import decontam, langid, minhash, packing, pii, quality, sharding, substrings, tokenstore, urlrules
 from ._common import scratch_path
 
 
@@ -38,6 +38,10 @@ def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scrub(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_line_frequency": op4_line_frequency,
         "op5_disclosure": op5_disclosure,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_language_id": op8_language_id,
         "op9_url_rules": op9_url_rules,
