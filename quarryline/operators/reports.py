@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,12 +96,8 @@ def keep_threshold(df: DataFrame, value: str, rate: float = 0.97, least: int = 8
 
 def bootstrap(df: DataFrame, successes: str, total: str, name: str, draws: int = 1000) -> DataFrame:
     """5th and 95th percentile of a binomial bootstrap, seeded by the checksum of the row's name."""
-    import pandas as pd
-
     @F.pandas_udf("lower double, upper double")
     def bounds(s: pd.Series, n: pd.Series, seed: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
         out = []
         for k, m, x in zip(s, n, seed):
             rates = np.random.default_rng(int(x)).binomial(int(m), k / m, size=draws) / m if m else np.full(2, np.nan)
