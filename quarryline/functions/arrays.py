@@ -94,4 +94,5 @@ def wilson(successes: Column, total: Column, z: float = WILSON_Z) -> tuple[Colum
     low = 1.0 + z2 / n
     center = (p + z2 / (2.0 * n)) / low
     margin = z * F.sqrt((p * (1.0 - p) + z2 / (4.0 * n)) / n) / low
-    return F.greatest(F.lit(0.0), center - margin), F.least(F.lit(1.0), center + margin)
+    # greatest and least skip nulls
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), center - margin)), F.when(n.isNotNull(), F.least(F.lit(1.0), center + margin))

@@ -29,7 +29,7 @@ def zero_filled_counts(t):
     return reports.zero_filled(dims, ["n_nationkey", "event_type"], rows).select("n_name", "event_type", "n")
 
 
-@query("split_counts", "SELECT lang, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n, sum(n_chars) AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY 1, 2")
+@query("split_counts", "SELECT lang, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY 1, 2")
 def split_counts(t):
     split = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "val").otherwise("train")
     return t.documents.groupBy("lang", split.alias("split")).agg(rows_count().alias("n"), F.sum("n_chars").alias("chars"), F.count_distinct("source").alias("sources"))
@@ -77,7 +77,7 @@ RULES = [(1, "rows", ">=", 1000.0), (2, "langs", "=", 4.0), (3, "empty_rate", "<
 @query(
     "gate_report",
     f"""WITH m AS (SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'langs', count(DISTINCT lang) FROM documents UNION ALL SELECT 'empty_rate', avg(CASE WHEN n_chars = 0 THEN 1.0 ELSE 0.0 END) FROM documents UNION ALL SELECT 'max_chars', max(n_chars) FROM documents)
-    SELECT seq, r.metric, value, coalesce(CASE op WHEN '>=' THEN value >= bound WHEN '<=' THEN value <= bound WHEN '=' THEN value = bound END, false) AS passed FROM (VALUES {values_sql(RULES)}) AS r(seq, metric, op, bound) LEFT JOIN m USING (metric)""",
+    SELECT CAST(seq AS BIGINT) AS seq, r.metric, value, coalesce(CASE op WHEN '>=' THEN value >= bound WHEN '<=' THEN value <= bound WHEN '=' THEN value = bound END, false) AS passed FROM (VALUES {values_sql(RULES)}) AS r(seq, metric, op, bound) LEFT JOIN m USING (metric)""",
 )
 def gate_report(t):
     one = t.documents.agg(rows_count().cast("double").alias("rows"), F.count_distinct("lang").cast("double").alias("langs"), F.avg(F.when(F.col("n_chars") == 0, 1.0).otherwise(0.0)).alias("empty_rate"), F.max("n_chars").cast("double").alias("max_chars"))

@@ -12,10 +12,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Readable rows, and the lines that aren't."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumn("_bad", F.col("_corrupt_record"))
-    return rows.where("_bad IS NULL").drop("_corrupt_record", "_bad"), rows.where("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+    """Readable rows, and the lines that aren't; blank lines are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.withColumn("_row", F.from_json("line", f"{schema}, _corrupt_record string", options))
+    bad = F.col("_row._corrupt_record").isNotNull()
+    return parsed.where(~bad).select("_row.*").drop("_corrupt_record"), parsed.where(bad).select("line")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
