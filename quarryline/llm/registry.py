@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, packing, pii, quality, sharding, substrings, tokenstore, urlrules
+from . import decontam, langid, minhash, oracles, packing, pii, quality, sharding, substrings, tokenstore, urlrules
 from ._common import scratch_path
 
 
@@ -65,26 +65,6 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
-OP9_SQL = """
-WITH rules(says, rhost, rpath) AS (VALUES {values}),
-rest AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
-),
-own AS (
-  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM rest
-),
-fit AS (
-  SELECT page_id, host, path, rhost || rpath AS rule, says,
-         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC) AS n
-  FROM own JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
-)
-SELECT o.page_id, o.host, o.path, f.rule, coalesce(f.says, 'allow') AS verdict
-FROM own o LEFT JOIN fit f ON f.n = 1 AND f.page_id = o.page_id AND f.host = o.host AND f.path = o.path
-""".format(values=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES))
-
-
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents")).drop("row")
 
@@ -105,4 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_rules": OP9_SQL}
+    return {
+        "op1_minhash": oracles.OP1,
+        "op4_line_frequency": oracles.OP4,
+        "op7_decontamination": oracles.OP7,
+        "op9_url_rules": oracles.op9(URL_RULES),
+    }

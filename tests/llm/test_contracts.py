@@ -332,3 +332,18 @@ def test_sharding_law_and_places(spark, docs, odd, empty):
 
 def base_of(text):
     return text.split("\n", 1)[1]
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    df, expected = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(expected.columns)
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
