@@ -131,12 +131,11 @@ class _Induction:
 def _kinds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix whether it is smaller than the next one (S), and its run of equal bytes."""
     n = len(text)
-    last = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    end = last[np.searchsorted(last, np.arange(n))]
-    after = np.append(text[1:], 0)
-    small = text[end] < after[end]
-    small[n - 1] = True
-    return small, (end - np.arange(n) + 1).astype(np.int32)
+    last = np.flatnonzero(np.append(text[1:] != text[:-1], True)).astype(np.int32)
+    size = np.diff(last, prepend=np.int32(-1))
+    end = np.repeat(last, size)
+    small = np.repeat(np.append(text[last[:-1]] < text[last[:-1] + 1], True), size)
+    return small, end - np.arange(n, dtype=np.int32) + np.int32(1)
 
 
 def _by_prefix(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +183,8 @@ def suffix_order(text: np.ndarray, depth: int = 50, limit: int = 4_000_000) -> t
     if n == 1:
         return np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
     small, run = _kinds(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + np.int32(1)
+    del small
     seeds, seed_shared = _by_prefix(text, lms, depth)
     bounds = np.searchsorted(text[seeds], np.arange(257))
     seam = lambda a, b: np.int32(min(run[a], run[b]))

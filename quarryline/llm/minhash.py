@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from ._common import components, written
 from .words import mixed, shingle_set
 
@@ -77,6 +78,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, n_shingles, key_a, key_b, sig`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             n, a, b, sig = [], [], [], []
             for text in batch.column(1).cast(pa.binary()):

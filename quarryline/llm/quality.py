@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from ._common import checkpointed, written
 from .words import windows, word_hashes
 
@@ -68,6 +69,7 @@ def measure(text: str | None, host: bytes) -> tuple:
 
 def features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
             hosts, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()

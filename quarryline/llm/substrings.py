@@ -35,9 +35,9 @@ from .words import mixed
 #: Bytes of a k-gram for strings of 50 bytes.
 GRAM = 20
 #: Anchors, and bytes of segments, that a task gathers before it sends them.
-MOST_ANCHORS, MOST_SEGMENTS = 4_000_000, 24_000_000
+MOST_ANCHORS, MOST_SEGMENTS = 1_000_000, 8_000_000
 #: Bytes of text for each bucket of anchors and each shard of segments.
-BYTES_PER_BUCKET, BYTES_PER_SHARD = 32_000_000, 16_000_000
+BYTES_PER_BUCKET, BYTES_PER_SHARD = 16_000_000, 4_000_000
 
 ROWS = "place int, payload binary, doc_id long, text_hash long, found binary"
 
@@ -74,7 +74,8 @@ def anchors(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.n
         reach += step
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     last = np.append(first[1:], len(at)) - 1
-    return hashes[at[first]], first, last
+    # least hashes crowd near 0; mixed again they are spread evenly over the buckets
+    return mixed(hashes[at[first]] + np.uint64(1)), first, last
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -219,7 +220,7 @@ def _sent_segments(length: int, bits: int, shards: int):
                     else:  # again in the same document
                         known[content, (doc, text_hash, a)] = (doc, text_hash, a, h)
                         held += len(content)
-                if held > MOST_SEGMENTS or len(gone) > 1_000_000:
+                if held > MOST_SEGMENTS or len(gone) > 200_000:
                     yield _rows(send(known) + _ranges(gone, shards))
                     known, gone, held = {}, [], 0
         yield _rows(send(known) + _ranges(gone, shards))
@@ -252,7 +253,7 @@ def repeated_ranges(lengths: np.ndarray, doc: np.ndarray, content: np.ndarray, l
     gone = np.zeros(len(text), bool)
     gone[order] = smallest < owner
     room = start + lengths - length  # the last start of a whole string in each segment
-    gone[:-1] &= np.arange(len(text) - 1) <= room[segment]
+    gone[:-1] &= np.arange(len(text) - 1, dtype=np.int32) <= room.astype(np.int32)[segment]
     at = np.flatnonzero(gone)
     if not len(at):
         return (np.empty(0, np.int64),) * 3

@@ -12,6 +12,8 @@ from __future__ import annotations
 import functools
 import re
 
+from . import words
+
 #: Letters, digits and white space among the characters that don't go to the library whole.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-įı-ˁˆ-ˑˠ-ˤˬˮ", "0-9²³¹¼-¾", "\t-\r "
 _OTHER = re.compile("[^\t-\r -~¡-įı-˿]")
@@ -19,7 +21,7 @@ _OTHER = re.compile("[^\t-\r -~¡-įı-˿]")
 _WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Words and pieces remembered at most; then the memory starts anew.
-MOST_KNOWN = 1_500_000
+MOST_KNOWN = 1_200_000
 
 
 def vocabulary(name: str) -> str:
@@ -98,6 +100,16 @@ class PieceEncoder:
 
 
 @functools.cache
-def encoder(path: str, lower: bool) -> PieceEncoder:
-    """One encoder for each worker process."""
+def _encoder(path: str, lower: bool) -> PieceEncoder:
     return PieceEncoder(path, lower)
+
+
+def encoder(path: str, lower: bool) -> PieceEncoder:
+    """One encoder for each worker process, which gives back what it remembers for other work."""
+    words.forget()
+    return _encoder(path, lower)
+
+
+def forget() -> None:
+    """Drops the encoders of a worker process that goes on to other work."""
+    _encoder.cache_clear()

@@ -11,7 +11,7 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 _PLACE = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(1, 17)], dtype=np.uint64)
 
 #: Words remembered at most; then the memory starts anew.
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 300_000
 
 
 class _Hashes(dict):
@@ -23,6 +23,11 @@ class _Hashes(dict):
 _KNOWN = _Hashes()
 
 
+def forget() -> None:
+    """Gives back what is remembered; a worker process that goes on to other work calls it."""
+    _KNOWN.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_KNOWN) > MOST_KNOWN:
         _KNOWN.clear()
