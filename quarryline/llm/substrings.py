@@ -187,11 +187,12 @@ def _sent_segments(length: int, bits: int, shards: int):
     def send(known: dict) -> list[tuple]:
         by_shard: dict[int, list] = {}
         for (content, _), (doc, text_hash, first, h) in known.items():
-            by_shard.setdefault(h % shards, []).append((content, doc, text_hash, first))
+            by_shard.setdefault(h % shards, []).append((h // shards & 0xFFFFFFFF, content, doc, text_hash, first))
         rows = []
         for shard, parts in by_shard.items():
-            content, doc, text, first = zip(*parts)
-            rows.append((shard, _pack(np.array([len(c) for c in content], np.uint32), np.array(doc, np.int64), np.array(text, np.int64), np.array(first, np.int64), np.frombuffer(b"".join(content), np.uint8)), None, None, None))
+            parts.sort()  # like contents side by side
+            mark, content, doc, text, first = zip(*parts)
+            rows.append((shard, _pack(np.diff(np.array(mark, np.uint32), prepend=np.uint32(0)), np.array([len(c) for c in content], np.uint32), np.array(doc, np.int64), np.array(text, np.int64), np.array(first, np.int64), np.frombuffer(b"".join(content), np.uint8)), None, None, None))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +201,8 @@ def _sent_segments(length: int, bits: int, shards: int):
         gone: list[tuple] = []
         for batch in batches:
             for doc, text_hash, raw, lists in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("lists").to_pylist()):
+                if doc is None:  # its key is that of document 0
+                    continue
                 raw = raw.as_py()
                 told = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists]))
                 hashes, first, last = anchors(raw, length)
@@ -263,15 +266,46 @@ def repeated_ranges(lengths: np.ndarray, doc: np.ndarray, content: np.ndarray, l
     return s, first - start[s], last - start[s] + length
 
 
+def distinct_ranges(mark: np.ndarray, lengths: np.ndarray, doc: np.ndarray, content: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``repeated_ranges`` of segments that may be equal: each distinct content is sorted once, for its smallest document.
+
+    A larger document loses the whole segment. ``mark`` tells anchors apart;
+    strings of different anchors differ, so an anchor with one content only
+    has nothing to be compared with.
+    """
+    ends = np.cumsum(lengths)
+    raw, known = content.tobytes(), {}
+    number = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int64, len(lengths))
+    low = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(low, number, doc)
+    copy = doc > low[number]
+    own = np.flatnonzero(~copy)
+    own = own[np.argsort(number[own], kind="stable")]
+    lead = own[np.append(True, np.diff(number[own]) > 0)]  # by number
+    _, anchor, contents = np.unique(mark[lead], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(contents[anchor] > 1)
+    s = a = b = np.empty(0, np.int64)
+    if len(several):
+        texts = list(known)
+        s, a, b = repeated_ranges(lengths[lead[several]], low[several], np.frombuffer(b"".join([texts[i] for i in several.tolist()]), np.uint8), length)
+        s = several[s]
+    start = np.searchsorted(number[own], s)
+    each = np.searchsorted(number[own], s, side="right") - start  # places of a content in its smallest document
+    place = np.repeat(start - np.cumsum(each) + each, each) + np.arange(each.sum())
+    whole = np.flatnonzero(copy)
+    return np.append(whole, own[place]), np.append(np.zeros(len(whole), np.int64), np.repeat(a, each)), np.append(lengths[whole], np.repeat(b, each))
+
+
 def _sorted_shards(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["place"]):
             told = [(0, None, *r) for r in zip(t.column("doc_id").to_pylist(), t.column("text_hash").to_pylist(), t.column("found").to_pylist()) if r[0] is not None]
             lists = [_unpack(p) for p in t.column("payload").to_pylist() if p is not None]
             if lists:
-                sizes, doc, text, first, content = (np.concatenate(c) for c in zip(*lists))
-                s, a, b = repeated_ranges(sizes.astype(np.int64), doc, content, length)
-                told += _ranges(list(zip(doc[s].tolist(), text[s].tolist(), (first[s] + a).tolist(), (first[s] + b).tolist())), 1) if len(s) else []
+                mark = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in lists])
+                sizes, doc, text, first, content = (np.concatenate(c) for c in zip(*(x[1:] for x in lists)))
+                row, a, b = distinct_ranges(mark, sizes.astype(np.int64), doc, content, length)
+                told += _per_document(doc[row], text[row], np.stack([first[row] + a, first[row] + b], axis=1), 1)
             yield _rows(told)
 
     return run
@@ -316,19 +350,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     gives an empty one; other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = own.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    usable = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    # both joins with the texts use columns without nulls, so that one exchange of the texts serves both
+    keyed = own.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+    usable = keyed.drop("key").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # with 12 bits more than there are bytes, a chance agreement of anchors is one in tens of thousands
     bits = min(64, max(32, int(size).bit_length() + 12))
     buckets, shards = 1 + size // BYTES_PER_BUCKET, 1 + size // BYTES_PER_SHARD
     at_place = lambda df: df.repartition("place").sortWithinPartitions("place")
     told = at_place(usable.mapInArrow(_sent_anchors(length, bits, buckets), ROWS)).mapInArrow(_shared_anchors, ROWS)
-    lists = told.groupBy("doc_id", "text_hash").agg(F.collect_list("found").alias("lists"))
-    cut = usable.join(lists, ["doc_id", "text_hash"]).mapInArrow(_sent_segments(length, bits, shards), ROWS)
+    lists = told.groupBy(F.col("doc_id").alias("key"), "text_hash").agg(F.collect_list("found").alias("lists"))
+    cut = keyed.join(lists, ["key", "text_hash"]).drop("key").mapInArrow(_sent_segments(length, bits, shards), ROWS)
     gone = at_place(cut).mapInArrow(_sorted_shards(length), ROWS)
-    ranges = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("found").alias("lists"))
-    same = ["doc_id", "text_hash"]
-    return keyed.join(ranges, same, "left").select("doc_id", "text", "lists").mapInArrow(
+    ranges = gone.groupBy(F.col("doc_id").alias("key"), "text_hash").agg(F.collect_set("found").alias("lists"))
+    joined = keyed.join(ranges, ["key", "text_hash"], "left")
+    return joined.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("lists")).alias("lists")).mapInArrow(
         _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
