@@ -37,7 +37,7 @@ GRAM = 20
 #: Anchors, and bytes of segments, that a task gathers before it sends them.
 MOST_ANCHORS, MOST_SEGMENTS = 1_000_000, 8_000_000
 #: Bytes of text for each bucket of anchors and each shard of segments.
-BYTES_PER_BUCKET, BYTES_PER_SHARD = 16_000_000, 4_000_000
+BYTES_PER_BUCKET, BYTES_PER_SHARD = 16_000_000, 8_000_000
 
 ROWS = "place int, payload binary, doc_id long, text_hash long, found binary"
 
@@ -109,6 +109,20 @@ def _per_document(doc: np.ndarray, text_hash: np.ndarray, value: np.ndarray, pla
     return [(int(text_hash[a] % places), None, int(doc[a]), int(text_hash[a]), value[a:b].tobytes()) for a, b in zip(new, ends)]
 
 
+def _by_home(doc: np.ndarray, text_hash: np.ndarray, value: np.ndarray, homes: int) -> list[tuple]:
+    """A packed row for each home place of documents, with their values."""
+    home = text_hash % homes
+    order = np.lexsort((value, text_hash, doc, home))
+    home, doc, text_hash, value = home[order], doc[order], text_hash[order], value[order]
+    used, cut = np.unique(home, return_index=True)
+    rows = []
+    for at, a, b in zip(used.tolist(), cut.tolist(), [*cut.tolist()[1:], len(home)]):
+        d, t = doc[a:b], text_hash[a:b]
+        new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))
+        rows.append((at, None, None, None, _pack(d[new], t[new], np.diff(np.append(new, b - a)).astype(np.int32), value[a:b])))
+    return rows
+
+
 def _sent_anchors(length: int, bits: int, buckets: int):
     shift = np.uint64(64 - bits)
 
@@ -127,7 +141,7 @@ def _sent_anchors(length: int, bits: int, buckets: int):
         several = doc[d[starts]] != doc[d[ends]]
         # two texts of one document: both must be told, so they count as settled only if other documents agree
         own = several[group]
-        rows = _per_document(doc[d[own]], text[d[own]], h[own], buckets)
+        rows = _by_home(doc[d[own]], text[d[own]], h[own], buckets)
         alone = ~own
         extra = alone & ~first
         h1, d1 = h[starts], d[starts]
@@ -161,28 +175,46 @@ def _sent_anchors(length: int, bits: int, buckets: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(homes: int):
     """Anchor hashes of each document that occur in another one too; what tasks settled passes through."""
-    for t in grouped(batches, ["place"]):
-        told = [r for r in zip(t.column("doc_id").to_pylist(), t.column("text_hash").to_pylist(), t.column("found").to_pylist()) if r[0] is not None]
-        lists = [_unpack(p) for p in t.column("payload").to_pylist() if p is not None]
-        if lists:
-            h = np.concatenate([np.cumsum(x[0]) for x in lists])
-            settled = np.concatenate([x[2] for x in lists]) > 0
-            doc = np.concatenate([x[3][x[1]] for x in lists])
-            text = np.concatenate([x[4][x[1]] for x in lists])
-            order = np.lexsort((doc, h))
-            h, settled, doc, text = h[order], settled[order], doc[order], text[order]
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            ends = np.append(starts[1:], len(h))
-            shared = (doc[starts] != doc[ends - 1]) | np.logical_or.reduceat(settled, starts)
-            on = np.repeat(shared, ends - starts) & ~settled
-            told += [r[2:] for r in _per_document(doc[on], text[on], h[on], 1)]
-        yield _rows([(0, None, *r) for r in told])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["place"]):
+            at = t.column("place")[0].as_py()
+            told = [(at, None, None, None, f) for f in t.column("found").to_pylist() if f is not None]
+            lists = [_unpack(p) for p in t.column("payload").to_pylist() if p is not None]
+            if lists:
+                h = np.concatenate([np.cumsum(x[0]) for x in lists])
+                settled = np.concatenate([x[2] for x in lists]) > 0
+                doc = np.concatenate([x[3][x[1]] for x in lists])
+                text = np.concatenate([x[4][x[1]] for x in lists])
+                order = np.lexsort((doc, h))
+                h, settled, doc, text = h[order], settled[order], doc[order], text[order]
+                starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                ends = np.append(starts[1:], len(h))
+                shared = (doc[starts] != doc[ends - 1]) | np.logical_or.reduceat(settled, starts)
+                on = np.repeat(shared, ends - starts) & ~settled
+                told += _by_home(doc[on], text[on], h[on], homes)
+            yield _rows(told)
+
+    return run
+
+
+def _collected(width: int):
+    """A row for each document of a home place, with its values, the low ``width`` bytes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["place"]):
+            lists = [_unpack(f) for f in t.column("found").to_pylist()]
+            doc, text = (np.concatenate([np.repeat(x[i], x[2]) for x in lists]) for i in (0, 1))
+            short = np.concatenate([x[3] for x in lists]).view(np.uint8).reshape(-1, 8)[:, :width]
+            yield _rows(_per_document(doc, text, short, 1))
+
+    return run
 
 
 def _sent_segments(length: int, bits: int, shards: int):
-    shift = np.uint64(64 - bits)
+    shift, width = np.uint64(64 - bits), (bits + 7) // 8
 
     def send(known: dict) -> list[tuple]:
         by_shard: dict[int, list] = {}
@@ -200,11 +232,12 @@ def _sent_segments(length: int, bits: int, shards: int):
         held = 0
         gone: list[tuple] = []
         for batch in batches:
-            for doc, text_hash, raw, lists in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("lists").to_pylist()):
+            for doc, text_hash, raw, found in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("found").to_pylist()):
                 if doc is None:  # its key is that of document 0
                     continue
                 raw = raw.as_py()
-                told = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists]))
+                short = np.frombuffer(found, np.uint8).reshape(-1, width)
+                told = np.unique(np.pad(short, ((0, 0), (0, 8 - width))).view(np.uint64).ravel())
                 hashes, first, last = anchors(raw, length)
                 hashes = hashes >> shift
                 on = told[np.minimum(np.searchsorted(told, hashes), len(told) - 1)] == hashes
@@ -224,18 +257,16 @@ def _sent_segments(length: int, bits: int, shards: int):
                         known[content, (doc, text_hash, a)] = (doc, text_hash, a, h)
                         held += len(content)
                 if held > MOST_SEGMENTS or len(gone) > 200_000:
-                    yield _rows(send(known) + _ranges(gone, shards))
+                    yield _rows(send(known) + _ranges(*np.array(gone, np.int64).reshape(-1, 4).T, shards))
                     known, gone, held = {}, [], 0
-        yield _rows(send(known) + _ranges(gone, shards))
+        yield _rows(send(known) + _ranges(*np.array(gone, np.int64).reshape(-1, 4).T, shards))
 
     return run
 
 
-def _ranges(gone: list[tuple], places: int) -> list[tuple]:
-    if not gone:
-        return []
-    doc, text, a, b = (np.array(c, np.int64) for c in zip(*gone))
-    return _per_document(doc, text, np.stack([a, b], axis=1), places)
+def _ranges(doc: np.ndarray, text_hash: np.ndarray, first: np.ndarray, end: np.ndarray, homes: int) -> list[tuple]:
+    """Packed rows of byte ranges, each as its first byte and its length in one number."""
+    return _by_home(doc, text_hash, first.astype(np.uint64) << np.uint64(32) | (end - first).astype(np.uint64), homes)
 
 
 def repeated_ranges(lengths: np.ndarray, doc: np.ndarray, content: np.ndarray, length: int, limit: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,16 +327,17 @@ def distinct_ranges(mark: np.ndarray, lengths: np.ndarray, doc: np.ndarray, cont
     return np.append(whole, own[place]), np.append(np.zeros(len(whole), np.int64), np.repeat(a, each)), np.append(lengths[whole], np.repeat(b, each))
 
 
-def _sorted_shards(length: int):
+def _sorted_shards(length: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["place"]):
-            told = [(0, None, *r) for r in zip(t.column("doc_id").to_pylist(), t.column("text_hash").to_pylist(), t.column("found").to_pylist()) if r[0] is not None]
+            at = t.column("place")[0].as_py()
+            told = [(at, None, None, None, f) for f in t.column("found").to_pylist() if f is not None]
             lists = [_unpack(p) for p in t.column("payload").to_pylist() if p is not None]
             if lists:
                 mark = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in lists])
                 sizes, doc, text, first, content = (np.concatenate(c) for c in zip(*(x[1:] for x in lists)))
                 row, a, b = distinct_ranges(mark, sizes.astype(np.int64), doc, content, length)
-                told += _per_document(doc[row], text[row], np.stack([first[row] + a, first[row] + b], axis=1), 1)
+                told += _ranges(doc[row], text[row], first[row] + a, first[row] + b, homes)
             yield _rows(told)
 
     return run
@@ -314,10 +346,12 @@ def _sorted_shards(length: int):
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for raw, lists in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lists").to_pylist()):
+        for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist()):
             raw = raw or b""
+            ranges = np.unique(np.frombuffer(found or b"", np.uint64))
+            first = ranges >> np.uint64(32)
             spans: list[list[int]] = []
-            for a, b in np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists]), axis=0).tolist() if lists else ():
+            for a, b in zip(first.tolist(), (first + (ranges & np.uint64(0xFFFFFFFF))).tolist()):
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
@@ -350,20 +384,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     gives an empty one; other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # half of the hash tells rows of one id apart;
     # both joins with the texts use columns without nulls, so that one exchange of the texts serves both
-    keyed = own.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+    keyed = own.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1)).alias("text_hash"), "text")
     usable = keyed.drop("key").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # with 12 bits more than there are bytes, a chance agreement of anchors is one in tens of thousands
     bits = min(64, max(32, int(size).bit_length() + 12))
     buckets, shards = 1 + size // BYTES_PER_BUCKET, 1 + size // BYTES_PER_SHARD
     at_place = lambda df: df.repartition("place").sortWithinPartitions("place")
-    told = at_place(usable.mapInArrow(_sent_anchors(length, bits, buckets), ROWS)).mapInArrow(_shared_anchors, ROWS)
-    lists = told.groupBy(F.col("doc_id").alias("key"), "text_hash").agg(F.collect_list("found").alias("lists"))
-    cut = keyed.join(lists, ["key", "text_hash"]).drop("key").mapInArrow(_sent_segments(length, bits, shards), ROWS)
-    gone = at_place(cut).mapInArrow(_sorted_shards(length), ROWS)
-    ranges = gone.groupBy(F.col("doc_id").alias("key"), "text_hash").agg(F.collect_set("found").alias("lists"))
+    told = at_place(usable.mapInArrow(_sent_anchors(length, bits, buckets), ROWS)).mapInArrow(_shared_anchors(buckets), ROWS)
+    lists = at_place(told).mapInArrow(_collected((bits + 7) // 8), ROWS)
+    cut = keyed.join(lists.select(F.col("doc_id").alias("key"), "text_hash", "found"), ["key", "text_hash"]).drop("key").mapInArrow(_sent_segments(length, bits, shards), ROWS)
+    gone = at_place(cut).mapInArrow(_sorted_shards(length, shards), ROWS)
+    ranges = at_place(gone).mapInArrow(_collected(8), ROWS).select(F.col("doc_id").alias("key"), "text_hash", "found")
     joined = keyed.join(ranges, ["key", "text_hash"], "left")
-    return joined.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("lists")).alias("lists")).mapInArrow(
+    return joined.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("found")).alias("found")).mapInArrow(
         _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
