@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import arrays, ids, text, urls
 from quarryline.operators import caps, dedup, facets, graph, journal, lookups, reports, splitting
+from quarryline.plans import catalogue
 from quarryline.sources import records
 from quarryline.streaming import events
 
@@ -41,6 +42,24 @@ def test_components_match_union_find(spark, seed):
     assert rows(got) == sorted(((i, root(i)) for i in range(80)), key=repr)
 
 
+def test_components_of_all_customers_match_union_find(spark):
+    sf = "/root/testdata/sf0.01"
+    up, first = {}, {}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for r in spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").collect():
+        i = up[r.c_custkey] = r.c_custkey
+        for key in (("n", r.c_nationkey, i // 40), ("s", r.c_mktsegment, i // 25)):
+            x, y = root(first.setdefault(key, i)), root(i)
+            up[max(x, y)] = min(x, y)
+    got = rows(catalogue.queries()["components_whole"](spark, sf))
+    assert got == sorted(((i, root(i)) for i in up), key=repr) and len(got) == 1500
+
+
 def test_long_chain_and_empty_graph(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert graph.components(chain).select("label").distinct().collect()[0][0] == 0
