@@ -2,7 +2,7 @@
 
 Patterns find emails, addresses, card and phone numbers: the protected
 entities. From the whole corpus the operator then estimates how strongly a
-term near an entity reveals it: the pointwise mutual information of term and
+term in the documents of an entity reveals it: the pointwise mutual information of term and
 entity against the information content of the entity. Terms at or above the
 disclosure threshold are removed, or generalised if they are somewhat below.
 """
@@ -31,16 +31,16 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LONG_DIGITS = re.compile(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"[^\W\d_]+")
 
-#: Words on either side of an entity that are judged as terms.
-REACH = 8
-#: Different contexts in which a term must meet an entity before it is judged.
+#: Different texts in which a term must meet an entity before it is judged.
 LEAST_CONTEXTS = 3
 #: Shares of the entity's information content from which a term is removed, and generalised.
 REMOVE_AT, GENERALISE_AT = 0.9, 0.75
 #: Judged pairs sent to the tasks at most (under 100 bytes each); more are joined by document.
 MOST_PAIRS = 200_000
+#: Counts that a task holds before it passes them on.
+MOST_HELD = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -108,36 +108,70 @@ def entity_hash(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value.lower()}".encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int, int]]:
-    """``(entity, term, context, start, end)`` of the words within REACH of each span."""
-    out = []
-    for start, end, kind in spans:
-        left = [m for m in _WORD.finditer(text, max(0, start - 40 * REACH), start)][-REACH:]
-        right = []
-        for m in _WORD.finditer(text, end, end + 40 * REACH):
-            right.append(m)
-            if len(right) == REACH:
-                break
-        near = [m for m in left + right if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
-        entity = entity_hash(kind, text[start:end])
-        context = xxhash.xxh3_64_intdigest(" ".join(m.group().lower() for m in near).encode()) - (1 << 63)
-        out += [(entity, term_hash(m.group()), context, *m.span()) for m in near]
-    return out
+def words_of(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    long = lambda x: pa.array(x, pa.int64())
+def _longs(*columns) -> list[pa.Array]:
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
+def _entity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            spans = base_spans(text)
-            rows += {(e, t, c) for e, t, c, _, _ in contexts(text, spans)} if spans else ()
-        e, t, c = zip(*rows) if rows else ((),) * 3
-        yield pa.RecordBatch.from_arrays([long(e), long(t), long(c)], ["entity", "term", "context"])
+        rows = [(h, e) for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()) for e in {entity_hash(k, text[a:b]) for a, b, k in base_spans(text)}]
+        yield pa.RecordBatch.from_arrays(_longs(*(zip(*rows) if rows else ((), ()))), ["h", "entity"])
+
+
+def _pair_rows(least_contexts: int, named: set[int] | None):
+    """Documents per (entity, term), counted within a task; of the texts' hashes as many as are needed to tell that there are enough."""
+
+    def flushed(held: dict[tuple[int, int], tuple[int, tuple[int, ...]]]) -> pa.RecordBatch:
+        e, t = zip(*held) if held else ((), ())
+        n, texts = zip(*held.values()) if held else ((), ())
+        return pa.RecordBatch.from_arrays([*_longs(e, t, n), pa.array(texts, pa.list_(pa.int64()))], ["entity", "term", "n", "texts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
+        for batch in batches:
+            own = [named] * batch.num_rows if named is not None else map(set, batch.column("entities").to_pylist())
+            for h, text, wanted in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), own):
+                found = {entity_hash(k, text[a:b]) for a, b, k in base_spans(text)} & wanted
+                terms = [term_hash(w) for w in words_of(text)] if found else ()
+                for key in ((e, t) for e in found for t in terms):
+                    n, texts = held.get(key, (0, ()))
+                    held[key] = (n + 1, texts if h in texts or len(texts) >= least_contexts else (*texts, h))
+                if len(held) > MOST_HELD:
+                    yield flushed(held)
+                    held = {}
+        yield flushed(held)
+
+    return run
+
+
+def _term_counts(wanted: set[int] | None):
+    """Documents per term, of ``wanted`` ones or of all, counted within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[str, int | None] = {}
+        held: dict[int, int] = {}
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for w in words_of(text or ""):
+                    if w not in hashes:
+                        t = term_hash(w)
+                        hashes[w] = t if wanted is None or t in wanted else None
+                    if (t := hashes[w]) is not None:
+                        held[t] = held.get(t, 0) + 1
+                if max(len(held), len(hashes)) > MOST_HELD:
+                    yield pa.RecordBatch.from_arrays(_longs(list(held), list(held.values())), ["term", "n"])
+                    hashes, held = {}, {}
+        yield pa.RecordBatch.from_arrays(_longs(list(held), list(held.values())), ["term", "n"])
+
+    return run
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = LEAST_CONTEXTS, generalise_at: float = GENERALISE_AT, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -146,68 +180,81 @@ def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = L
     ``strength`` is PMI(term, entity) / IC(entity) over documents: with N
     documents, n_t of them holding the term, n_e the entity and n_te both,
     log(n_te * N / (n_t * n_e)) / log(N / n_e). It is 1 for a term that never
-    occurs without the entity. Only pairs that meet in ``least_contexts``
-    different contexts are judged, so copies of one passage count once.
-
-    The counts cover all documents. Pairs are found from the words near
-    entities; how many documents hold a term is counted over the whole corpus,
-    for the terms of those pairs alone.
+    occurs without the entity. Every word of a document that holds the entity
+    is a candidate. Only pairs that meet in ``least_contexts`` different texts
+    are judged, so copies of one document count once.
+
+    An entity of fewer texts than that has no such pair and is left out first.
+    Pairs are counted within each task before they are shuffled; how many
+    documents hold a term is counted for the terms of judged pairs alone, or
+    for all words where those terms are more than ``most_pairs``.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    met = texts.mapInArrow(_term_rows, "entity long, term long, context long")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    met = written(texts.mapInArrow(_entity_rows, "h long, entity long").groupBy("h", "entity").agg(F.count(F.lit(1)).alias("n")), "pii-entities")
+    of_entity = checkpointed(met.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_contexts).drop("texts"))
+    n_entities = of_entity.count()
+    if not n_entities:
+        return of_entity.select("entity", F.col("entity").alias("term"), F.lit(0.0).alias("strength"))
+    if n_entities <= most_pairs:
+        named, holding = {r[0] for r in of_entity.select("entity").collect()}, texts
+    else:
+        named = None
+        holding = texts.join(met.join(of_entity, "entity").groupBy("h").agg(F.collect_list("entity").alias("entities")), "h")
     pairs = checkpointed(
-        met.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= least_contexts)
+        holding.mapInArrow(_pair_rows(least_contexts, named), "entity long, term long, n long, texts array<long>")
+        .groupBy("entity", "term")
+        .agg(F.sum("n").alias("n_te"), F.size(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("texts"))
+        .where(F.col("texts") >= least_contexts)
+        .drop("texts")
     )
-    empty = pairs.select("entity", "term", F.lit(0.0).alias("strength")).where("false")
-    n_pairs = pairs.count()
-    if not n_pairs:
-        return empty
     terms = pairs.select("term").distinct()
-    held = [r[0] for r in terms.collect()] if n_pairs <= most_pairs else None
-    entities = [r[0] for r in pairs.select("entity").distinct().collect()] if n_pairs <= most_pairs else None
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, named = set(held or ()), set(entities or ())
-        for batch in batches:
-            rows: dict[tuple[int | None, int | None], int] = {}
-            for text in batch.column("text").to_pylist():
-                if not text:
-                    continue
-                own = {term_hash(w) for w in set(_WORD.findall(text.lower()))}
-                found = {entity_hash(k, text[a:b]) for a, b, k in base_spans(text)}
-                if held is not None:
-                    own &= wanted
-                    found &= named
-                keys = [(None, t) for t in own] + [(e, None) for e in found] + [(e, t) for e in found for t in own] if found else [(None, t) for t in own]
-                for k in keys:
-                    rows[k] = rows.get(k, 0) + 1
-            e, t = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t, pa.int64()), pa.array(list(rows.values()), pa.int64())], ["entity", "term", "n"])
-
-    counts = texts.mapInArrow(counted, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
-    counts = written(counts, "pii-counts")
-    total = texts.count()
-    both = counts.where("entity IS NOT NULL AND term IS NOT NULL").withColumnRenamed("n", "n_te")
-    of_term = counts.where("entity IS NULL").select("term", F.col("n").alias("n_t"))
-    of_entity = counts.where("term IS NULL").select("entity", F.col("n").alias("n_e"))
-    n = F.lit(float(total))
+    wanted = {r[0] for r in terms.limit(most_pairs + 1).collect()}
+    counted = texts.mapInArrow(_term_counts(wanted if len(wanted) <= most_pairs else None), "term long, n long")
+    of_term = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
+    n = F.lit(float(texts.count()))
     strength = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
     return (
-        pairs.join(both, ["entity", "term"]).join(of_term, "term").join(of_entity, "entity")
+        pairs.join(of_term, "term").join(of_entity, "entity")
         .where(F.col("n_e") < n)
         .select("entity", "term", strength.alias("strength"))
         .where(F.col("strength") >= generalise_at)
     )
 
 
-def _with_terms(text: str, spans: list[tuple[int, int, str]], strong: dict[tuple[int, int], float]) -> list[tuple[int, int, str, float]]:
-    """Base spans and the revealing terms near them, each with its strength (0 for a base span)."""
-    terms = {}
-    for e, t, _, a, b in contexts(text, spans) if spans and strong else ():
-        s = strong.get((e, t))
-        if s is not None:
-            terms[a, b] = max(s, terms.get((a, b), 0.0))
-    out = [(a, b, k, 0.0) for a, b, k in spans] + [(a, b, "term", s) for (a, b), s in terms.items()]
+Strong = dict[int, dict[int, float]]
+
+
+def strong_of(rows) -> Strong:
+    """Strengths by entity and term from rows ``(entity, term, strength)``."""
+    out: Strong = {}
+    for e, t, s in rows:
+        out.setdefault(e, {})[t] = s
+    return out
+
+
+def _with_terms(text: str, spans: list[tuple[int, int, str]], strong: Strong) -> list[tuple[int, int, str, float]]:
+    """Base spans and every occurrence of a term that reveals one of their entities, with its strength (0 for a base span)."""
+    terms: dict[int, float] = {}
+    for e in {entity_hash(k, text[a:b]) for a, b, k in spans} if strong else ():
+        for t, s in strong.get(e, {}).items():
+            terms[t] = max(s, terms.get(t, 0.0))
+    out = [(a, b, k, 0.0) for a, b, k in spans]
+    if terms:
+        known: dict[str, float | None] = {}
+        ends = sorted((a, b) for a, b, _ in spans)
+        at = reach = 0
+        for m in _WORD.finditer(text):
+            while at < len(ends) and ends[at][0] < m.end():
+                reach = max(reach, ends[at][1])
+                at += 1
+            if m.start() < reach:
+                continue
+            w = m.group()
+            if w not in known:
+                known[w] = terms.get(term_hash(w))
+            if known[w] is not None:
+                out.append((*m.span(), "term", known[w]))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -240,14 +287,14 @@ def scrub(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     Corpus statistics are made first (see ``disclosures``). Then each text is
     searched and rewritten where it is read. The judged pairs go to the tasks
     while there are at most ``most_pairs`` of them; beyond that they are
-    joined to the few words near entities, and only documents with entities
-    take part in that join.
+    joined to the words of the documents with entities; others take no part in
+    that join.
     """
     own = _own(docs, id_col, text_col)
     pairs = checkpointed(disclosures(own, "text", least_contexts, most_pairs=most_pairs))
     if pairs.count() > most_pairs:
         return _joined(own, pairs, with_text)
-    strong = {(r[0], r[1]): r[2] for r in pairs.collect()}
+    strong = strong_of(pairs.collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +309,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", most_pairs: int = MOST_PAI
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     pairs = checkpointed(disclosures(texts, "text", least_contexts, most_pairs=most_pairs))
     many = pairs.count() > most_pairs
-    strong = {} if many else {(r[0], r[1]): r[2] for r in pairs.collect()}
+    strong = {} if many else strong_of(pairs.collect())
     own = docs.withColumn("_text", F.col(text_col).cast("string"))
     if many:
         keyed = own.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
@@ -272,7 +319,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", most_pairs: int = MOST_PAI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            own = [{(f["entity"], f["term"]): f["strength"] for f in fs or ()} for fs in batch.column("found").to_pylist()] if many else [strong] * len(texts)
+            own = [strong_of((f["entity"], f["term"], f["strength"]) for f in fs or ()) for fs in batch.column("found").to_pylist()] if many else [strong] * len(texts)
             found = [(t, base_spans(t), s) for t, s in zip(texts, own)]
             clean = [sanitised(t, _with_terms(t, spans, s)) if spans else t for t, spans, s in found]
             columns = {n: batch.column(n) for n in names} | {text_col: pa.array(clean, pa.string())}
@@ -299,25 +346,28 @@ def _result(ids: pa.Array, texts: list[str | None], spans: list[list], with_text
 def _found(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each ``key`` of a text: the judged pairs that meet in it."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(k, e, t) for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) if text
-                    for e, t, _, _, _ in contexts(text, base_spans(text))}
+            rows = set()
+            for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                if found := {entity_hash(kind, text[a:b]) for a, b, kind in base_spans(text)}:
+                    terms = [term_hash(w) for w in words_of(text)]
+                    rows |= {(k, e, t) for e in found for t in terms}
             k, e, t = zip(*rows) if rows else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(e, pa.int64()), pa.array(t, pa.int64())], ["key", "entity", "term"])
 
-    found = keyed.mapInArrow(near, "key string, entity long, term long").distinct().join(pairs, ["entity", "term"])
+    found = keyed.mapInArrow(held, "key string, entity long, term long").distinct().join(pairs, ["entity", "term"])
     return found.groupBy("key").agg(F.collect_list(F.struct("entity", "term", "strength")).alias("found"))
 
 
 def _joined(own: DataFrame, pairs: DataFrame, with_text: bool) -> DataFrame:
-    """The same rows as ``scrub`` with the judged pairs joined to the words near entities."""
+    """The same rows as ``scrub`` with the judged pairs joined to the words of documents with entities."""
     keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            strong = [{(f["entity"], f["term"]): f["strength"] for f in fs or ()} for fs in batch.column("found").to_pylist()]
+            strong = [strong_of((f["entity"], f["term"], f["strength"]) for f in fs or ()) for fs in batch.column("found").to_pylist()]
             yield _result(batch.column("doc_id"), texts, [_with_terms(t, base_spans(t), s) if t else [] for t, s in zip(texts, strong)], with_text)
 
     out = keyed.join(_found(keyed.select("key", "text"), pairs), "key", "left").select("doc_id", "text", "found").mapInArrow(run, SCHEMA)

@@ -233,6 +233,24 @@ def test_pii_terms_that_reveal_an_entity(spark, most):
     assert all(got[10 + i].spans == "" and got[10 + i].clean == rows[5 + i][1] for i in range(40))
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_pii_terms_far_from_the_entity_repeated_or_in_a_template(spark, most):
+    far = "plain text about red sky over hills and cold rain at noon while old road went"
+    fill = lambda i: f"sample {chr(97 + i) * 4}"
+    rows = [(i, f"Zorbanel {fill(i)} {far} zoe@mail.example.com {far} then Zorbanel or Li {far}") for i in range(5)]
+    rows += [(10 + i, f"{fill(i)} {far}. Write to Quentavo, q@corp.example.org, about it. {far}") for i in range(5)]
+    rows += [(20 + i, f"{far} {fill(i % 9)} then write to it or Corp about sample number {i}") for i in range(40)]
+    rows += [(70 + i, f"Trivex t@copy.example.net {far}") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.scrub(frame, most_pairs=most).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame, most_pairs=most).collect()}
+    for i, text in rows:
+        terms = [s for s in got[i].spans.split(",") if s.startswith("term")]
+        names = {0: "Zorbanel|Li", 1: "Quentavo"}.get(i // 10, "(?!)")
+        assert terms == [f"term:{m.start()}:{m.end()}" for m in re.finditer(rf"\b(?:{names})\b", text)], i
+        assert clean[i] == got[i].clean and not re.search(rf"\b(?:{names})\b", clean[i])
+
+
 def brute_hits(rows, items, size=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     wanted = defaultdict(set)
