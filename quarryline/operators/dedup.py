@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import checkpointed
 from .lookups import first_per
 
 #: Bits of the three chunks of a 64-bit hash; two hashes within distance 2 agree on one of them at least.
@@ -51,38 +51,59 @@ def near_pairs(df: DataFrame, row: str, bucket: list[str], hashes: list[str], di
     return left.join(right, same & (F.col("a") < F.col("b"))).where(close).select("a", "b").distinct()
 
 
+def close_hashes(df: DataFrame, row: str, bucket: list[str], hash: str) -> DataFrame:
+    """Pairs ``(a, b)``, a before b, of one bucket whose hashes differ in one or two bits; one row per bucket and hash is expected.
+
+    Each hash stands in its own group and in those of its 64 neighbours at
+    distance 1, so no group has more than 65 hashes and all that meet are near.
+    """
+    flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    own = df.select(F.struct(*[F.col(c) for c in bucket], F.lit(0)).alias("_b"), F.col(row).alias("_row"), F.explode(F.transform(flips, lambda x: F.col(hash).bitwiseXOR(x))).alias("_h"))
+    left, right = own.withColumnRenamed("_row", "a"), own.withColumnRenamed("_row", "b")
+    return left.join(right, ["_b", "_h"]).where("a < b").select("a", "b").distinct()
+
+
 def greedy_drop(pairs: DataFrame, order: DataFrame) -> DataFrame:
     """Rows dropped because an earlier *kept* row is near: ``row`` and ``near``, the first such row.
 
     ``order(row, position)`` ranks all rows. A row near only to dropped rows is
-    kept, so the walk is sequential within a cluster of near rows and parallel
-    across clusters.
+    kept. In each round the rows without an earlier open neighbour are kept and
+    their neighbours dropped, so there are as many rounds as the longest chain
+    of such decisions; no cluster has to fit one task.
     """
-    clusters = components(pairs)
+    a, b = F.struct(F.col("pa").alias("p"), F.col("a").alias("row")), F.struct(F.col("pb").alias("p"), F.col("b").alias("row"))
     placed = (
-        pairs.join(clusters, pairs["a"] == clusters["node"]).select("label", "a", "b")
+        pairs.where("a <> b")
         .join(order.select(F.col("row").alias("a"), F.col("position").alias("pa")), "a")
         .join(order.select(F.col("row").alias("b"), F.col("position").alias("pb")), "b")
+        .select(F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
     )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        place: dict[int, tuple] = {}
-        near: dict[int, list[int]] = {}
-        for a, b, pa, pb in zip(pdf["a"], pdf["b"], pdf["pa"], pdf["pb"]):
-            place[a], place[b] = pa, pb
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        kept: set[int] = set()
-        dropped = []
-        for row in sorted(place, key=place.get):
-            before = [x for x in near[row] if x in kept]
-            if before:
-                dropped.append((row, min(before, key=place.get)))
-            else:
-                kept.add(row)
-        return pd.DataFrame(dropped, columns=["row", "near"]).astype("int64")
-
-    return placed.groupBy("label").applyInPandas(walk, "row long, near long")
+    edges = checkpointed(placed.select(F.col("first.row").alias("first"), F.col("first.p").alias("p"), F.col("last.row").alias("last")).distinct())
+    live, dropped = edges.select("first", "last"), None
+    while live.limit(1).count():
+        later = live.select(F.col("last").alias("first")).distinct()
+        kept = live.select("first").distinct().join(later, "first", "left_anti")
+        gone = checkpointed(live.join(kept, "first", "left_semi").select("last").distinct())
+        as_first = gone.select(F.col("last").alias("first"))
+        dropped = as_first if dropped is None else checkpointed(dropped.union(as_first))
+        live = checkpointed(live.join(gone, "last", "left_anti").join(as_first, "first", "left_anti"))
+    by_kept = edges if dropped is None else edges.join(dropped, "first", "left_anti")
+    return by_kept.groupBy(F.col("last").alias("row")).agg(F.min(F.struct("p", "first"))["first"].alias("near"))
+
+
+def greedy_drop_hashes(df: DataFrame, row: str, bucket: list[str], hash: str, position: str) -> DataFrame:
+    """``greedy_drop`` of rows within two bits of one ``hash``.
+
+    Rows of equal hash have the same neighbours, so only the first of them is
+    compared; the others are dropped for it, or for the row it is dropped for.
+    """
+    rows = df.where(F.col(hash).isNotNull()).select(F.col(row).alias("row"), *bucket, F.col(hash).alias("hash"), F.col(position).alias("position"))
+    first = F.min(F.struct("position", "row"))
+    firsts = checkpointed(rows.groupBy(*bucket, "hash").agg(first.alias("_first")).select(*bucket, "hash", F.col("_first.row").alias("row"), F.col("_first.position").alias("position")))
+    lost = checkpointed(greedy_drop(close_hashes(firsts, "row", bucket, "hash"), firsts.select("row", "position")))
+    near = firsts.join(lost, "row", "left").select(F.struct(*bucket, "hash").alias("_k"), F.col("row").alias("_rep"), "near")
+    copies = rows.select("row", F.struct(*bucket, "hash").alias("_k")).join(near, "_k")
+    return copies.where((F.col("row") != F.col("_rep")) | F.col("near").isNotNull()).select("row", F.coalesce("near", "_rep").alias("near"))
 
 
 def conflicts(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -226,10 +226,8 @@ def near_dup_pairs(t):
 
 @query("near_dup_greedy")
 def near_dup_greedy(t):
-    rows = _text_hash(t)
     place = F.lit(1 << 50) - F.col("n_chars") * F.lit(1 << 30) + F.col("doc_id")  # larger texts first
-    order = rows.select(F.col("doc_id").alias("row"), place.alias("position"))
-    return dedup.greedy_drop(dedup.near_pairs(rows, "doc_id", ["lang"], ["hash"]), order)
+    return dedup.greedy_drop_hashes(_text_hash(t).withColumn("position", place), "doc_id", ["lang"], "hash", "position")
 
 
 @query(

@@ -78,6 +78,32 @@ def test_greedy_keeps_a_row_near_only_to_dropped_rows(spark):
     assert rows(dedup.greedy_drop(pairs, order)) == [(2, 1), (6, 5)]
 
 
+def plain_greedy(data):
+    kept, out = [], []
+    for p, i, x, h in sorted((p, i, x, h) for i, x, h, p in data):
+        near = next((j for j, y, g in kept if x == y and ((h ^ g) & (2**64 - 1)).bit_count() <= 2), None)
+        if near is None:
+            kept.append((i, x, h))
+        else:
+            out.append((i, near))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_over_hashes_matches_a_walk_and_pairs_no_copies(spark, seed):
+    rng = random.Random(seed)
+    base, data = [rng.getrandbits(64) for _ in range(4)], []
+    for i in range(150):
+        h = rng.choice(base)
+        for _ in range(rng.randrange(6)):
+            h ^= 1 << rng.randrange(0, 64, 7)
+        data.append((i, rng.choice(["a", "b", None]), h - (1 << 64) if h >> 63 else h, rng.randrange(1000)))
+    rows_of = lambda d: spark.createDataFrame(d, "row long, bucket string, h long, at long")
+    assert rows(dedup.greedy_drop_hashes(rows_of(data), "row", ["bucket"], "h", "at")) == sorted(plain_greedy([(i, x or "", h, p) for i, x, h, p in data]), key=repr)
+    copies = spark.range(20_000).select("id", F.lit("a").alias("bucket"), F.lit(7).cast("long").alias("h"))
+    assert dedup.greedy_drop_hashes(copies, "id", ["bucket"], "h", "id").groupBy("near").count().collect() == [(0, 19_999)]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_near_pairs_lose_none(spark, seed):
     rng = random.Random(seed)
