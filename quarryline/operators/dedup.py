@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,7 +100,7 @@ def greedy_drop_hashes(df: DataFrame, row: str, bucket: list[str], hash: str, po
     Rows of equal hash have the same neighbours, so only the first of them is
     compared; the others are dropped for it, or for the row it is dropped for.
     """
-    rows = df.where(F.col(hash).isNotNull()).select(F.col(row).alias("row"), *bucket, F.col(hash).alias("hash"), F.col(position).alias("position"))
+    rows = checkpointed(df.select(F.col(row).alias("row"), *bucket, F.col(hash).alias("hash"), F.col(position).alias("position")).where("hash IS NOT NULL"))
     first = F.min(F.struct("position", "row"))
     firsts = checkpointed(rows.groupBy(*bucket, "hash").agg(first.alias("_first")).select(*bucket, "hash", F.col("_first.row").alias("row"), F.col("_first.position").alias("position")))
     lost = checkpointed(greedy_drop(close_hashes(firsts, "row", bucket, "hash"), firsts.select("row", "position")))
@@ -106,6 +109,26 @@ def greedy_drop_hashes(df: DataFrame, row: str, bucket: list[str], hash: str, po
     return copies.where((F.col("row") != F.col("_rep")) | F.col("near").isNotNull()).select("row", F.coalesce("near", "_rep").alias("near"))
 
 
+def text_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Simhashes of whole texts as 64-bit patterns: a bit is set if it is in the hashes of most words, each occurrence counted; null for a text without words."""
+    import numpy as np
+
+    known: dict[str, int] = {}
+    for pdf in batches:
+        out = []
+        for text in pdf.pop("text"):
+            words = Counter(re.findall(r"\w+", (text or "").lower()))
+            if len(known) > 500_000:
+                known.clear()
+            for w in words.keys() - known.keys():
+                known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            h = np.fromiter(map(known.__getitem__, words), dtype="<u8", count=len(words))
+            n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+            ones = n @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+            out.append(int(np.packbits(2 * ones > n.sum(), bitorder="little").view("<i8")[0]) if words else None)
+        yield pdf.assign(hash=pd.array(out, dtype="Int64"))
+
+
 def conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
     """Keys with more than one label, and the labels in order."""
     return df.groupBy(key).agg(F.array_sort(F.collect_set(label)).alias("labels")).where(F.size("labels") > 1)

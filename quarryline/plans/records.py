@@ -200,6 +200,12 @@ def exact_dedup_keep_largest(t):
     return dedup.keep_largest(rows, ["lang", "head"], "n_chars", "doc_id").select("lang", "doc_id", "n_chars", "slot")
 
 
+@query("exact_dedup_whole_text", "SELECT lang, doc_id, n_chars, slot FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang, sha256(text)) AS slot, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
+def exact_dedup_whole_text(t):
+    rows = t.documents.select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("digest"))
+    return dedup.keep_largest(rows, ["lang", "digest"], "n_chars", "doc_id").select("lang", "doc_id", "n_chars", "slot")
+
+
 def _bits(df):
     """A 64-bit pattern of the signs of a vector."""
     bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
@@ -224,10 +230,21 @@ def near_dup_pairs(t):
     return dedup.near_pairs(_text_hash(t), "doc_id", ["lang"], ["hash"])
 
 
+def _whole_text_hash(t):
+    """A 64-bit simhash of a text's words."""
+    return t.documents.select("doc_id", "lang", "n_chars", "text").mapInPandas(dedup.text_hashes, "doc_id long, lang string, n_chars long, hash long")
+
+
+@query("near_dup_pairs_whole_text")
+def near_dup_pairs_whole_text(t):
+    """Near pairs by the whole text; SQL has no simhash of words, so tests hold them against brute force."""
+    return dedup.near_pairs(_whole_text_hash(t), "doc_id", ["lang"], ["hash"])
+
+
 @query("near_dup_greedy")
 def near_dup_greedy(t):
     place = F.lit(1 << 50) - F.col("n_chars") * F.lit(1 << 30) + F.col("doc_id")  # larger texts first
-    return dedup.greedy_drop_hashes(_text_hash(t).withColumn("position", place), "doc_id", ["lang"], "hash", "position")
+    return dedup.greedy_drop_hashes(_whole_text_hash(t).withColumn("position", place), "doc_id", ["lang"], "hash", "position")
 
 
 @query(

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -104,6 +105,28 @@ def test_greedy_over_hashes_matches_a_walk_and_pairs_no_copies(spark, seed):
     assert dedup.greedy_drop_hashes(copies, "id", ["bucket"], "h", "id").groupBy("near").count().collect() == [(0, 19_999)]
 
 
+def plain_simhash(text):
+    words = re.findall(r"\w+", text.lower())
+    codes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words]
+    h = sum(1 << i for i in range(64) if 2 * sum(c >> i & 1 for c in codes) > len(codes))
+    return (h - (1 << 64) if h >> 63 else h) if words else None
+
+
+def test_duplicates_look_at_the_whole_text(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    bodies = [" ".join(word() for _ in range(300)) for _ in range(4)]
+    texts = ["Common heading " + b for b in bodies] + ["Other heading " + bodies[0], "Common heading " + bodies[1], "", "  "]
+    data = [(i, x, "en", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path))
+    assert rows(run("exact_dedup_whole_text").select("doc_id")) == [(0,), (1,), (2,), (3,), (4,), (6,), (7,)]
+    hashes = [(i, x, h, (-n, i)) for i, t, x, n in data if (h := plain_simhash(t)) is not None]
+    near = [(a, b) for a, _, h, _ in hashes for b, _, g, _ in hashes if a < b and ((h ^ g) & (2**64 - 1)).bit_count() <= 2]
+    assert rows(run("near_dup_pairs_whole_text")) == near and (1, 5) in near and (0, 1) not in near
+    assert rows(run("near_dup_greedy")) == sorted(plain_greedy(hashes), key=repr)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_near_pairs_lose_none(spark, seed):
     rng = random.Random(seed)
