@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -67,6 +69,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def with_texts(rows: pa.StructArray, texts: list[str | None], changed: list[bool], text_col: str) -> pa.RecordBatch:
+    """The columns of ``whole_row`` with new texts; where a text changed, a length in ``n_chars`` follows it."""
+    fields = [f.name for f in rows.type]
+    columns = dict(zip(fields, rows.flatten()))
+    columns[text_col] = pa.array(texts, pa.string()).cast(columns[text_col].type)
+    if "n_chars" in columns:
+        kind = columns["n_chars"].type
+        columns["n_chars"] = pc.if_else(pa.array(changed, pa.bool_()), pa.array([len(t or "") for t in texts], pa.int64()).cast(kind), columns["n_chars"])
+    return pa.RecordBatch.from_arrays(list(columns.values()), fields)
+
+
 def in_order(df: DataFrame, *order) -> DataFrame:
     """Rows range-sorted by ``order`` and cut there, with ``_part`` and ``_at`` (place within the part).
 

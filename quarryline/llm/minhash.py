@@ -324,7 +324,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, id_c
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, one row per id, and those without an id."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    """The documents that ``near_duplicates`` keeps, one row per id, and those without an id.
+
+    Null, empty and blank texts are linked with nothing and stay. Of rows that
+    share a kept id one stays. An empty table gives an empty one. All columns
+    are kept, whatever their names.
+    """
+    name = "kept_id"
+    while name in docs.columns:
+        name += "_"
+    kept = near_duplicates(docs, id_col=id_col, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col(name), "left_semi")
     return named.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))

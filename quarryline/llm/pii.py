@@ -4,7 +4,12 @@ Patterns find emails, addresses, card and phone numbers: the protected
 entities. From the whole corpus the operator then estimates how strongly a
 term in the documents of an entity reveals it: the pointwise mutual information of term and
 entity against the information content of the entity. Terms at or above the
-disclosure threshold are removed, or generalised if they are somewhat below.
+disclosure threshold are removed. Those somewhat below are generalised to a
+class of words learnt from the corpus: the longest beginning of the word that
+so many documents share that the class itself stays below the threshold.
+
+Every function takes texts of any length as they are: a search never looks at
+a character twice from the same kind of start, and nothing is cut to a window.
 """
 
 from __future__ import annotations
@@ -13,23 +18,25 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, written
+from ._common import checkpointed, whole_row, with_texts, written
 
 #: Kinds in the order in which spans that start together are listed; ``term`` is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
 
 # The patterns of the contract.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Numbers joined by dots; the possessive form takes a long run of digits in one go.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _LONG_DIGITS = re.compile(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -37,8 +44,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 LEAST_CONTEXTS = 3
 #: Shares of the entity's information content from which a term is removed, and generalised.
 REMOVE_AT, GENERALISE_AT = 0.9, 0.75
-#: Judged pairs sent to the tasks at most (under 100 bytes each); more are joined by document.
+#: Judged pairs sent to the tasks at most (under 200 bytes each); more are joined by document.
 MOST_PAIRS = 200_000
+#: Letters of a class at most.
+LONGEST_CLASS = 8
+#: Size of the filter of judged pairs: 16 MB.
+FILTER_BITS = 1 << 27
 #: Counts that a task holds before it passes them on.
 MOST_HELD = 200_000
 
@@ -70,6 +81,20 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Four numbers of at most 255 joined by dots: a chain of numbers is taken four at a time from its start."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(n := p.lstrip("0")) < 4 and int(n or 0) <= 255 for p in four):
+                out.append((at, at + size))
+            at += size + 1
+    return out
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, kind)`` of the patterns, ordered by start and kind."""
     if not text:
@@ -78,9 +103,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     if "@" in text:
         out += [(a, b, "email") for a, b in emails(text)]
     if _HAS_DIGITS(text):
-        for m in IP.finditer(text):
-            if all(int(p) <= 255 for p in m.group().split(".")):
-                out.append((*m.span(), "ip"))
+        out += [(a, b, "ip") for a, b in addresses(text)]
         if _LONG_DIGITS.search(text):
             for m in CARD.finditer(text):
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -88,12 +111,13 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
                     out.append((*m.span(), "card"))
         if "+" in text:
             for m in PHONE.finditer(text):
-                if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
+                if 9 <= len(m.group().translate(_MARKS)) <= 15:
                     out.append((*m.span(), "phone"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 _HAS_DIGITS = re.compile(r"[0-9]").search
+_MARKS = str.maketrans("", "", "+ ().-")
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
@@ -112,10 +136,6 @@ def words_of(text: str) -> set[str]:
     return {w.lower() for w in set(_WORD.findall(text))}
 
 
-def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
 def _longs(*columns) -> list[pa.Array]:
     return [pa.array(c, pa.int64()) for c in columns]
 
@@ -141,41 +161,74 @@ def _pair_rows(least_contexts: int, named: set[int] | None):
             for h, text, wanted in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), own):
                 found = {entity_hash(k, text[a:b]) for a, b, k in base_spans(text)} & wanted
                 terms = [term_hash(w) for w in words_of(text)] if found else ()
-                for key in ((e, t) for e in found for t in terms):
-                    n, texts = held.get(key, (0, ()))
-                    held[key] = (n + 1, texts if h in texts or len(texts) >= least_contexts else (*texts, h))
-                if len(held) > MOST_HELD:
-                    yield flushed(held)
-                    held = {}
+                for e in found:
+                    for t in terms:
+                        n, texts = held.get((e, t), (0, ()))
+                        held[e, t] = (n + 1, texts if h in texts or len(texts) >= least_contexts else (*texts, h))
+                    if len(held) > MOST_HELD:
+                        yield flushed(held)
+                        held = {}
         yield flushed(held)
 
     return run
 
 
 def _term_counts(wanted: set[int] | None):
-    """Documents per term, of ``wanted`` ones or of all, counted within a task."""
+    """Documents per term, of ``wanted`` ones or of all, counted within a task, and the term as a word."""
+
+    def counted(held: dict[str, int], hashes: dict[str, int | None]) -> pa.RecordBatch:
+        words = list(held)
+        return pa.RecordBatch.from_arrays([*_longs([hashes[w] for w in words]), pa.array(words, pa.string()), *_longs(list(held.values()))], ["term", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[str, int | None] = {}
-        held: dict[int, int] = {}
+        held: dict[str, int] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 for w in words_of(text or ""):
                     if w not in hashes:
                         t = term_hash(w)
                         hashes[w] = t if wanted is None or t in wanted else None
-                    if (t := hashes[w]) is not None:
-                        held[t] = held.get(t, 0) + 1
-                if max(len(held), len(hashes)) > MOST_HELD:
-                    yield pa.RecordBatch.from_arrays(_longs(list(held), list(held.values())), ["term", "n"])
+                    if hashes[w] is not None:
+                        held[w] = held.get(w, 0) + 1
+                if len(hashes) > MOST_HELD:
+                    yield counted(held, hashes)
                     hashes, held = {}, {}
-        yield pa.RecordBatch.from_arrays(_longs(list(held), list(held.values())), ["term", "n"])
+        yield counted(held, hashes)
+
+    return run
+
+
+def _class_counts(wanted: set[str] | None):
+    """Documents with a word of a class, of ``wanted`` classes or of all, counted within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        held: dict[str, int] = {}
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                met: set[str] = set()
+                for w in words_of(text or ""):
+                    if w not in known:
+                        known[w] = [c for c in classes_of(w) if wanted is None or c in wanted]
+                    met.update(known[w])
+                for c in met:
+                    held[c] = held.get(c, 0) + 1
+                if len(known) > MOST_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *_longs(list(held.values()))], ["class", "n_c"])
+                    known, held = {}, {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *_longs(list(held.values()))], ["class", "n_c"])
 
     return run
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = LEAST_CONTEXTS, generalise_at: float = GENERALISE_AT, most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """Terms that reveal an entity: ``entity, term, strength``.
+def classes_of(word: str) -> list[str]:
+    """The classes that a word may be generalised to: its beginnings of up to LONGEST_CLASS letters."""
+    return [word[:i] for i in range(1, min(len(word), LONGEST_CLASS + 1))]
+
+
+def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = LEAST_CONTEXTS, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """Terms that reveal an entity: ``entity, term, strength, class``.
 
     ``strength`` is PMI(term, entity) / IC(entity) over documents: with N
     documents, n_t of them holding the term, n_e the entity and n_te both,
@@ -184,10 +237,22 @@ def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = L
     is a candidate. Only pairs that meet in ``least_contexts`` different texts
     are judged, so copies of one document count once.
 
-    An entity of fewer texts than that has no such pair and is left out first.
-    Pairs are counted within each task before they are shuffled; how many
-    documents hold a term is counted for the terms of judged pairs alone, or
-    for all words where those terms are more than ``most_pairs``.
+    ``class`` is empty for a term to be removed: one of ``remove_at`` or more,
+    or one without a class that is common enough. Else it is the longest
+    beginning of the word, of at most LONGEST_CLASS letters, that n_c
+    documents share with log(N / n_c) / log(N / n_e) below ``generalise_at``.
+    That ratio bounds the strength of the class itself, since at most all
+    documents of the entity hold it.
+
+    An entity of fewer texts than ``least_contexts`` has no such pair and is
+    left out first, and so is one in every document. Pairs are counted within
+    each task before they are shuffled; how many documents hold a term or a
+    class is counted for those of judged pairs alone, or for all words where
+    those are more than ``most_pairs``.
+
+    Null and empty texts hold nothing but count as documents; repeated rows
+    count each; a table without entities gives no rows, and so does an empty
+    one. Other columns are ignored.
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
@@ -195,7 +260,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = L
     of_entity = checkpointed(met.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_contexts).drop("texts"))
     n_entities = of_entity.count()
     if not n_entities:
-        return of_entity.select("entity", F.col("entity").alias("term"), F.lit(0.0).alias("strength"))
+        return of_entity.select("entity", F.col("entity").alias("term"), F.lit(0.0).alias("strength"), F.lit("").alias("class"))
     if n_entities <= most_pairs:
         named, holding = {r[0] for r in of_entity.select("entity").collect()}, texts
     else:
@@ -208,40 +273,55 @@ def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = L
         .where(F.col("texts") >= least_contexts)
         .drop("texts")
     )
-    terms = pairs.select("term").distinct()
-    wanted = {r[0] for r in terms.limit(most_pairs + 1).collect()}
-    counted = texts.mapInArrow(_term_counts(wanted if len(wanted) <= most_pairs else None), "term long, n long")
-    of_term = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
+    wanted = {r[0] for r in pairs.select("term").distinct().limit(most_pairs + 1).collect()}
+    counted = texts.mapInArrow(_term_counts(wanted if len(wanted) <= most_pairs else None), "term long, word string, n long")
+    of_term = counted.groupBy("term").agg(F.sum("n").alias("n_t"), F.min("word").alias("word"))
     n = F.lit(float(texts.count()))
     strength = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    return (
+    judged = checkpointed(
         pairs.join(of_term, "term").join(of_entity, "entity")
         .where(F.col("n_e") < n)
-        .select("entity", "term", strength.alias("strength"))
+        .select("entity", "term", "word", "n_e", strength.alias("strength"))
         .where(F.col("strength") >= generalise_at)
     )
+    weak = judged.where(F.col("strength") < remove_at)
+    lengths = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LONGEST_CLASS)))
+    options = checkpointed(weak.where(F.length("word") > 1).select("entity", "term", "n_e", F.explode(F.transform(lengths, lambda i: F.left("word", i))).alias("class")))
+    names = {r[0] for r in options.select("class").distinct().limit(most_pairs + 1).collect()}
+    if not names:
+        return judged.select("entity", "term", "strength", F.lit("").alias("class"))
+    of_class = texts.mapInArrow(_class_counts(names if len(names) <= most_pairs else None), "class string, n_c long").groupBy("class").agg(F.sum("n_c").alias("n_c"))
+    common = options.join(of_class, "class").where(F.log(n / F.col("n_c")) < generalise_at * F.log(n / F.col("n_e")))
+    best = common.groupBy("entity", "term").agg(F.max_by("class", F.length("class")).alias("class"))
+    return judged.join(best, ["entity", "term"], "left").select("entity", "term", "strength", F.coalesce("class", F.lit("")).alias("class"))
 
 
-Strong = dict[int, dict[int, float]]
+Strong = dict[int, dict[int, str]]
 
 
 def strong_of(rows) -> Strong:
-    """Strengths by entity and term from rows ``(entity, term, strength)``."""
+    """Classes by entity and term from rows ``(entity, term, class)``; an empty class stands for removal."""
     out: Strong = {}
-    for e, t, s in rows:
-        out.setdefault(e, {})[t] = s
+    for e, t, c in rows:
+        out.setdefault(e, {})[t] = c
     return out
 
 
-def _with_terms(text: str, spans: list[tuple[int, int, str]], strong: Strong) -> list[tuple[int, int, str, float]]:
-    """Base spans and every occurrence of a term that reveals one of their entities, with its strength (0 for a base span)."""
-    terms: dict[int, float] = {}
+Found = list[tuple[int, int, str, str]]
+
+
+def _with_terms(text: str, spans: list[tuple[int, int, str]], strong: Strong) -> Found:
+    """Base spans and every occurrence of a term that reveals one of their entities, with its class.
+
+    Of the classes that different entities ask for the shortest is taken.
+    """
+    terms: dict[int, str] = {}
     for e in {entity_hash(k, text[a:b]) for a, b, k in spans} if strong else ():
-        for t, s in strong.get(e, {}).items():
-            terms[t] = max(s, terms.get(t, 0.0))
-    out = [(a, b, k, 0.0) for a, b, k in spans]
+        for t, c in strong.get(e, {}).items():
+            terms[t] = min(c, terms.get(t, c), key=len)
+    out = [(a, b, k, "") for a, b, k in spans]
     if terms:
-        known: dict[str, float | None] = {}
+        known: dict[str, str | None] = {}
         ends = sorted((a, b) for a, b, _ in spans)
         at = reach = 0
         for m in _WORD.finditer(text):
@@ -253,122 +333,128 @@ def _with_terms(text: str, spans: list[tuple[int, int, str]], strong: Strong) ->
             w = m.group()
             if w not in known:
                 known[w] = terms.get(term_hash(w))
-            if known[w] is not None:
-                out.append((*m.span(), "term", known[w]))
+            if (c := known[w]) is not None:
+                out.append((*m.span(), "term", c))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def sanitised(text: str, spans: list[tuple[int, int, str, float]], remove_at: float = REMOVE_AT) -> str:
-    """The text with entities named by kind, revealing terms cut, and weaker ones generalised to a class."""
+def sanitised(text: str, spans: Found) -> str:
+    """The text with entities named by kind, revealing terms cut, and weaker ones replaced by their class."""
     out, at = [], 0
-    for start, end, kind, strength in spans:
+    for start, end, kind, name in spans:
         if end <= at:
             continue
         out.append(text[at : max(at, start)])
         if kind != "term":
             out.append(f"<{kind.upper()}>")
-        elif strength < remove_at:
-            out.append("<NAME>" if text[start].isupper() else "<WORD>")
+        elif name:
+            out.append(f"<{name}*>")
         at = end
     return "".join(out) + text[at:]
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean string"
-
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over the judged pairs, made by the tasks and at most 16 MB in all."""
+    x = F.col("entity").bitwiseXOR(F.col("term"))
+    places = F.explode(F.array(x.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = pairs.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("word").to_numpy(zero_copy_only=False)] = batch.column("bits").to_numpy(zero_copy_only=False)
+    return out
 
-def scrub(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, most_pairs: int = MOST_PAIRS, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """Spans of personal data in every document, and the sanitised text.
 
-    Returns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` and,
-    ``with_text``, ``clean``. Null and empty texts have no spans and stay as
-    they are. Repeated rows and ids are rows of their own; an empty table gives
-    an empty one; other columns are ignored.
+def _joined_pairs(frame: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``frame(row, text)`` with ``found``: the judged pairs that meet in the text.
 
-    Corpus statistics are made first (see ``disclosures``). Then each text is
-    searched and rewritten where it is read. The judged pairs go to the tasks
-    while there are at most ``most_pairs`` of them; beyond that they are
-    joined to the words of the documents with entities; others take no part in
-    that join.
+    What the tasks send are the pairs of a text that pass a Bloom filter of
+    the judged ones, so about as many rows as there are such pairs; a chance
+    pass is dropped by the join. Equal texts are searched as one.
     """
-    own = _own(docs, id_col, text_col)
-    pairs = checkpointed(disclosures(own, "text", least_contexts, most_pairs=most_pairs))
-    if pairs.count() > most_pairs:
-        return _joined(own, pairs, with_text)
-    strong = strong_of(pairs.collect())
+    bits = _bitmap(pairs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = lambda x: (bits[x >> 6] >> (x & 63)) & 1 == 1
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield _result(batch.column(0), texts, [_with_terms(t, base_spans(t), strong) if t else [] for t in texts], with_text)
+            rows: set[tuple] = set()
+            for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                if found := {entity_hash(kind, text[a:b]) for a, b, kind in base_spans(text)}:
+                    terms = np.fromiter((term_hash(w) for w in words_of(text)), np.int64)
+                    for e in found:
+                        x = terms ^ np.int64(e)
+                        hit = on(x & (FILTER_BITS - 1)) & on((x >> 32) & (FILTER_BITS - 1))
+                        rows.update((k, e, t) for t in terms[hit].tolist())
+            k, e, t = zip(*rows) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), *_longs(e, t)], ["key", "entity", "term"])
 
-    return own.mapInArrow(run, SCHEMA) if with_text else own.mapInArrow(run, SCHEMA).drop("clean")
+    keyed = frame.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    met = keyed.select("key", "text").mapInArrow(passing, "key string, entity long, term long").distinct().join(pairs, ["entity", "term"])
+    lists = met.groupBy("key").agg(F.collect_list(F.struct("entity", "term", "class")).alias("found"))
+    return keyed.join(lists, "key", "left").select("row", "text", "found")
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", most_pairs: int = MOST_PAIRS, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """The documents with sanitised texts, all columns kept; a length in ``n_chars`` follows the text."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    pairs = checkpointed(disclosures(texts, "text", least_contexts, most_pairs=most_pairs))
+def _searched(frame: DataFrame, least_contexts: int, most_pairs: int, finish, schema) -> DataFrame:
+    """``finish(rows, texts, spans)`` over batches of ``frame(row, text)``, with the spans of each text (``Found``)."""
+    pairs = checkpointed(disclosures(frame.select("text"), "text", least_contexts, most_pairs=most_pairs))
     many = pairs.count() > most_pairs
-    strong = {} if many else strong_of(pairs.collect())
-    own = docs.withColumn("_text", F.col(text_col).cast("string"))
-    if many:
-        keyed = own.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
-        lists = _found(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")), pairs)
-        own = keyed.join(lists, keyed["_key"] == lists["key"], "left").drop("key", "_key")
+    strong = {} if many else strong_of(pairs.select("entity", "term", "class").collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            own = [strong_of((f["entity"], f["term"], f["strength"]) for f in fs or ()) for fs in batch.column("found").to_pylist()] if many else [strong] * len(texts)
-            found = [(t, base_spans(t), s) for t, s in zip(texts, own)]
-            clean = [sanitised(t, _with_terms(t, spans, s)) if spans else t for t, spans, s in found]
-            columns = {n: batch.column(n) for n in names} | {text_col: pa.array(clean, pa.string())}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t or "") for t in clean]).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    names = docs.columns
-    return own.mapInArrow(run, docs.schema)
-
-
-def _result(ids: pa.Array, texts: list[str | None], spans: list[list], with_text: bool) -> pa.RecordBatch:
-    base = [[(a, b, k) for a, b, k, _ in s if k != "term"] for s in spans]
-    count = lambda kind: pa.array([sum(k == kind for _, _, k in s) for s in base], pa.int64())
-    clean = [sanitised(t, s) if s else t for t, s in zip(texts, spans)] if with_text else [None] * len(texts)
-    return pa.RecordBatch.from_arrays(
-        [ids, count("email"), count("ip"), count("card"), count("phone"),
-         pa.array([hashlib.sha256(listed(s).encode()).hexdigest() for s in base], pa.string()),
-         pa.array([listed([x[:3] for x in s]) for s in spans], pa.string()), pa.array(clean, pa.string())],
-        ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean"],
-    )
+            texts = batch.column("text").to_pylist()
+            own = [strong_of((f["entity"], f["term"], f["class"]) for f in fs or ()) for fs in batch.column("found").to_pylist()] if many else [strong] * len(texts)
+            yield finish(batch.column("row"), texts, [_with_terms(t, base_spans(t), s) if t else [] for t, s in zip(texts, own)])
 
+    return (_joined_pairs(frame, pairs) if many else frame).mapInArrow(run, schema)
 
-def _found(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each ``key`` of a text: the judged pairs that meet in it."""
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = set()
-            for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                if found := {entity_hash(kind, text[a:b]) for a, b, kind in base_spans(text)}:
-                    terms = [term_hash(w) for w in words_of(text)]
-                    rows |= {(k, e, t) for e in found for t in terms}
-            k, e, t = zip(*rows) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(e, pa.int64()), pa.array(t, pa.int64())], ["key", "entity", "term"])
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean string"
 
-    found = keyed.mapInArrow(held, "key string, entity long, term long").distinct().join(pairs, ["entity", "term"])
-    return found.groupBy("key").agg(F.collect_list(F.struct("entity", "term", "strength")).alias("found"))
 
+def scrub(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, most_pairs: int = MOST_PAIRS, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+    """Spans of personal data in every document, and the sanitised text.
 
-def _joined(own: DataFrame, pairs: DataFrame, with_text: bool) -> DataFrame:
-    """The same rows as ``scrub`` with the judged pairs joined to the words of documents with entities."""
-    keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    Returns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` and,
+    ``with_text``, ``clean``. Null and empty texts have no spans and stay as
+    they are. Texts of any length are searched whole. Repeated rows and ids
+    are rows of their own; an empty table gives an empty one; other columns
+    are ignored, whatever their names.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            strong = [strong_of((f["entity"], f["term"], f["strength"]) for f in fs or ()) for fs in batch.column("found").to_pylist()]
-            yield _result(batch.column("doc_id"), texts, [_with_terms(t, base_spans(t), s) if t else [] for t, s in zip(texts, strong)], with_text)
+    Corpus statistics are made first (see ``disclosures``). Then each text is
+    searched and rewritten where it is read. The judged pairs go to the tasks
+    while there are at most ``most_pairs`` of them; beyond that they are
+    joined to those pairs of the documents that pass a filter of a fixed size.
+    """
 
-    out = keyed.join(_found(keyed.select("key", "text"), pairs), "key", "left").select("doc_id", "text", "found").mapInArrow(run, SCHEMA)
+    def finish(ids: pa.Array, texts: list[str | None], spans: list[Found]) -> pa.RecordBatch:
+        base = [[(a, b, k) for a, b, k, _ in s if k != "term"] for s in spans]
+        count = lambda kind: pa.array([sum(k == kind for _, _, k in s) for s in base], pa.int64())
+        clean = [sanitised(t, s) if s else t for t, s in zip(texts, spans)] if with_text else [None] * len(texts)
+        return pa.RecordBatch.from_arrays(
+            [ids, count("email"), count("ip"), count("card"), count("phone"),
+             pa.array([hashlib.sha256(listed(s).encode()).hexdigest() for s in base], pa.string()),
+             pa.array([listed([x[:3] for x in s]) for s in spans], pa.string()), pa.array(clean, pa.string())],
+            ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean"],
+        )
+
+    frame = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    out = _searched(frame, least_contexts, most_pairs, finish, SCHEMA)
     return out if with_text else out.drop("clean")
+
+
+def sanitise(docs: DataFrame, text_col: str = "text", most_pairs: int = MOST_PAIRS, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+    """The documents with sanitised texts, all columns kept; a length in ``n_chars`` follows the text.
+
+    Null and empty texts and those without personal data stay as they are,
+    with their ``n_chars``. Rows are rewritten each on its own, repeated ones
+    too; an empty table gives an empty one; columns may have any names, since
+    a row travels as one value.
+    """
+
+    def finish(rows: pa.Array, texts: list[str | None], spans: list[Found]) -> pa.RecordBatch:
+        clean = [sanitised(t, s) if s else t for t, s in zip(texts, spans)]
+        return with_texts(rows, clean, [t != c for t, c in zip(texts, clean)], text_col)
+
+    frame = docs.select(whole_row(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return _searched(frame, least_contexts, most_pairs, finish, docs.schema)

@@ -1,10 +1,14 @@
 """Quality rules and cross-document line frequency.
 
 Lines are normalised (lower case, single spaces) and hashed. For each host the
-documents that hold a line are counted; lines above the host's limit are
-boilerplate and are removed, and a document that loses too much of itself is
-rejected. Copies of one text count once, so that a group of copies doesn't
-turn its own lines into boilerplate.
+distinct documents that hold a line are counted; lines above the host's limit
+are boilerplate and are removed, and a document that loses too much of itself
+is rejected.
+
+Documents are distinct by their text: copies of one text count once. Counted
+one by one, a group of copies would turn each of its own lines into
+boilerplate, and the last copy would be rejected together with the others;
+copies are the business of the near-duplicate stage, which keeps one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import checkpointed, written
+from ._common import checkpointed, whole_row, with_texts, written
 from .words import windows, word_hashes
 
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -48,6 +52,12 @@ def repeated_words(hashes: np.ndarray, size: int = 3) -> int:
     return int(hit.sum())
 
 
+def line_hashes(text: str | None, host: str | None) -> list[int]:
+    """Hashes of host and normalised line, of each line of a text in order; None for a blank line."""
+    lead = b"" if host is None else host.encode() + b"\n"
+    return [xxhash.xxh3_64_intdigest(lead + b" ".join(own)) - (1 << 63) if (own := line.lower().split()) else None for line in (text or "").encode().split(b"\n")]
+
+
 def measure(text: str | None, host: bytes) -> tuple:
     """The base figures of a text, the hashes of its distinct normalised lines and the words of each."""
     raw = (text or "").encode()
@@ -87,10 +97,28 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, SCHEMA)
 
 
-def _bounded(df: DataFrame, most: int) -> DataFrame:
-    """``df``, materialised, and broadcast if its count of rows allows."""
+def _bounded(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """``df``, materialised, and broadcast if its count of rows allows; and whether it does."""
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    few = kept.count() <= most
+    return F.broadcast(kept) if few else kept, few
+
+
+def frequent_lines(feat: DataFrame, least_docs: int, host_percent: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``line, n``: line hashes (of host and line) that more distinct texts of their host hold than the limit allows.
+
+    ``feat`` has ``source, text_hash, lines``. Rows are counted first, on the
+    map side; only lines that reach the limit so are counted by text.
+    """
+    lines = feat.select("source", "text_hash", F.explode("lines").alias("line"))
+    often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")).where(F.col("n") > least_docs)
+    hosts = feat.select("source", "text_hash").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
+    over = lambda df: df.join(hosts.withColumnRenamed("source", "host"), F.col("source").eqNullSafe(F.col("host"))).where(
+        (F.col("n") > least_docs) & (100 * F.col("n") > host_percent * F.col("docs"))
+    )
+    suspects = _bounded(over(often).select("line"), most_broadcast)[0]
+    distinct = lines.join(suspects, "line").groupBy("line", "text_hash").agg(F.first("source").alias("source"))
+    return over(distinct.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"))).select("line", "n")
 
 
 def base_failed(n_words: Column, n_repeat: Column) -> Column:
@@ -112,24 +140,15 @@ def judge(
     such lines hold ``depleted_percent`` per cent of its words or more.
 
     Null, empty and blank texts have no words, fail the base rules and have no
-    lines. A null source is a host of its own. Repeated rows and ids are rows
-    of their own. An empty table gives an empty one. Other columns are ignored.
+    lines. Texts of any length are measured whole. A null source is a host of
+    its own. Repeated rows and ids are rows of their own. An empty table gives
+    an empty one. Other columns are ignored, whatever their names.
 
     Texts aren't shuffled: the tasks send line hashes, summed on the map side,
     and the frequent lines come back to the figures of the documents.
     """
     feat = written(features(docs, id_col, text_col, host_col), "quality-features")
-    lines = feat.select("source", "text_hash", F.explode("lines").alias("line"))
-    often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")).where(F.col("n") > least_docs)
-    hosts = feat.select("source", "text_hash").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
-    over = lambda df: df.join(hosts.withColumnRenamed("source", "host"), F.col("source").eqNullSafe(F.col("host"))).where(
-        (F.col("n") > least_docs) & (100 * F.col("n") > host_percent * F.col("docs"))
-    )
-    suspects = _bounded(over(often).select("line"), most_broadcast)
-    distinct = lines.join(suspects, "line").groupBy("line", "text_hash").agg(F.first("source").alias("source"))
-    frequent = _bounded(
-        over(distinct.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"))).select("line", "n"), most_broadcast
-    )
+    frequent = _bounded(frequent_lines(feat, least_docs, host_percent, most_broadcast), most_broadcast)[0]
     lost = (
         feat.select("row", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
         .select("row", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
@@ -152,45 +171,68 @@ def judge(
     )
 
 
-def without_lines(text: str | None, removed: set[int], source: str | None) -> str | None:
-    """A text without the lines whose hash is in ``removed``."""
-    if not text or not removed:
-        return text
-    host = b"" if source is None else source.encode() + b"\n"
-    kept = []
-    for line in text.split("\n"):
-        own = line.encode().lower().split()
-        if not own or xxhash.xxh3_64_intdigest(host + b" ".join(own)) - (1 << 63) not in removed:
-            kept.append(line)
-    return "\n".join(kept)
+def _line_features(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """``source, text_hash, lines`` of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
+        for batch in batches:
+            lines = [list({h for h in line_hashes(t, s) if h is not None}) for s, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], ["source", "text_hash", "lines"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(host_col).cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "source string, text_hash long, lines array<long>")
+
+
+def _verdict(text: str | None, host: str | None, frequent, depleted_percent: int) -> tuple[bool, str | None]:
+    """Whether a document is kept, and its text without the frequent lines."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if len(words) < 50 or 100 * repeated_words(word_hashes(words)) > 50 * len(words):
+        return False, text
+    lines = text.split("\n")
+    gone = [h is not None and h in frequent for h in line_hashes(text, host)]
+    if not any(gone):
+        return True, text
+    lost = sum(len(line.encode().split()) for line, g in zip(lines, gone) if g)
+    return 100 * lost < depleted_percent * len(words), "\n".join([line for line, g in zip(lines, gone) if not g])
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The documents that are kept, without the lines above their host's limit.
+def cleaned(
+    docs: DataFrame, least_docs: int = 20, host_percent: int = 10, depleted_percent: int = 50,
+    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_broadcast: int = MOST_BROADCAST,
+) -> DataFrame:
+    """The documents that ``judge`` keeps, without the lines above their host's limit.
 
-    Has the columns of ``docs``; a length in ``n_chars`` follows the text.
+    Has the columns of ``docs``; a length in ``n_chars`` follows a text that
+    loses lines. Null, empty and blank texts are rejected, as in ``judge``, and
+    texts of any length are taken whole. Repeated rows are judged alike and
+    each kept; an empty table gives an empty one; columns may have any names,
+    since a row travels as one value.
+
+    Each text is judged where it is read, against the frequent lines as a
+    broadcast of a checked size; beyond it the frequent lines of each text are
+    joined to it by its hash and host.
     """
-    key = {"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string")), "_host": F.col(host_col).cast("string")}
-    verdicts = (
-        judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
-        .where("kept")
-        .select(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("source").alias("v_host"), F.col("removed_lines").alias("_removed"))
-        .dropDuplicates(["v_id", "v_hash", "v_host"])
-    )
-    own = docs.withColumns(key)
-    same = own["_hash"].eqNullSafe(verdicts["v_hash"]) & own["_id"].eqNullSafe(verdicts["v_id"]) & own["_host"].eqNullSafe(verdicts["v_host"])
-    joined = own.join(verdicts, same).drop("v_id", "v_hash", "v_host", "_id", "_hash")
+    text, host = F.col(text_col).cast("string"), F.col(host_col).cast("string")
+    feat = written(_line_features(docs, text_col, host_col), "quality-lines")
+    lines, few = _bounded(frequent_lines(feat, least_docs, host_percent, most_broadcast), most_broadcast)
+    frame = docs.select(whole_row(docs).alias("row"), text.alias("text"), host.alias("host"), F.xxhash64(text).alias("hash"))
+    known: frozenset = frozenset()
+    if few:
+        known = frozenset(r[0] for r in lines.select("line").collect())
+    else:
+        held = feat.select("source", "text_hash", F.explode("lines").alias("line")).distinct().join(lines, "line")
+        own = held.groupBy("source", F.col("text_hash").alias("own_hash")).agg(F.collect_list("line").alias("lines"))
+        frame = frame.join(own, (frame["hash"] == own["own_hash"]) & frame["host"].eqNullSafe(own["source"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
-            texts = [
-                without_lines(t, set(r), h)
-                for t, r, h in zip(batch.column("_text").to_pylist(), batch.column("_removed").to_pylist(), batch.column("_host").to_pylist())
-            ]
-            columns = {n: batch.column(n) for n in names} | {text_col: pa.array(texts, pa.string())}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t or "") for t in texts]).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    names = docs.columns
-    return joined.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+            texts, hosts = batch.column("text").to_pylist(), batch.column("host").to_pylist()
+            frequent = [known] * len(texts) if few else [frozenset(x or ()) for x in batch.column("lines").to_pylist()]
+            out = [_verdict(t, h, f, depleted_percent) for t, h, f in zip(texts, hosts, frequent)]
+            kept = pa.array([k for k, _ in out], pa.bool_())
+            yield with_texts(batch.column("row"), [c for _, c in out], [t != c for t, (_, c) in zip(texts, out)], text_col).filter(kept)
+
+    return frame.mapInArrow(run, docs.schema)

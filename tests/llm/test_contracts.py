@@ -365,3 +365,97 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(df.columns)
     assert columns == sorted(expected.columns)
     assert Counter(map(tuple, df.select(*columns).collect())) == Counter(expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+
+
+CLASHING = ["key", "found", "row", "hash", "host", "lines", "v_id", "v_hash", "v_host", "_text", "_key", "entity", "term", "n", "line", "own_hash", "_kept", "node", "label", "a.b"]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_columns_of_any_name_pass_through(spark, most):
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"Common line\n{body} {i} Zorbanel writes zoe@mail.example.com" if i < 40 else f"Common line\n{body} number {i}", "en", "s", i) + tuple(f"{c}{i}" for c in CLASHING) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for out in (quality.cleaned(frame, most_broadcast=most), pii.sanitise(frame, most_pairs=most)):
+        assert out.columns == frame.columns
+        got = out.collect()
+        assert len(got) == 50 and all(tuple(r)[5:] == rows[r.doc_id][5:] for r in got)
+        assert all(r.n_chars == len(r.text) for r in got if r.text != rows[r.doc_id][1])
+    assert not any("zoe@" in r.text for r in got) and not any("Common" in r.text for r in quality.cleaned(frame, most_broadcast=most).collect())
+    for out in (minhash.one_of_each(frame), decontam.uncontaminated(frame, spark.createDataFrame([(1, "zz")], "item_id long, text string"))):
+        assert out.columns == frame.columns and all(tuple(r) == rows[r.doc_id] for r in out.collect())
+
+
+def test_pii_very_long_runs_of_digits_and_dots():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1" * 1_000_000, "1" * 5000 + ".1.1.1", "1.2." * 250_000, "0" * 5000 + "1.2.3.4", "1 " * 500_000, "+1" + "(" * 1_000_000, "a" * 1_000_000 + "@", "@" * 1_000_000):
+        spans = pii.base_spans(text)
+        if len(text) < 10_000:
+            assert [(a, b, pii.KINDS.index(k)) for a, b, k in spans] == brute_spans(text)
+    assert time.perf_counter() - began < 60
+    for t in ("1.2.3.4.5.6.7.8.9", "256.1.1.1.2.3.4.5", "001.02.3.0255", "1..2.3.4.5", ".1.2.3.4.", "1.2.3", "1.2.3.4a5.6.7.8"):
+        assert [(a, b) for a, b in pii.addresses(t)] == [(a, b) for a, b, k in brute_spans(t) if k == 1], t
+
+
+def brute_terms(rows, least=3, remove=0.9, generalise=0.75):
+    """Classes of judged terms by entity, and the strengths, from whole documents."""
+    import math
+
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]+", t or "")}
+    n = len(rows)
+    of_entity, of_term, both, texts, of_class = Counter(), Counter(), Counter(), defaultdict(set), Counter()
+    for _, t in rows:
+        own = words(t)
+        entities = {(k, t[a:b].lower()) for a, b, k in brute_spans(t)}
+        of_term.update(own)
+        of_class.update({w[:i] for w in own for i in range(1, min(len(w), 9))})
+        of_entity.update(entities)
+        for e in entities:
+            for w in own:
+                both[e, w] += 1
+                texts[e, w].add(t)
+    out = defaultdict(dict)
+    for (e, w), k in both.items():
+        if len(texts[e, w]) >= least and of_entity[e] < n:
+            ic = math.log(n / of_entity[e])
+            s = math.log(k * n / (of_term[w] * of_entity[e])) / ic
+            if s >= generalise:
+                fit = [w[:i] for i in range(1, min(len(w), 9)) if math.log(n / of_class[w[:i]]) < generalise * ic]
+                out[e][w] = (s, max(fit, key=len) if fit and s < remove else "")
+    return out
+
+
+def brute_term_spans(text, strong):
+    base = brute_spans(text)
+    terms = {}
+    for a, b, k in base:
+        for w, (_, c) in strong.get((k, text[a:b].lower()), {}).items():
+            terms[w] = min(c, terms.get(w, c), key=len)
+    free = [(m.start(), m.end(), terms[m.group().lower()]) for m in re.finditer(r"[^\W\d_]+", text or "") if m.group().lower() in terms]
+    return [x for x in free if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_pii_terms_match_brute_force(spark, docs, most):
+    weak = ["Marbleton", "Marbury", "Marsden", "Zorbanel"]
+    made = [(5000 + i, f"report {chr(97 + i % 26) * 3} of {weak[i % 4]} to Quellford at q@corp.example.org with filler {chr(97 + i % 7) * 4}") for i in range(16)]
+    made += [(6000 + i, f"margin market {'Quellford' if i < 5 else 'quiet'} item {chr(97 + i % 23) * 5}") for i in range(60)]
+    rows = [(d, t) for d, t, *_ in docs] + made
+    strong = brute_terms(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.entity, r.term): (r.strength, r["class"]) for r in pii.disclosures(frame, most_pairs=max(most, 1)).collect()}
+    expected = {(pii.entity_hash(pii.KINDS[e[0]], e[1]), pii.term_hash(w)): v for e, own in strong.items() for w, v in own.items()}
+    assert got.keys() == expected.keys() and all(abs(got[k][0] - v[0]) < 1e-9 and got[k][1] == v[1] for k, v in expected.items())
+    assert any(v[1] for v in expected.values())
+    for r in pii.scrub(frame, most_pairs=most).collect():
+        text = dict(rows)[r.doc_id]
+        own = brute_term_spans(text, strong)
+        assert [s for s in r.spans.split(",") if s.startswith("term")] == [f"term:{a}:{b}" for a, b, _ in own]
+        assert all(not c or f"<{c}*>" in r.clean for *_, c in own)
+
+
+def test_pii_words_next_to_an_entity_are_never_cut(spark):
+    rows = [(i, f"filler{chr(97 + i)} " + "q" * 900 + f" zoe@mail.example.com tail{chr(97 + i)}") for i in range(4)] + [(9 + i, f"plain words number {i}") for i in range(9)]
+    got = {r.doc_id: r for r in pii.scrub(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:8:908" in got[0].spans
