@@ -122,21 +122,81 @@ def test_packing_odd_rows(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_packer_chooses_the_smallest_sum_of_squares():
-    packer = packing.Packer(10)
-    for level, count in ((3, 4), (5, 1), (7, 2)):
-        packer.levels[level] = count
-    for size in range(1, 10):
-        def after(level):
-            n = packer.levels.copy()
-            if level:
-                n[level] -= 1
-            if level + size < 10:
-                n[level + size] += 1
-            return int((n[1:10] ** 2).sum())
-
-        options = [0, *[h for h in range(1, 10 - size + 1) if packer.levels[h]]]
-        assert after(packer.choose(size)) == min(map(after, options))
+def plain_packing(sizes, window, most_open):
+    """Pieces (doc, start, length) of each window, in order, by the rule alone: every option's sum of squares is worked out in full."""
+    open_, closed, kinds = [], [], Counter()
+    squares = lambda levels: sum(c * c for c in Counter(levels).values())
+
+    def sum_after(i, fill):
+        levels = [sum(p[2] for p in w) for w in open_]
+        if i is None:
+            levels.append(fill)
+        else:
+            levels[i] += fill
+        return squares(x for x in levels if x < window)
+
+    for doc, total in enumerate(sizes):
+        start = 0
+        while total - start >= window:
+            closed.append([(doc, start, window)])
+            kinds["whole"] += 1
+            start += window
+        while start < total:
+            size = total - start
+            level = lambda i: sum(p[2] for p in open_[i])
+            fits = [i for i in range(len(open_)) if level(i) + size <= window]
+            full = len(open_) >= most_open
+            if not fits and full:  # the head fills a window, the tail begins one
+                over = [i for i in range(len(open_)) if level(i) + size > window]
+                def cut_sum(i):
+                    levels = [level(k) for k in range(len(open_)) if k != i] + [size - (window - level(i))]
+                    return squares(levels)
+                best = min(over, key=lambda i: (cut_sum(i), level(i)))
+                size = window - level(best)
+            else:
+                best = min(fits, key=lambda i: (sum_after(i, size), -level(i)), default=None)
+                if not full and (best is None or sum_after(None, size) < sum_after(best, size)):
+                    open_.append([])
+                    best = len(open_) - 1
+            open_[best].append((doc, start, size))
+            if level(best) == window:
+                closed.append(open_.pop(best))
+                kinds["placed"] += 1
+            start += size
+    return closed, open_, kinds
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packer_follows_the_rule(seed):
+    import random
+
+    rng = random.Random(seed)
+    window, most = rng.choice([10, 37, 100]), rng.choice([2, 5, 12])
+    sizes = [rng.randint(1, window if rng.random() < 0.9 else 3 * window) for _ in range(300)]
+    packer = packing.Packer(window, most_open=most)
+    for doc, n in enumerate(sizes):
+        packer.add(doc, bytes(4 * n))
+        assert packer.n_open <= most == packer.most_open and packer.levels.sum() == packer.n_open
+    closed, left, kinds = plain_packing(sizes, window, most)
+    pieces = [(doc, start, len(ids) // 4) for doc, start, ids, *_ in packer.out]
+    pieces += [(doc, start, len(ids) // 4) for windows in packer.open.values() for _, parts in windows for doc, start, ids, _ in parts]
+    levels = lambda windows: Counter(sum(p[2] for p in w) for w in windows)
+    assert (packer.closed["whole"], packer.closed["placed"]) == (kinds["whole"], kinds["placed"])
+    assert Counter(pieces) == Counter(p for w in closed + left for p in w)
+    assert levels(left) == Counter({h: int(c) for h, c in enumerate(packer.levels) if c})
+    packer.drain()
+    assert packer.closed["drained"] <= most
+
+
+def test_drain_is_a_small_part_of_a_partition(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    encode = encoder(vocabulary("word_bpe_49k.json"), True).encode
+    packer = packing.Packer(2048)
+    for doc, text in rows:
+        packer.add(doc, encode(text) + b"\1\0\0\0")
+    packer.drain()
+    assert packer.closed["drained"] <= packing.MOST_OPEN and packer.closed["placed"] > 3 * packer.closed["drained"]
+    assert len(packer.out) < 1.6 * len(rows)
 
 
 def brute_quality(text):
