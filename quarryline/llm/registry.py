@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, minhash, oracles, packing, pii, quality, sharding, substrings, tokenstore, urlrules
 from ._common import scratch_path
@@ -25,7 +26,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     tokenstore.write_store(_table(spark, sf_dir, "documents"), path)
-    return tokenstore.verify_store(spark, path).drop("row")
+    sound = F.coalesce("verified", F.lit(False))
+    fault = F.raise_error(F.concat(F.lit("damaged document in row "), F.col("row"))).cast("long")
+    return tokenstore.verify_store(spark, path).withColumn("n_tokens", F.when(sound, F.col("n_tokens")).otherwise(fault)).drop("row")
 
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

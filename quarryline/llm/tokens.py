@@ -51,16 +51,17 @@ class _Known(dict):
 
 
 class PieceEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
+    """``encode(text)`` gives the ids as little-endian unsigned integers of ``width`` bytes.
 
     Strings of special tokens in a text are ordinary text, and none are added.
     ``lower`` tells a vocabulary of lower-cased words from one of all bytes.
     """
 
-    def __init__(self, path: str, lower: bool):
+    def __init__(self, path: str, lower: bool, width: int = 4):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = width
         self.tokenizer.encode_special_tokens = True
         self.lower = lower
         self.model = self.tokenizer.model
@@ -72,11 +73,11 @@ class PieceEncoder:
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelt)])
 
     def _joined(self, word: str) -> bytes:
         pieces = self.pieces(word)
@@ -100,14 +101,22 @@ class PieceEncoder:
 
 
 @functools.cache
-def _encoder(path: str, lower: bool) -> PieceEncoder:
-    return PieceEncoder(path, lower)
+def _encoder(path: str, lower: bool, width: int) -> PieceEncoder:
+    return PieceEncoder(path, lower, width)
 
 
-def encoder(path: str, lower: bool) -> PieceEncoder:
+def encoder(path: str, lower: bool, width: int = 4) -> PieceEncoder:
     """One encoder for each worker process, which gives back what it remembers for other work."""
     words.forget()
-    return _encoder(path, lower)
+    return _encoder(path, lower, width)
+
+
+@functools.cache
+def id_width(path: str) -> int:
+    """Bytes that hold every id of a vocabulary: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
 def forget() -> None:

@@ -3,35 +3,45 @@
 Ids of a document are cut into chunks where a rolling hash of the last ids
 says so, so an edit moves few cuts. A chunk's address is the digest of its
 bytes; each distinct chunk is stored once. A document is a recipe of
-addresses, sealed by the root of a Merkle tree over them, and the manifest
-holds one root over the recipes of each part.
+addresses, sealed by the root of a Merkle tree over them. The manifest has a
+row per part of 65,536 documents: how many they are, their ids, the first
+place of the part, and the root of a Merkle tree over its recipes, each leaf
+made of a recipe's number, document, place, length and root. Reading verifies
+all of it: a chunk by its address, a document by its root, and by the
+manifest that no recipe is missing, altered or out of place.
 
 Layout below the store's path::
 
-    blocks/kind=chunk    address, ids (little-endian, 2 bytes each if all fit, else 4), width, n
+    blocks/kind=chunk    address, ids (little-endian, 2 bytes each if the vocabulary's ids all fit, else 4), width, n
     blocks/kind=recipe   as written by the tasks, before numbering
     recipes              row, doc_id, start, n_tokens, addresses, root - in ascending doc_id order
-    manifest             part, documents, tokens, root
+    manifest             part, documents, tokens, start, root
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 import zlib
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import running_start
-from .tokens import encoder, vocabulary
+from .minhash import grouped
+from .tokens import encoder, id_width, vocabulary
 
 #: Ids in the rolling hash; a cut falls after one in AVERAGE places between LEAST and MOST ids.
 ROLL, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
+#: Documents of a part of the manifest.
+PART = 1 << 16
 #: Addresses that a task remembers having sent.
 MOST_SENT = 200_000
 DIGEST = 16
@@ -51,15 +61,19 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; the last is its length."""
-    ends, at, n = [], 0, len(ids)
-    marks = np.flatnonzero((rolling(ids) >> np.uint64(40)) % np.uint64(AVERAGE) == 0) + 1
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash allows a cut. Several documents may be laid end to end: a chunk
+    has LEAST ids or more, so no cut is decided by ids of the document before."""
+    return np.flatnonzero((rolling(ids) >> np.uint64(40)) % np.uint64(AVERAGE) == 0) + 1
+
+
+def cuts(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids; the last is ``n``. ``marks`` are in order."""
+    ends, at = [], 0
     while n - at > LEAST:
-        i = int(np.searchsorted(marks, at + LEAST))
-        end = min(int(marks[i]) if i < len(marks) else n, at + MOST, n)
-        ends.append(end)
-        at = end
+        i = bisect_left(marks, at + LEAST)
+        at = min(marks[i] if i < len(marks) else n, at + MOST, n)
+        ends.append(at)
     if at < n:
         ends.append(n)
     return ends
@@ -79,35 +93,38 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def _blocks(path: str, lower: bool, end_id: int):
-    end = end_id.to_bytes(4, "little")
+    width = id_width(path)
+    end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, lower).encode
+        encode = encoder(path, lower, width).encode
         sent: OrderedDict[bytes, None] = OrderedDict()
-        out: list[tuple] = []
-        made = 0
+        made = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = encode(text.as_py()) + end
-                ids = np.frombuffer(raw, dtype="<u4")
-                at, addresses = 0, []
-                for stop in cuts(ids):
-                    own = raw[4 * at : 4 * stop]
-                    addresses.append(key := address(own))
-                    if key not in sent:
-                        sent[key] = None
-                        if len(sent) > MOST_SENT:
-                            sent.popitem(last=False)
-                        small = int(ids[at:stop].max()) < 1 << 16
-                        out.append((key, "chunk", ids[at:stop].astype("<u2").tobytes() if small else own, 2 if small else 4, stop - at, None, None, None))
-                    at = stop
-                made += 1  # recipes are spread by document, not by content
-                out.append((address(b"%d %d" % (made, doc or 0)), "recipe", None, None, len(ids), doc, b"".join(addresses), merkle_root(addresses)))
-                if len(out) >= 2000:
-                    yield _block_batch(out)
-                    out = []
-        if out:
-            yield _block_batch(out)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                raws = [encode(text) + end for text in part.column(1).to_pylist()]
+                sizes = [len(raw) // width for raw in raws]
+                marks = marks_of(np.frombuffer(b"".join(raws), dtype=f"<u{width}")).tolist()
+                out: list[tuple] = []
+                low = base = 0
+                for doc, raw, n in zip(part.column(0).to_pylist(), raws, sizes):
+                    high = bisect_left(marks, base + n, low)
+                    own = [m - base for m in marks[low:high]] if n > LEAST else []
+                    low, base = high, base + n
+                    at, addresses = 0, []
+                    for stop in cuts(n, own):
+                        ids = raw[width * at : width * stop]
+                        addresses.append(key := address(ids))
+                        if key not in sent:
+                            sent[key] = None
+                            if len(sent) > MOST_SENT:
+                                sent.popitem(last=False)
+                            out.append((key, "chunk", ids, width, stop - at, None, None, None))
+                        at = stop
+                    made += 1  # recipes are spread by document, not by content
+                    out.append((struct.pack("<Q", made), "recipe", None, None, n, doc, b"".join(addresses), merkle_root(addresses)))
+                yield _block_batch(out)
 
     return run
 
@@ -134,9 +151,10 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, path: str, end_id: int = 2, vocabulary_path: str | None = None, lower: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenises every document and writes the store below ``path``.
 
-    A null or empty text is its end id alone. Repeated rows and ids, null ids
-    too (they come first), are documents of their own; an empty table makes an
-    empty store; other columns are ignored.
+    A null or empty text is its end id alone; a very long one is many chunks.
+    Repeated rows and ids, null ids too (they come first), are documents of
+    their own; an empty table makes an empty store; other columns are
+    ignored, whatever their names.
 
     Texts are tokenised once. A task sends each chunk once, chunks are dealt
     by address, and the writer keeps the first of each; so a chunk that a
@@ -150,13 +168,48 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, vocabulary_path: st
     raw = _read_blocks(spark, path, "recipe").select("doc_id", F.col("n").alias("n_tokens"), "addresses", "root")
     placed = running_start(raw, "n_tokens", F.col("doc_id").asc_nulls_first(), "root")
     placed.select("row", "doc_id", "start", "n_tokens", "addresses", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    # a part is 2**16 documents in order, so what one group gathers is bounded
-    parts = recipes.groupBy(F.expr("row div 65536").alias("part")).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("row", "root"))).alias("roots")
-    )
-    root = F.udf(lambda rows: merkle_root([bytes(r["root"]) for r in rows]), "binary")
-    parts.select("part", "documents", "tokens", root("roots").alias("root")).write.parquet(f"{path}/manifest")
+    _sealed(spark.read.parquet(f"{path}/recipes")).drop("gapless").write.parquet(f"{path}/manifest")
+
+
+MANIFEST = "part long, documents long, tokens long, start long, root binary, gapless boolean"
+
+
+def _sealed(recipes: DataFrame) -> DataFrame:
+    """The manifest's row of each part, made from its recipes, and whether they follow each other without a gap.
+
+    A part is 65,536 documents by row number and less than 7 MB, so no task gathers more than that at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["part"]):
+            row, start, n = (t.column(c).to_pylist() for c in ("row", "start", "n_tokens"))
+            leaves = [
+                struct.pack("<q?qqq", r, d is None, d or 0, s, k) + root
+                for r, d, s, k, root in zip(row, t.column("doc_id").to_pylist(), start, n, t.column("root").to_pylist())
+            ]
+            part = row[0] // PART
+            gapless = row == list(range(part * PART, part * PART + len(row))) and all(a + k == b for a, k, b in zip(start, n, start[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part]), pa.array([len(row)]), pa.array([sum(n)]), pa.array([start[0]]), pa.array([merkle_root(leaves)], pa.binary()), pa.array([gapless])],
+                [x.split()[0] for x in MANIFEST.split(", ")],
+            )
+
+    parts = recipes.select(F.expr(f"row div {PART}").alias("part"), "row", "doc_id", "start", "n_tokens", "root")
+    return parts.repartition("part").sortWithinPartitions("part", "row").mapInArrow(run, MANIFEST)
+
+
+def damaged_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Parts whose recipes aren't those that the manifest seals, as ``part, fault``: ``lost``, ``unknown`` or ``altered``.
+
+    A part is ``altered`` too when a recipe of it is missing, or when it doesn't start where the part before it ends.
+    """
+    own = spark.read.schema(MANIFEST.removesuffix(", gapless boolean")).parquet(f"{path}/manifest")
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per 65,536 documents
+    expected = own.select("part", F.struct("documents", "tokens", "start", "root").alias("sealed"), before.alias("before"))
+    found = _sealed(spark.read.parquet(f"{path}/recipes")).select("part", F.struct("documents", "tokens", "start", "root").alias("read"), "gapless")
+    same = F.col("gapless") & (F.col("sealed") == F.col("read")) & (F.col("sealed.start") == F.col("before"))
+    fault = F.when(F.col("read").isNull(), "lost").when(F.col("sealed").isNull(), "unknown").when(~same, "altered")
+    return expected.join(found, "part", "full").select("part", fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def _read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -216,22 +269,33 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = _unpacked(ids, width)
             crc.append(zlib.crc32(raw))
             n.append(len(raw) // 4)
-            good.append(address(raw) == place)
+            good.append(address(ids) == place)
         yield pa.RecordBatch.from_arrays(
             [batch.column("place"), pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.bool_())], ["place", "crc", "n", "good"]
         )
 
 
+class DamagedStore(ValueError):
+    """A store whose recipes don't agree with its manifest."""
+
+
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
     """Reads a store back and checks it: ``doc_id, start, n_tokens, ids_crc32, verified, row``.
 
-    Every chunk file is read and every chunk's ids are hashed again. Checksums
-    of whole documents come from those of their chunks as read, moved to their
-    places, so no ids are shuffled. ``verified`` tells that all chunks are
-    there and sound, that they add up to the recipe's length and that the
-    recipe's root is that of its addresses. To rebuild the ids themselves, see
-    ``read_documents``.
+    First the recipes are held against the manifest: a part that is lost,
+    altered or out of place raises ``DamagedStore``, so ``start`` is what the
+    manifest seals and no document is missing. Then every chunk file is read
+    and every chunk's ids are hashed again. Checksums of whole documents come
+    from those of their chunks as read, moved to their places, so no ids are
+    shuffled. ``verified`` tells that all chunks are there and sound, that
+    they add up to the recipe's length and that the recipe's root is that of
+    its addresses. To rebuild the ids themselves, see ``read_documents``.
+
+    An empty store gives no rows. Null and repeated ids are told apart by
+    ``row``; documents of any length are read a chunk at a time.
     """
+    if bad := damaged_parts(spark, path).limit(10).collect():
+        raise DamagedStore(f"{path}: " + ", ".join(f"part {r.part} {r.fault}" for r in bad))
     chunks = _read_blocks(spark, path, "chunk").select("place", "ids", "width").mapInArrow(_checked, "place binary, crc long, n long, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
 
@@ -265,7 +329,8 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """The ids of every document, rebuilt from its chunks: ``row, doc_id, start, ids`` (little-endian, 4 bytes each).
 
-    A document with a missing chunk fails the read.
+    A document with a missing chunk fails the read. An empty store gives no
+    rows; null and repeated ids are told apart by ``row``.
     """
     chunks = _read_blocks(spark, path, "chunk").select("place", "ids", "width")
     parts = _split(spark.read.parquet(f"{path}/recipes").select("row", "doc_id", "start", "addresses")).drop("addresses").join(chunks, "place", "left")
