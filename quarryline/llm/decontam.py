@@ -1,9 +1,13 @@
-"""Benchmark passages in documents by one Aho-Corasick automaton.
+"""Benchmark passages in documents by Aho-Corasick automata.
 
 Questions and answers are normalised to lower-case words with single spaces;
 every run of 10 words of an item is a pattern (an item of fewer words is one
 pattern). Each document is normalised the same way and scanned once; matches
 are mapped back to words and to characters of the original text.
+
+One automaton holds all patterns as long as the items' texts fit in its
+memory. A larger benchmark is cut into shards of that size, each with an
+automaton of its own, and the texts are scanned by one after the other.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of item texts that one automaton takes; more are joined by window hashes.
-MOST_ITEM_BYTES = 32_000_000
+from ._common import running_start, whole_row, written
+
+#: Bytes of item texts that one automaton takes. It was measured at 330 to 420 bytes of memory for each, so 160 MB at most.
+MOST_ITEM_BYTES = 400_000
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to lower case, other ASCII that isn't part of a word to a space.
@@ -38,16 +44,36 @@ def windows_of(words: list[bytes], size: int) -> list[bytes]:
     return list(dict.fromkeys(b" " + b" ".join(r) + b" " for r in runs))
 
 
-@functools.lru_cache(maxsize=2)
-def automaton(patterns: tuple[bytes, ...]):
-    """An automaton for each worker process; a match gives the pattern's number."""
+Items = tuple[tuple[int, str], ...]
+
+
+@functools.lru_cache(maxsize=1)
+def automaton(items: Items, size: int) -> tuple:
+    """The automaton of a worker process, with the words and the items of each pattern; a match gives the pattern's number."""
     import ahocorasick
 
+    owners: dict[bytes, set[int]] = {}
+    for item, text in items:
+        for p in windows_of(words_of(text.encode()), size):
+            owners.setdefault(p, set()).add(item)
+    if not owners:
+        return None, [], []
     found = ahocorasick.Automaton()
-    for i, p in enumerate(patterns):
+    for i, p in enumerate(owners):
         found.add_word(p.decode("latin-1"), i)
     found.make_automaton()
-    return found
+    return found, [p.count(b" ") - 1 for p in owners], [tuple(sorted(x)) for x in owners.values()]
+
+
+def merged(runs) -> list[tuple[int, int]]:
+    """Runs (first, end) joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(runs):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
 
 
 def scan(raw: bytes | None, machine, lengths: list[int]) -> tuple[int, list[tuple[int, int]], set[int]]:
@@ -64,18 +90,8 @@ def scan(raw: bytes | None, machine, lengths: list[int]) -> tuple[int, list[tupl
         at += 1
         spaces.append(at)
         at += len(w)
-    runs: list[tuple[int, int]] = []
-    for end, pattern in sorted((bisect_left(spaces, e) , p) for e, p in matches):
-        first = end - lengths[pattern]
-        runs.append((first, end))
-    runs.sort()
-    merged: list[tuple[int, int]] = []
-    for first, end in runs:
-        if merged and first <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-        else:
-            merged.append((first, end))
-    return len(words), merged, {p for _, p in matches}
+    ends = [(bisect_left(spaces, e), p) for e, p in matches]
+    return len(words), merged((end - lengths[p], end) for end, p in ends), {p for _, p in matches}
 
 
 def digest(items: set[int]) -> str:
@@ -91,25 +107,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     Returns one row per document: ``doc_id, n_words, n_hit, n_items`` (items
     with occurring windows), ``items_sha256, contaminated``, the ``items``
     themselves and ``spans`` of hit runs in code points of the original text.
-    Null, empty and wordless texts have no words and no hits; items like that,
-    or with a null id, have no windows. Rows may repeat. Without items nothing
-    is contaminated. Other columns are ignored.
-
-    Texts are scanned where they are read; nothing is shuffled. The items go
-    to the tasks while their texts have at most ``most_item_bytes``; beyond
-    that the windows are joined as hashes (``joined_contamination``).
+    Null, empty and wordless texts have no words and no hits; texts of any
+    length are scanned whole. Items without words, or with a null id, have no
+    windows; rows of one item id are one item. Rows may repeat. Without items
+    nothing is contaminated. An empty table gives an empty one. Other columns
+    are ignored, whatever their names.
+
+    Texts are scanned where they are read, and with a benchmark of at most
+    ``most_item_bytes`` nothing is shuffled. A larger one is scanned shard by
+    shard (see ``_hits``), and the hits of the shards are joined to the texts.
     """
-    items = _items(benchmark, item_id, item_text)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if not _fits(items, most_item_bytes):
-        return joined_contamination(own, items, size)
-    owners = _owners(items, size)
-    patterns = tuple(sorted(owners))
-    of = [sorted(owners[p]) for p in patterns]
-    lengths = [p.count(b" ") - 1 for p in patterns]
+    shards = list(_shards(_items(benchmark, item_id, item_text), size, most_item_bytes))
+    if len(shards) > 1:
+        return _combined(own, shards, size)
+    items = _collected(shards[0]) if shards else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(patterns) if patterns else None
+        machine, lengths, of = automaton(items, size)
         for batch in batches:
             rows = []
             for raw in batch.column(1).cast(pa.binary()):
@@ -125,37 +140,106 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).dropna()
 
 
-def _fits(items: DataFrame, most: int) -> bool:
-    return items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= most
+def _shards(items: DataFrame, size: int, most: int) -> Iterator[DataFrame]:
+    """The items in shards of about ``most`` bytes; of a longer item, pieces that hold all its windows."""
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if total <= most:
+        if total:
+            yield items
+        return
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text.encode())
+                step = max(1, most // 16)
+                for i in range(0, max(1, len(words) - size + 1), step):
+                    out.append((item, b" ".join(words[i : i + step + size - 1]).decode()))
+            item, text = zip(*out) if out else ((),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(text, pa.string())], ["item", "text"])
 
-def _owners(items: DataFrame, size: int) -> dict[bytes, set[int]]:
-    """The items of each window."""
-    owners: dict[bytes, set[int]] = {}
-    for item, text in items.collect():
-        for p in windows_of(words_of(text.encode()), size):
-            owners.setdefault(p, set()).add(item)
-    return owners
+    cut = items.mapInArrow(pieces, "item long, text string").withColumn("bytes", F.octet_length("text").cast("long"))
+    placed = written(running_start(cut, "bytes", "item", "text").select("item", "text", F.expr(f"start div {most}").alias("shard")), "benchmark")
+    for r in placed.select("shard").distinct().orderBy("shard").collect():  # as many as the benchmark has shards
+        yield placed.where(F.col("shard") == r.shard).select("item", "text")
+
+
+def _collected(shard: DataFrame) -> Items:
+    return tuple(sorted(map(tuple, shard.collect())))
+
+
+def _key(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def _hits(texts: DataFrame, shards: list[DataFrame], size: int) -> DataFrame:
+    """``key, runs, items`` of each of ``texts(key, text)`` with a hit, a row for each shard that hits it.
+
+    The driver and the tasks hold the items of one shard at a time: its hits
+    are written before the next shard is taken up.
+    """
+    out = None
+    for shard in shards:
+        items = _collected(shard)
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            machine, lengths, of = automaton(items, size)
+            for batch in batches:
+                rows = []
+                for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                    _, hit, found = scan(raw.as_py(), machine, lengths)
+                    if hit:
+                        rows.append((key, [{"first": a, "end": b} for a, b in hit], sorted({i for p in found for i in of[p]})))
+                key, runs, own = zip(*rows) if rows else ((),) * 3
+                run_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(runs, run_type), pa.array(own, pa.list_(pa.int64()))], ["key", "runs", "items"])
+
+        hits = written(texts.mapInArrow(run, "key string, runs array<struct<first:long,end:long>>, items array<long>"), "contamination")
+        out = hits if out is None else out.union(hits)
+    return out
+
+
+def _combined(own: DataFrame, shards: list[DataFrame], size: int) -> DataFrame:
+    """The rows of ``contamination`` from the hits of several shards; equal texts are scanned once."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw, runs, items in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                raw = raw.as_py()
+                rows.append(_row(raw, len(words_of(raw)), merged((r["first"], r["end"]) for r in runs or ()), set(items or ())))
+            yield _batch(batch.column(0), rows)
+
+    keyed = own.withColumn("key", _key("text"))
+    hits = _hits(keyed.select("key", "text").dropDuplicates(["key"]), shards, size)
+    found = hits.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return keyed.join(found, "key", "left").select("doc_id", "text", "runs", "items").mapInArrow(finish, SCHEMA)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most_item_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
-    """The documents, with all their columns, in which no window of the benchmark occurs."""
-    items = _items(benchmark, item_id, item_text)
-    if not _fits(items, most_item_bytes):
-        own = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).distinct()
-        bad = joined_contamination(own, items, size, keep_key=True).where("contaminated").select("key").distinct()
-        return docs.join(bad, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256) == bad["key"], "left_anti")
-    patterns = tuple(sorted(_owners(items, size)))
-    lengths = [p.count(b" ") - 1 for p in patterns]
+    """The documents in which no window of the benchmark occurs.
+
+    Null, empty and wordless texts stay; repeated rows share their fate; an
+    empty table gives an empty one, and without items all rows stay. All
+    columns are kept, whatever their names, since a row travels as one value.
+    """
+    shards = list(_shards(_items(benchmark, item_id, item_text), size, most_item_bytes))
+    frame = docs.select(whole_row(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
+    if len(shards) > 1:
+        keyed = frame.withColumn("key", _key("text"))
+        bad = _hits(keyed.select("key", "text").dropDuplicates(["key"]), shards, size).select("key").distinct()
+        return keyed.join(bad, "key", "left_anti").select("row.*")
+    items = _collected(shards[0]) if shards else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(patterns) if patterns else None
+        machine, lengths, _ = automaton(items, size)
         for batch in batches:
-            good = [not scan(raw.as_py(), machine, lengths)[1] for raw in batch.column("_text").cast(pa.binary())]
-            yield batch.filter(pa.array(good, pa.bool_())).select(names)
+            good = [not scan(raw.as_py(), machine, lengths)[1] for raw in batch.column("text").cast(pa.binary())]
+            rows = batch.column("row").filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(rows.flatten(), [f.name for f in rows.type])
 
-    names = docs.columns
-    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return frame.mapInArrow(run, docs.schema)
 
 
 def _row(raw: bytes | None, n: int, hit: list[tuple[int, int]], items: set[int]) -> tuple:
@@ -174,54 +258,3 @@ def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         pa.array(bad, pa.bool_()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, span),
     ]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
-
-
-def joined_contamination(own: DataFrame, items: DataFrame, size: int, keep_key: bool = False) -> DataFrame:
-    """The same rows for any amount of items: windows of items and documents meet by their digest."""
-
-    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [
-                (i, hashlib.blake2b(p, digest_size=16).digest(), p.count(b" ") - 1)
-                for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
-                for p in windows_of(words_of(raw), size)
-            ]
-            item, window, length = zip(*out) if out else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(window, pa.binary()), pa.array(length, pa.int64())], ["item", "window", "length"])
-
-    wanted = items.mapInArrow(item_windows, "item long, window binary, length long")
-    lengths = sorted(r[0] for r in wanted.select("length").distinct().collect())  # at most ``size`` of them
-
-    def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                words = words_of(raw)
-                out = [
-                    (key, i, hashlib.blake2b(b" " + b" ".join(words[i : i + k]) + b" ", digest_size=16).digest())
-                    for k in lengths
-                    for i in range(len(words) - k + 1)
-                ]
-                if out:
-                    k, first, window = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(first, pa.int64()), pa.array(window, pa.binary())], ["key", "first", "window"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                merged: list[tuple[int, int]] = []
-                for first, end in sorted((f["first"], f["first"] + f["length"]) for f in found or ()):
-                    if merged and first <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-                    else:
-                        merged.append((first, end))
-                rows.append(_row(raw, len(words_of(raw)), merged, {f["item"] for f in found or ()}))
-            yield _batch(batch.column(0), rows)
-
-    keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = keyed.select("key", "text").dropDuplicates(["key"])
-    hits = texts.mapInArrow(doc_windows, "key string, first long, window binary").join(wanted, "window")
-    if keep_key:
-        return hits.select("key", F.lit(True).alias("contaminated"))
-    found = hits.groupBy("key").agg(F.collect_set(F.struct("item", "first", "length")).alias("found"))
-    return keyed.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(finish, SCHEMA)

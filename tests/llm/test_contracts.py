@@ -339,7 +339,7 @@ def test_decontamination_matches_brute_force(spark, docs, odd, empty):
     few = [(1, "Two, three!"), (2, None), (3, ""), (2, "lambda mu alpha beta gamma delta epsilon zeta eta theta iota"), (7, "日本語 テキスト É")]
     bench = spark.createDataFrame(few, "item_id long, text string")
     brute = brute_hits([(r[0], r[1]) for r in odd_rows()], few)
-    for most in (0, 1000):
+    for most in (40, 1000):
         got = decontam.contamination(odd, bench, most_item_bytes=most)
         assert Counter(tuple(r)[:6] for r in got.collect()) == brute
     span = next(r for r in decontam.contamination(odd, bench).collect() if r.doc_id == 12)
@@ -351,6 +351,37 @@ def test_decontamination_matches_brute_force(spark, docs, odd, empty):
     assert not any(r.contaminated for r in decontam.contamination(odd, bench.where("false")).collect())
 
 
+def test_decontamination_by_many_small_automata(spark, docs):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:40]
+    items.append((999, " ".join(t for _, t in items[:30])))
+    rows = [(d, t) for d, t, *_ in docs]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(frame, bench, most_item_bytes=2500)
+    expected = brute_hits(rows, items)
+    assert Counter(tuple(r)[:6] for r in got.collect()) == expected
+    kept = decontam.uncontaminated(frame, bench, most_item_bytes=2500)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k in expected.elements() if not k[-1])
+
+
+def test_memory_of_an_automaton_follows_its_limit():
+    import subprocess
+    import sys
+
+    code = """
+import random, sys
+from quarryline.llm import decontam
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(20000)]
+items = tuple((i, " ".join(rng.choices(words, k=60))) for i in range(100_000_000) if i < decontam.MOST_ITEM_BYTES // 390)
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+before = rss()
+decontam.automaton(items, 10)
+print(sum(len(t) for _, t in items), rss() - before)
+""".replace("range(100_000_000) if i < decontam.MOST_ITEM_BYTES // 390", "range(decontam.MOST_ITEM_BYTES // 390)")
+    text, used = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert text > 0.8 * decontam.MOST_ITEM_BYTES and used < 250e6
+
+
 def test_language_id_accuracy_and_odd_rows(spark, docs, odd, empty):
     lang = {d: x for d, _, x, _ in docs}
     rows = registry.op8_language_id(spark, SF).collect()
