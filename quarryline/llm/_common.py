@@ -35,9 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df.checkpoint()`` in the shared folder; the session's checkpoints are deleted when the driver exits."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint()
+    own = (spark, spark.sparkContext.getCheckpointDir())
+    if own[1] and own not in _SCRATCH:
+        _at_exit(*own)
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -53,12 +58,16 @@ def _clean() -> None:
             return
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, deleted when the driver exits."""
+def _at_exit(spark: SparkSession, path: str) -> None:
     if not _SCRATCH:
         atexit.register(_clean)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _SCRATCH.append((spark, path))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, deleted when the driver exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _at_exit(spark, path)
     return path
 
 

@@ -3,21 +3,26 @@
 1. Every document becomes its set of 5-word shingles, a key of that set, and a
    signature of min-hashes of which one byte each is kept. Documents with
    equal sets are one class from here on.
-2. Bands of signature bytes are buckets. Where two classes share one, their
-   signatures are compared in batches; after each batch a pair is dropped when
-   the posterior probability that its similarity reaches the threshold is
-   below ``miss``. A large bucket is cut into blocks, and each pair of blocks
-   is a task of its own. A pair is met in its first common band only, and what
-   leaves a task is a list of partners per class, never a row per pair.
-3. Survivors are joined into clusters, the shingle sets of a cluster's members
-   meet in one place (in blocks again, if they are many), and every pair of
-   survivors that isn't yet connected is verified on the full sets.
+2. Bands of signature bytes are buckets. The class of the smallest id leads
+   its bucket, and every other class is compared with its leaders: signatures
+   in batches, and after each batch a pair is dropped when the posterior
+   probability that its similarity reaches the threshold is below ``miss``.
+   Survivors are verified on their full sets. A bucket of m classes costs
+   m - 1 pairs so far, and most groups of copies are connected by them.
+3. Where classes of one bucket are still in different components, they are
+   compared with each other, across components only and in a pair's first
+   common band only. Of the survivors the likeliest partners of each other
+   component are verified first; what is then still apart is verified whole.
 4. Verified links give the components.
+
+Pairs are verified as stars: the sets of a centre's partners are dealt to
+blocks, and each block streams past the centre's own set.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,36 +31,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import components, written
+from ._common import checkpointed, components, written
 from .words import mixed, shingle_set
 
-#: Bands and bytes of each: a pair at the threshold 0.85 shares no band with probability (1 - 0.85**6)**28 < 2e-6.
-BANDS, ROWS = 28, 6
-HASHES = BANDS * ROWS
+#: Bytes of a band.
+ROWS = 6
+#: Probability at most that a pair at the threshold shares no band; for 0.85 that takes 28 bands, since (1 - 0.85**6)**28 < 2e-6.
+NO_BAND = 2e-6
 #: Hashes compared between two looks at the posterior.
 BATCH = 42
 #: Probability at which a pair that reaches the threshold may be pruned.
 MISS = 1e-6
-#: Classes of a bucket compared by one task, shingles of a cluster held by one task.
+#: Classes of a bucket compared by one task, shingles of a centre's partners that one block verifies.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1_000_000
+#: Partners in each other component that are verified first.
+FIRST_PARTNERS = 8
+#: Rows of pairs that are broadcast to the texts at most (under 100 bytes each).
+MOST_BROADCAST = 300_000
+
+
+def bands_for(percent: int) -> int:
+    """Bands that keep the chance of missing a pair at the threshold below NO_BAND."""
+    if not 60 <= percent <= 100:
+        raise ValueError("the threshold lies between 60 and 100 per cent")
+    return max(1, math.ceil(math.log(NO_BAND) / math.log1p(-min((percent / 100) ** ROWS, 1 - 1e-9))))
 
-_RNG = np.random.default_rng(20_240_607)
-_A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
+
+@functools.cache
+def _coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_240_607)
+    a = rng.integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a[:, None], rng.integers(0, 1 << 32, hashes, dtype=np.uint32)[:, None]
 
 
-def signature(shingles: np.ndarray) -> bytes:
+def signature(shingles: np.ndarray, hashes: int) -> bytes:
     """One byte of each of the min-hashes of a set."""
+    a, b = _coefficients(hashes)
     h = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    low = np.full(hashes, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(h), 2048):
-        low = np.minimum(low, (h[i : i + 2048] * _A + _B).min(axis=1))
+        low = np.minimum(low, (h[i : i + 2048] * a + b).min(axis=1))
     low ^= low >> np.uint32(15)
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 @functools.cache
-def least_matches(threshold: float, miss: float) -> dict[int, int]:
+def least_matches(threshold: float, miss: float, hashes: int) -> dict[int, int]:
     """For each count of compared hashes, the fewest matches at which a pair is kept.
 
     The prior of the similarity is uniform. Bytes of different min-hashes
@@ -64,7 +85,7 @@ def least_matches(threshold: float, miss: float) -> dict[int, int]:
     s = (np.arange(20_000) + 0.5) / 20_000
     p = s + (1 - s) / 256
     out = {}
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in batch_ends(hashes):
         for m in range(n + 1):
             log = m * np.log(p) + (n - m) * np.log1p(-p)
             w = np.exp(log - log.max())
@@ -74,7 +95,11 @@ def least_matches(threshold: float, miss: float) -> dict[int, int]:
     return out
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def batch_ends(hashes: int) -> list[int]:
+    return [min(at + BATCH, hashes) for at in range(0, hashes, BATCH)]
+
+
+def features(docs: DataFrame, id_col: str, text_col: str, hashes: int) -> DataFrame:
     """``doc_id, n_shingles, key_a, key_b, sig`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +111,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n.append(len(s))
                 a.append(int(s.sum(dtype=np.uint64)) - (1 << 63))
                 b.append(int(mixed(s + np.uint64(len(s))).sum(dtype=np.uint64)) - (1 << 63))
-                sig.append(signature(s) if len(s) else None)
+                sig.append(signature(s, hashes) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "key_a", "key_b", "sig"],
@@ -96,47 +121,56 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, sig binary")
 
 
+def _matrix(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint8).reshape(len(sigs), -1)
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight = (1 << (8 * np.arange(ROWS, dtype=np.int64)))[None, None, :]
     for batch in batches:
         n = batch.num_rows
         if n:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(n, BANDS, ROWS)
-            bucket = (sig.astype(np.int64) * weight).sum(axis=2) + (np.arange(BANDS, dtype=np.int64) << (8 * ROWS))
-            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+            sig = _matrix(batch.column(1)).reshape(n, -1, ROWS)
+            bands = sig.shape[1]
+            bucket = (sig.astype(np.int64) * weight).sum(axis=2) + (np.arange(bands, dtype=np.int64) << (8 * ROWS))
+            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(rep)], ["bucket", "rep"])
 
 
-class Forest:
-    """Disjoint sets over 0..n-1; the smallest member is the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def _alike(threshold: float, miss: float):
+    """Of pairs with both signatures those that pass all batches."""
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = _matrix(batch.column("sig_a")), _matrix(batch.column("sig_b"))
+            need = least_matches(threshold, miss, a.shape[1])
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            at = np.flatnonzero(np.minimum(n, m) >= np.floor(threshold * np.maximum(n, m) - 1e-9))
+            seen, start = np.zeros(len(at), dtype=np.int64), 0
+            for end in batch_ends(a.shape[1]):
+                seen = seen + (a[at, start:end] == b[at, start:end]).sum(axis=1)
+                keep = seen >= need[end]
+                at, seen, start = at[keep], seen[keep], end
+            kept = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([kept.column("centre"), kept.column("other"), kept.column("n_b")], ["centre", "other", "n"])
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-        return i != j
+    return run
 
 
-def survivors(band: int, size: np.ndarray, own: np.ndarray, sig: np.ndarray, across: bool, threshold: float, miss: float) -> list[tuple[int, np.ndarray]]:
-    """For members sorted by set size: the later partners of each that pass all batches.
+def survivors(band: int, size: np.ndarray, own: np.ndarray, label: np.ndarray, sig: np.ndarray, across: bool, threshold: float, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For members sorted by set size: the later partners of each that pass all batches, the likeliest first.
 
-    ``across`` compares members of different blocks only.
+    Members of one component aren't compared, and ``across`` compares members
+    of different blocks only.
     """
-    need = least_matches(threshold, miss)
-    found = []
+    hashes = sig.shape[1]
+    need = least_matches(threshold, miss, hashes)
     last = np.searchsorted(size, np.floor(size / threshold + 1e-9), side="right")
     for i in range(len(size) - 1):
         at = np.arange(i + 1, last[i])
+        at = at[label[at] != label[i]]
         if across:
             at = at[own[at] != own[i]]
         if not len(at):
@@ -145,16 +179,15 @@ def survivors(band: int, size: np.ndarray, own: np.ndarray, sig: np.ndarray, acr
         if band:
             fresh = ~alike[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
             at, alike = at[fresh], alike[fresh]
-        seen = np.zeros(len(at), dtype=np.int64)
-        for start in range(0, HASHES, BATCH):
-            seen = seen + alike[:, start : start + BATCH].sum(axis=1)
-            keep = seen >= need[start + BATCH]
-            at, alike, seen = at[keep], alike[keep], seen[keep]
+        seen, start = np.zeros(len(at), dtype=np.int64), 0
+        for end in batch_ends(hashes):
+            seen = seen + alike[:, start:end].sum(axis=1)
+            keep = seen >= need[end]
+            at, alike, seen, start = at[keep], alike[keep], seen[keep], end
             if not len(at):
                 break
         if len(at):
-            found.append((i, at[np.argsort(-seen, kind="stable")]))
-    return found
+            yield i, at[np.argsort(-seen, kind="stable")]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -180,137 +213,230 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _compare(threshold: float, miss: float):
+def _compare(threshold: float, miss: float, most: int | None):
+    """Pairs of a block that pass; of the partners of a member in one component the first ``most``, and whether there were more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["bucket", "lo", "hi"]):
+        for t in grouped(batches, ["bucket", "side", "lo", "hi"]):
             if t.num_rows < 2:
                 continue
-            rep, size, own = (t.column(c).to_numpy() for c in ("rep", "n_shingles", "own"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            rep, size, own, label = (t.column(c).to_numpy() for c in ("rep", "n_shingles", "own", "label"))
+            sig = _matrix(t.column("sig").combine_chunks())
             order = np.lexsort((rep, size))
-            rep, size, own, sig = rep[order], size[order], own[order], sig[order]
+            rep, size, own, label, sig = rep[order], size[order], own[order], label[order], sig[order]
+            across = t.column("side")[0].as_py() == 0 or t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
             band = int(t.column("bucket")[0].as_py() >> (8 * ROWS))
-            across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-            found = survivors(band, size, own, sig, across, threshold, miss)
-            if not found:
-                continue
-            forest = Forest(len(rep))
-            for i, at in found:
-                for j in at.tolist():
-                    forest.join(i, j)
-            partners = {i: rep[at].tolist() for i, at in found}
-            nodes = sorted({i for i, _ in found}.union(*(at.tolist() for _, at in found)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rep[nodes]),
-                    pa.array([int(rep[forest.root(i)]) for i in nodes], pa.int64()),
-                    pa.array([partners.get(i) for i in nodes], pa.list_(pa.int64())),
-                ],
-                ["a", "root", "partners"],
-            )
+            centre, other, more = [], [], []
+            for i, at in survivors(band, size, own, label, sig, across, threshold, miss):
+                kept = at
+                if most is not None and len(at) > most:
+                    by = np.argsort(label[at], kind="stable")
+                    first = np.append(True, np.diff(label[at][by]) != 0)
+                    place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+                    kept = at[by[place < most]]
+                centre.append(np.full(len(kept), rep[i]))
+                other.append(kept)
+                more.append(np.full(len(kept), len(kept) < len(at)))
+                if sum(map(len, other)) > 200_000:
+                    yield _pairs(rep, size, centre, other, more)
+                    centre, other, more = [], [], []
+            if other:
+                yield _pairs(rep, size, centre, other, more)
 
     return run
 
 
+def _pairs(rep: np.ndarray, size: np.ndarray, centre: list, other: list, more: list) -> pa.RecordBatch:
+    at = np.concatenate(other)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(centre)), pa.array(rep[at]), pa.array(size[at]), pa.array(np.concatenate(more))], ["centre", "other", "n", "more"])
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep = ["centre", "block", "lead", "node"]
     for batch in batches:
-        sets = [shingle_set(t.as_py()).tobytes() for t in batch.column("text").cast(pa.binary())]
-        keep = ["label", "lo", "hi", "own", "node", "partners"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sets, pa.binary())], [*keep, "shingles"])
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            sets = [shingle_set(t.as_py()).tobytes() for t in part.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(sets, pa.binary())], [*keep, "shingles"])
 
 
 def _verify(percent: int):
+    """Links of centres with the partners that stream past them; the rows of a centre come first in each block."""
+
+    def reaches(a: np.ndarray, b: np.ndarray) -> bool:
+        if not len(a) or not len(b):
+            return False
+        both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["label", "lo", "hi"]):
-            node = t.column("node").to_pylist()
-            own = t.column("own").to_pylist()
-            across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-            sets = [set(np.frombuffer(s, dtype=np.uint64).tolist()) for s in t.column("shingles").to_pylist()]
-            at: dict[int, list[int]] = {}
-            for i, x in enumerate(node):
-                at.setdefault(x, []).append(i)
-            forest = Forest(len(node))
-            for rows in at.values():
-                for j in rows[1:]:
-                    forest.join(rows[0], j)
+        now, leads = None, []
+        for batch in batches:
             links = []
-            for i, partners in enumerate(t.column("partners").to_pylist()):
-                for other in partners or ():
-                    for j in at.get(other, ()):
-                        if (own[i] != own[j]) != across or forest.root(i) == forest.root(j):
-                            continue
-                        both = len(sets[i] & sets[j])
-                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                            forest.join(i, j)
-                            links.append((node[i], node[j]))
-            if links:
-                a, b = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            columns = [batch.column(c).to_pylist() for c in ("centre", "block", "lead", "node")]
+            for centre, block, lead, node, raw in zip(*columns, batch.column("shingles").to_pylist()):
+                own = np.frombuffer(raw, dtype=np.uint64)
+                if (centre, block) != now:
+                    now, leads = (centre, block), []
+                if lead:
+                    leads.append(own)
+                elif any(reaches(x, own) for x in leads):
+                    links.append((centre, node))
+            a, b = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _in_blocks(df: DataFrame, node: str) -> DataFrame:
-    """A row for each task that a member of ``blocks`` blocks belongs to; task (lo, hi) compares block lo with block hi."""
-    own = F.pmod(F.xxhash64(node), F.col("blocks"))
-    return (
-        df.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
-        .drop("other", "blocks")
+class _Search:
+    """The steps of ``near_duplicates`` over one table of texts (``node, text``)."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, miss: float, block_classes: int, block_shingles: int):
+        self.texts, self.classes = texts, classes
+        self.percent, self.miss = percent, miss
+        self.block_classes, self.block_shingles = block_classes, block_shingles
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Verifies ``pairs(centre, other, n)`` on full sets and joins what is linked; tells whether anything was."""
+        blocks = F.ceil(F.sum("n") / F.lit(self.block_shingles)).cast("long").alias("blocks")
+        blocks_of = pairs.groupBy("centre").agg(blocks)
+        others = pairs.join(blocks_of, "centre").select(
+            "centre", F.pmod(F.xxhash64("other"), F.col("blocks")).alias("block"), F.lit(False).alias("lead"), F.col("other").alias("node")
+        )
+        centres = blocks_of.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lead"), F.col("centre").alias("node"))
+        rows = checkpointed(others.union(centres))
+        n = rows.count()
+        if not n:
+            return False
+        found = (
+            self.texts.join(F.broadcast(rows) if n <= MOST_BROADCAST else rows, "node")
+            .mapInArrow(_shingle_rows, "centre long, block long, lead boolean, node long, shingles binary")
+            .repartition("centre", "block")
+            .sortWithinPartitions("centre", "block", F.desc("lead"))
+            .mapInArrow(_verify(self.percent), "a long, b long")
+        )
+        found = checkpointed(found.distinct())
+        if not found.limit(1).count():
+            return False
+        self.links = found if self.links is None else self.links.union(found)
+        self.labels = components(self.links)
+        return True
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components by now."""
+        if self.labels is None:
+            return pairs
+        a, b = self.labels.toDF("centre", "_a"), self.labels.toDF("other", "_b")
+        both = pairs.join(a, "centre", "left").join(b, "other", "left")
+        return both.where(F.coalesce("_a", "centre") != F.coalesce("_b", "other")).drop("_a", "_b")
+
+    def leaders(self, shared: DataFrame) -> None:
+        """Compares each class with the leaders of its buckets: first with the smallest, then with those of other components."""
+        sig = self.classes.select("rep", "n_shingles", "sig")
+        pairs = shared.where("rep <> leader").select(F.col("leader").alias("centre"), F.col("rep").alias("other")).distinct()
+        both = pairs.join(sig.toDF("other", "n_b", "sig_b"), "other").join(sig.toDF("centre", "n_a", "sig_a"), "centre")
+        found = written(both.mapInArrow(_alike(self.percent / 100, self.miss), "centre long, other long, n long"), "minhash-leaders")
+        first = found.groupBy("other").agg(F.min_by(F.struct("centre", "n"), "centre").alias("s")).select("s.centre", "other", "s.n")
+        self.verify(first)
+        self.verify(self.apart(found))
+
+    def rest(self, shared: DataFrame, most: int | None) -> bool:
+        """Compares the other classes of a bucket across components; tells whether pairs were left for another go."""
+        members = shared.where("rep <> leader").select("bucket", "rep")
+        if self.labels is not None:
+            members = members.join(self.labels.toDF("rep", "label"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+        else:
+            members = members.withColumn("label", F.col("rep"))
+        counts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed_buckets = (
+            counts.groupBy("bucket")
+            .agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
+            .where("labels > 1")
+            .select("bucket", "all", F.col("top.label").alias("top"), F.col("top.n").alias("m"))
+        )
+        placed = _in_blocks(members.join(mixed_buckets, "bucket"), self.block_classes)
+        compared = (
+            placed.join(self.classes.select("rep", "n_shingles", "sig"), "rep")
+            .repartition("bucket", "side", "lo", "hi")
+            .sortWithinPartitions("bucket", "side", "lo", "hi")
+            .mapInArrow(_compare(self.percent / 100, self.miss, most), "centre long, other long, n long, more boolean")
+        )
+        pairs = written(compared, "minhash-pairs")
+        self.verify(pairs.select("centre", "other", "n").distinct())
+        return bool(pairs.where("more").limit(1).count())
+
+
+def _in_blocks(members: DataFrame, size: int) -> DataFrame:
+    """``bucket, side, lo, hi, own, rep, label``: a row for each task that a member belongs to.
+
+    A bucket of at most ``size`` members is one task. In a larger one the
+    members of its largest component (side 0, blocks ``lo``) meet the blocks
+    ``hi`` of all others, and the blocks of the others meet each other (side
+    1); the largest component isn't compared with itself.
+    """
+    large = F.col("all") > size
+    blocks = lambda n: F.ceil(n / F.lit(size)).cast("long")
+    zero = F.lit(0).cast("long")
+    tops, others = blocks(F.col("m")), F.greatest(F.lit(1).cast("long"), blocks(F.col("all") - F.col("m")))
+    upto = lambda n: F.sequence(zero, n - 1)
+    task = lambda side, lo, hi, own: F.struct(F.lit(side).alias("side"), lo.alias("lo"), hi.alias("hi"), own.alias("own"))
+    in_top, at = F.pmod(F.xxhash64("rep"), tops), F.pmod(F.xxhash64("rep"), others)
+    tasks = (
+        F.when(~large, F.array(task(1, zero, zero, zero)))
+        .when(F.col("label") == F.col("top"), F.transform(upto(others), lambda j: task(0, in_top, j, zero)))
+        .otherwise(
+            F.concat(
+                F.transform(upto(tops), lambda i: task(0, i, at, F.lit(1).cast("long"))),
+                F.transform(upto(others), lambda j: task(1, F.least(at, j), F.greatest(at, j), at)),
+            )
+        )
     )
+    return members.select("bucket", "rep", "label", F.explode(tasks).alias("t")).select("bucket", "t.*", "rep", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text", block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text", block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES, first_partners: int = FIRST_PARTNERS) -> DataFrame:
     """Components of documents linked by shingle-set similarity of ``percent`` or more.
 
     Returns one row per document: ``doc_id, n_shingles, component_id`` (the
     smallest id it reaches) and ``kept`` (it is that id). A link needs
     100 * intersection >= percent * union, on the full sets.
 
-    Null, empty and blank texts have no shingles and are linked with nothing.
-    Rows that share an id are one document with all their sets. A null id is
-    linked with nothing: its component is null and it is kept. An empty table
-    gives an empty one. Other columns are ignored, whatever their names.
+    Null, empty and blank texts have no shingles and are linked with nothing;
+    texts of any length enter whole. Rows that share an id are one document
+    with all their sets. A null id is linked with nothing: its component is
+    null and it is kept. An empty table gives an empty one. Other columns are
+    ignored, whatever their names.
+
+    A pair of different sets that reaches the threshold is missed only if it
+    shares no band (NO_BAND) or is pruned (``miss`` at each look), and then its
+    documents may still be connected by others.
     """
-    threshold = percent / 100
-    feat = written(features(docs, id_col, text_col), "minhash-features")
+    hashes = ROWS * bands_for(percent)
+    feat = written(features(docs, id_col, text_col, hashes), "minhash-features")
     usable = feat.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
         usable.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
         "minhash-classes",
     )
     bands = classes.select("rep", "sig").mapInArrow(_band_rows, "bucket long, rep long")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(block_classes)).cast("long")
-    placed = _in_blocks(bands.join(shared, "bucket").select("bucket", "rep", blocks.alias("blocks")), "rep")
-    compared = (
-        placed.join(classes.select("rep", "n_shingles", "sig"), "rep")
-        .repartition("bucket", "lo", "hi")
-        .sortWithinPartitions("bucket", "lo", "hi")
-        .mapInArrow(_compare(threshold, miss), "a long, root long, partners array<long>")
-    )
-    found = written(compared, "minhash-survivors")
-    clusters = components(found.select("a", F.col("root").alias("b")))
-    lists = found.where("partners IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
-    of = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("n")), "node")
-    sizes = of.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("long").alias("blocks"))
-    members = _in_blocks(clusters.join(sizes, "label").join(lists, "node", "left"), "node")
+    heads = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
+    shared = written(bands.join(heads.drop("n"), "bucket"), "minhash-bands")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    links = (
-        texts.join(members, "node")
-        .mapInArrow(_shingle_rows, "label long, lo long, hi long, own long, node long, partners array<long>, shingles binary")
-        .repartition("label", "lo", "hi")
-        .sortWithinPartitions("label", "lo", "hi")
-        .mapInArrow(_verify(percent), "a long, b long")
-    )
+    search = _Search(texts, classes, percent, miss, block_classes, block_shingles)
+    search.leaders(shared)
+    if search.rest(shared, first_partners):
+        search.rest(shared, None)
     same_id = usable.join(classes, ["key_a", "key_b", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    several = same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select("b", "c")
-    named = components(links.union(several.toDF("a", "b")))
-    of_class = classes.drop("sig").join(named, classes["rep"] == named["node"], "left").select(
-        "key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("component")
-    )
+    several = checkpointed(same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select("b", "c").toDF("a", "b"))
+    named = search.labels
+    if several.limit(1).count():
+        named = components(several if search.links is None else search.links.union(several))
+    component = F.col("rep")
+    if named is not None:
+        classes, component = classes.join(named, classes["rep"] == named["node"], "left"), F.coalesce("label", "rep")
+    of_class = classes.select("key_a", "key_b", "n_shingles", component.alias("component"))
     return (
         feat.drop("sig")
         .join(of_class, ["key_a", "key_b", "n_shingles"], "left")

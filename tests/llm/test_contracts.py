@@ -77,10 +77,40 @@ def test_minhash_odd_rows_and_small_blocks(spark, odd, empty):
             w[(i * 7 + k * 29) % 120] = f"x{i}-{k}"
         near.append((i, " ".join(w)))
     frame = spark.createDataFrame(near, "doc_id long, text string")
-    assert Counter(tuple(r) for r in minhash.near_duplicates(frame, block_classes=7, block_shingles=900).collect()) == brute_components(near)
+    for first in (1, 8):
+        got = minhash.near_duplicates(frame, block_classes=7, block_shingles=900, first_partners=first)
+        assert Counter(tuple(r) for r in got.collect()) == brute_components(near)
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_verifies_leaders_first(spark, monkeypatch):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in ((i, 3 * i) for i in range(120))]
+    pairs = []
+    verify = minhash._Search.verify
+    monkeypatch.setattr(minhash._Search, "verify", lambda self, p: (pairs.append(p.count()), verify(self, p))[1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(pairs) < 3 * len(rows)  # not 120 * 119 / 2
+
+
+def test_minhash_recall_at_the_threshold(spark):
+    """Pairs at 85 to 87 per cent, each in words of its own: nearly all must be linked."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        w = [f"p{i}q{k}" for k in range(204)]
+        v = w[:]
+        for k in rng.sample(range(10), 3):  # each change of a word far from the others costs five shingles
+            v[10 + 20 * k] = "new"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    near = [len(sets(a) & sets(b)) / len(sets(a) | sets(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert all(0.85 <= x < 0.87 for x in near)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) == 400
+
+
 def check_packing(rows, pieces, ids_of, window=2048):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
