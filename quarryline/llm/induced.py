@@ -1,4 +1,4 @@
-"""Suffix order of a text by induced sorting with disk-backed queues.
+"""Suffix order of a text by external induced sorting with disk-backed queues.
 
 The order of the LMS suffixes induces that of the L suffixes, a bucket at a
 time from the smallest first byte up, and the L suffixes induce the S
@@ -7,18 +7,23 @@ keyed by first byte: within a key entries leave in the order in which they
 came, so the queue is the priority queue of the method with the rank as
 priority. An entry is a tuple of suffix and of the length of the prefix it
 shares with the entry before it; that length follows from the shared prefixes
-of the suffixes that induced both. Queues hold a bounded amount in memory and
-write the rest to a temporary file that is gone when the sort ends.
+of the suffixes that induced both.
+
+A text longer than the limit is sorted outside memory: queues write their
+entries to a file, and the text, its kinds, the seeds and the L suffixes are
+mapped files that are read and written in stretches. The files are temporary
+and gone when the sort ends, as they are when a task is lost.
 
 All steps are array operations on a run of entries. Only order and shared
 prefixes up to ``depth`` bytes are wanted, so where the method would recurse
-for the order of the LMS suffixes, they are ordered by their first ``depth``
-bytes.
+for the order of the LMS suffixes, these are dealt by their first bytes and
+each deal is ordered by the first ``depth`` bytes.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -27,11 +32,37 @@ FAR = np.int32(1 << 30)
 RUN = 1 << 16
 
 
+class Store:
+    """Arrays of one sort: in memory up to ``limit`` bytes each, in temporary files beyond."""
+
+    def __init__(self, limit: int):
+        self.limit, self.files, self.spilled = limit, [], 0
+
+    def array(self, n: int, kind) -> np.ndarray:
+        kind = np.dtype(kind)
+        if n * kind.itemsize <= self.limit:
+            return np.empty(n, kind)
+        file = tempfile.TemporaryFile()
+        file.truncate(n * kind.itemsize)
+        self.files.append(file)
+        self.spilled += n * kind.itemsize
+        return np.memmap(file, kind, "r+", shape=(n,))
+
+    def stretches(self, n: int) -> Iterator[tuple[int, int]]:
+        step = max(1, min(1 << 22, self.limit))
+        for i in range(0, n, step):
+            yield i, min(i + step, n)
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
+
+
 class RunQueue:
     """First in, first out for each key, in memory up to ``limit`` entries and on disk beyond."""
 
     def __init__(self, limit: int):
-        self.limit, self.held = limit, 0
+        self.limit, self.held, self.spilled = limit, 0, 0
         self.runs: dict[int, list] = {}
         self.file = None
 
@@ -50,9 +81,22 @@ class RunQueue:
                     place = self.file.tell()
                     self.file.write(run[0].tobytes() + run[1].tobytes())
                     runs[i] = (place, len(run[0]))
+                    self.spilled += 8 * len(run[0])
         self.held = 0
 
-    def take(self, key: int):
+    def _read(self, a, b) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(a, np.ndarray):
+            return a, b
+        self.file.seek(a)
+        raw = self.file.read(8 * b)
+        return np.frombuffer(raw, np.int32, b), np.frombuffer(raw, np.int32, b, 4 * b)
+
+    def back(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of a key from the last to the first; they stay."""
+        for a, b in reversed(self.runs.get(key, [])):
+            yield self._read(a, b)
+
+    def take(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Entries of a key in stretches of about RUN, also those put while they are taken."""
         runs = self.runs.setdefault(key, [])
         while runs:
@@ -60,11 +104,7 @@ class RunQueue:
             for a, b in runs:
                 if isinstance(a, np.ndarray):
                     self.held -= len(a)
-                    parts.append((a, b))
-                else:
-                    self.file.seek(a)
-                    raw = self.file.read(8 * b)
-                    parts.append((np.frombuffer(raw, np.int32, b), np.frombuffer(raw, np.int32, b, 4 * b)))
+                parts.append(self._read(a, b))
                 size += len(parts[-1][0])
                 used += 1
                 if size >= RUN:
@@ -128,24 +168,89 @@ class _Induction:
             start = end
 
 
-def _kinds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix whether it is smaller than the next one (S), and its run of equal bytes."""
+def _kinds(text: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of LMS suffixes, in order, and for each suffix the length of its run of equal bytes.
+
+    A suffix is small (S) if it is less than the next one: its run ends before a larger byte.
+    """
     n = len(text)
-    last = np.flatnonzero(np.append(text[1:] != text[:-1], True)).astype(np.int32)
-    size = np.diff(last, prepend=np.int32(-1))
-    end = np.repeat(last, size)
-    small = np.repeat(np.append(text[last[:-1]] < text[last[:-1] + 1], True), size)
-    return small, end - np.arange(n, dtype=np.int32) + np.int32(1)
+    run, small = store.array(n, np.int32), store.array(n, bool)
+    end, rising = n - 1, True  # of the run that the stretch after this one begins with
+    ahead = None
+    for i, j in reversed(list(store.stretches(n))):
+        part = np.asarray(text[i:j])
+        after = np.append(part[1:], ahead if ahead is not None else part[-1])
+        turn = part != after
+        if ahead is None:
+            turn[-1] = True
+        at = np.where(turn, np.arange(i, j), n)
+        last = np.minimum.accumulate(at[::-1])[::-1]
+        last[last == n] = end
+        grows = np.append(part[:-1] < part[1:], part[-1] < ahead if ahead is not None else True)
+        own = last < j
+        small[i:j] = np.where(own, grows[np.where(own, last - i, 0)], rising)
+        run[i:j] = last - np.arange(i, j) + 1
+        end, rising, ahead = int(last[0]), bool(small[i]), part[0]
+    lms = []
+    for i, j in store.stretches(n):
+        before = small[i - 1] if i else True
+        part = np.asarray(small[i:j])
+        lms.append((np.flatnonzero(part & ~np.append(before, part[:-1])) + i).astype(np.int32))
+    out = store.array(sum(map(len, lms)), np.int32)
+    at = 0
+    for part in lms:
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out, run
+
+
+def _seeds(text: np.ndarray, lms: np.ndarray, depth: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """LMS suffixes in order, and the prefix each shares with the one before: dealt by first bytes, a bounded deal at a time."""
+    most = max(256, store.limit // 64)  # a deal takes about 64 bytes for each suffix
+    if len(lms) <= most:
+        return _by_prefix(np.asarray(text), np.asarray(lms), depth)
+    order, shared = store.array(len(lms), np.int32), store.array(len(lms), np.int32)
+    n, filled = len(text), 0
+
+    def prefix(at: np.ndarray, size: int) -> np.ndarray:
+        key = np.zeros(len(at), np.int64)
+        for i in range(size):
+            key = key << 8 | text[np.minimum(at + i, n - 1)]
+        return key
+
+    counts = np.zeros(1 << 16, np.int64)
+    for i, j in store.stretches(len(lms)):
+        counts += np.bincount(prefix(np.asarray(lms[i:j]).astype(np.int64), 2), minlength=1 << 16)
+    total, low = np.cumsum(counts), 0
+    while low < 1 << 16:
+        base = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, base + most, side="right")))
+        if total[high - 1] > base:
+            deal = []
+            for i, j in store.stretches(len(lms)):
+                at = np.asarray(lms[i:j])
+                key = prefix(at.astype(np.int64), 2)
+                deal.append(at[(key >= low) & (key < high)])
+            at, own = _by_prefix(text, np.concatenate(deal), depth)
+            if filled:
+                last = int(order[filled - 1])
+                a, b = bytes(text[last : last + 2]), bytes(text[at[0] : at[0] + 2])
+                own[0] = 1 if a[:1] == b[:1] else 0  # different deals differ in their first two bytes
+            order[filled : filled + len(at)] = at
+            shared[filled : filled + len(at)] = own
+            filled += len(at)
+        low = high
+    return order, shared
 
 
 def _by_prefix(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ordered by their first ``depth`` bytes, and the prefix each shares with the one before."""
-    padded = np.concatenate([text, np.zeros(depth + 8, dtype=np.uint8)])
+    n, from_ = len(text), at.astype(np.int64)
     words = []
     for w in range(0, depth, 8):
         key = np.zeros(len(at), dtype=np.uint64)
-        for i in range(8):
-            key = key << np.uint64(8) | padded[at + w + i]
+        for i in range(8):  # past its end the text is 0, as its last byte
+            key = key << np.uint64(8) | text[np.minimum(from_ + w + i, n - 1)]
         words.append(key)
     order = np.argsort(words[0], kind="stable")
     tied = np.append(words[0][order][1:] == words[0][order][:-1], False)
@@ -173,63 +278,84 @@ def _by_prefix(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray
     return at[order].astype(np.int32), shared
 
 
-def suffix_order(text: np.ndarray, depth: int = 50, limit: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of a byte text in the order of their first ``depth`` bytes, and shared prefixes of neighbours.
+def suffix_runs(text: np.ndarray, depth: int, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffixes of a byte text in the order of their first ``depth`` bytes, and shared prefixes of neighbours, in runs.
 
     The text holds no 0 but ends with one. Shared prefixes are exact below
     ``depth``; from there on they are some number of at least ``depth``.
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
-    small, run = _kinds(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + np.int32(1)
-    del small
-    seeds, seed_shared = _by_prefix(text, lms, depth)
-    bounds = np.searchsorted(text[seeds], np.arange(257))
+        yield np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
+        return
+    entries = max(1, store.limit // 16)
+    lms, run = _kinds(text, store)
+    seeds, seed_shared = _seeds(text, lms, depth, store)
+    heads = np.zeros(257, np.int64)
+    for i, j in store.stretches(len(seeds)):
+        heads[1:] += np.bincount(text[seeds[i:j]], minlength=256)
+    bounds = np.cumsum(heads)
     seam = lambda a, b: np.int32(min(run[a], run[b]))
 
-    up = _Induction(text, limit)
-    large: list[tuple[np.ndarray, np.ndarray]] = []
+    up = _Induction(text, entries)
+    large = RunQueue(entries)
+    last_large: dict[int, int] = {}
     for c in range(256):
-        got = []
+        first = True
         for at, shared in up.queue.take(c):
-            if not got:
+            if first:
                 shared = shared.copy()
                 shared[0] = 0
-            got.append((at, shared))
+                first = False
+            large.put(c, at, shared)
+            last_large[c] = int(at[-1])
             up.feed(at, shared, lambda b: b >= c)  # noqa: B023  used at once
-        at = np.concatenate([g[0] for g in got]) if got else np.empty(0, np.int32)
-        large.append((at, np.concatenate([g[1] for g in got]) if got else np.empty(0, np.int32)))
-        own, shared = seeds[bounds[c] : bounds[c + 1]], seed_shared[bounds[c] : bounds[c + 1]].copy()
-        if len(own):
-            shared[0] = seam(at[-1], own[0]) if len(at) else 0
+        lead = None
+        for i in range(int(bounds[c]), int(bounds[c + 1]), RUN):
+            j = min(i + RUN, int(bounds[c + 1]))
+            own, shared = np.asarray(seeds[i:j]), np.array(seed_shared[i:j])
+            if lead is None:
+                lead = shared[0] = seam(last_large[c], own[0]) if c in last_large else 0
             up.feed(own, shared, lambda b: b > c)  # noqa: B023
     up.queue.close()
 
-    down = _Induction(text, limit)
-    order, common = [], []
+    down = _Induction(text, entries)
+    done = RunQueue(entries)  # S suffixes of each bucket, from the largest down
+    seams = np.zeros(256, np.int32)  # between the last L and the first S suffix of each bucket
     for c in range(255, -1, -1):
-        got = []
-        for at, shared in down.queue.take(c) if c else [(np.array([n - 1], np.int32), np.zeros(1, np.int32))]:
-            if not got:
+        first, last_small = True, None
+        taken = down.queue.take(c) if c else iter([(np.array([n - 1], np.int32), np.zeros(1, np.int32))])
+        for at, shared in taken:
+            if first:
                 shared = shared.copy()
                 shared[0] = 0
-            got.append((at, shared))
+                first = False
+            last_small = int(at[-1])
+            done.put(c, at, shared)
             down.feed(at, shared, lambda b: (b <= c) & (b > 0))  # noqa: B023
-        s = np.concatenate([g[0] for g in got]) if got else np.empty(0, np.int32)
-        s_shared = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.int32)
-        at, shared = large[c]
-        if len(at):
-            back = np.append(shared[1:], seam(at[-1], s[-1]) if len(s) else np.int32(0))[::-1].astype(np.int32)
+        if c in last_large and last_small is not None:
+            seams[c] = seam(last_large[c], last_small)
+        follows = seams[c]
+        for at, shared in large.back(c):
+            back = np.append(shared[1:], follows)[::-1].astype(np.int32)
             down.feed(at[::-1], back, lambda b: (b < c) & (b > 0))  # noqa: B023
-        lead = np.int32(0)
-        if len(s):
-            lead = seam(at[-1], s[-1]) if len(at) else np.int32(0)
-            order.append(s[::-1])
-            common.append(np.concatenate([[lead], s_shared[1:][::-1]]).astype(np.int32))
-        order.append(at)
-        common.append(shared)
-        large[c] = None
+            follows = shared[0]
     down.queue.close()
-    return np.concatenate(order[::-1]), np.concatenate(common[::-1])
+    for c in range(256):
+        yield from large.take(c)
+        lead = seams[c]
+        for at, shared in done.back(c):
+            # from the largest down an entry's prefix is shared with the one above it
+            yield at[::-1], np.append(lead, shared[1:][::-1]).astype(np.int32)
+            lead = shared[0]
+    large.close()
+    done.close()
+    store.spilled += up.queue.spilled + down.queue.spilled + large.spilled + done.spilled
+
+
+def suffix_order(text: np.ndarray, depth: int = 50, limit: int = 64_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``suffix_runs`` at once."""
+    store = Store(limit)
+    at, shared = zip(*suffix_runs(text, depth, store))
+    store.close()
+    return np.concatenate(at), np.concatenate(shared)

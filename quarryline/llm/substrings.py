@@ -6,7 +6,10 @@ k-gram hash. Equal strings have equal anchors, so
 1. tasks exchange packed lists of anchor hashes, which tells the anchors that
    occur in two documents or more;
 2. around those, and only there, segments of text are cut that hold all
-   strings with that anchor, and are dealt to shards by anchor hash;
+   strings with that anchor, and are dealt to shards by anchor hash; an anchor
+   of very many documents is split further: each of its strings is a segment
+   of its own, dealt by its hash, so the strings that cross the edges of a
+   common passage spread over all shards;
 3. each shard sorts the suffixes of its segments by external induced sorting
    (``induced``); runs of suffixes that share ``length`` bytes are equal
    strings, and all but those of the smallest document go;
@@ -14,7 +17,8 @@ k-gram hash. Equal strings have equal anchors, so
 
 A hash or segment that many documents of one task hold is settled there and
 sent once, so what meets in one place grows with the number of tasks, not
-with the number of documents that share a passage.
+with the number of documents that share a passage; what differs around a
+passage is bounded by the split of heavy anchors.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .induced import suffix_order
+from ._common import written
+from .induced import Store, suffix_runs
 from .minhash import grouped
 from .words import mixed
 
@@ -36,9 +42,15 @@ from .words import mixed
 GRAM = 20
 #: Anchors, and bytes of segments, that a task gathers before it sends them.
 MOST_ANCHORS, MOST_SEGMENTS = 1_000_000, 8_000_000
+#: Different texts from which an anchor is heavy and its strings are dealt one by one; of more heavy anchors than MOST_HEAVY
+#: (8 bytes each in every task) only the heaviest are split. Both decide where strings meet, not which ones go.
+HEAVY, MOST_HEAVY = 10_000, 1_000_000
 #: Bytes of text for each bucket of anchors and each shard of segments.
 BYTES_PER_BUCKET, BYTES_PER_SHARD = 16_000_000, 8_000_000
 
+#: Bytes of segments that a shard sorts in memory; a larger one is sorted with queues, text and order on disk.
+MOST_SORTED = 64_000_000
+
 ROWS = "place int, payload binary, doc_id long, text_hash long, found binary"
 
 
@@ -139,6 +151,7 @@ def _sent_anchors(length: int, bits: int, buckets: int):
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(h)) - 1
         several = doc[d[starts]] != doc[d[ends]]
+        held = (ends - starts + 1).astype(np.uint32)
         # two texts of one document: both must be told, so they count as settled only if other documents agree
         own = several[group]
         rows = _by_home(doc[d[own]], text[d[own]], h[own], buckets)
@@ -147,14 +160,14 @@ def _sent_anchors(length: int, bits: int, buckets: int):
         h1, d1 = h[starts], d[starts]
         cut = np.searchsorted(h1, (np.arange(buckets + 1, dtype=object) * (1 << bits) // buckets).astype(np.uint64) if bits < 64 else np.array([min(i * (1 << 64) // buckets, (1 << 64) - 1) for i in range(buckets + 1)], np.uint64))
         cut[-1] = len(h1)
-        for b in range(buckets):
-            part = slice(cut[b], cut[b + 1])
+        for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
             if cut[b] < cut[b + 1]:
+                part = slice(cut[b], cut[b + 1])
                 used, index = np.unique(d1[part], return_inverse=True)
-                rows.append((b, _pack(np.diff(h1[part], prepend=np.uint64(0)), index.astype(np.uint32 if len(used) >> 16 else np.uint16), several[part].astype(np.uint8), doc[used], text[used]), None, None, None))
+                rows.append((b, _pack(np.diff(h1[part], prepend=np.uint64(0)), index.astype(np.uint32 if len(used) >> 16 else np.uint16), several[part].astype(np.uint8), doc[used], text[used], held[part]), None, None, None))
         for i in np.flatnonzero(extra):  # further texts of one document, rare
             b = int(np.searchsorted(cut, np.searchsorted(h1, h[i]), side="right") - 1)
-            rows.append((b, _pack(h[i : i + 1], np.zeros(1, np.uint16), np.zeros(1, np.uint8), doc[d[i : i + 1]], text[d[i : i + 1]]), None, None, None))
+            rows.append((b, _pack(h[i : i + 1], np.zeros(1, np.uint16), np.zeros(1, np.uint8), doc[d[i : i + 1]], text[d[i : i + 1]], np.zeros(1, np.uint32)), None, None, None))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +188,11 @@ def _sent_anchors(length: int, bits: int, buckets: int):
     return run
 
 
-def _shared_anchors(homes: int):
-    """Anchor hashes of each document that occur in another one too; what tasks settled passes through."""
+def _shared_anchors(homes: int, heavy: int):
+    """Anchor hashes of each document that occur in another one too; what tasks settled passes through.
+
+    A row without ``found`` names a heavy anchor in ``doc_id`` and the number of its documents in ``text_hash``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["place"]):
@@ -189,8 +205,12 @@ def _shared_anchors(homes: int):
                 doc = np.concatenate([x[3][x[1]] for x in lists])
                 text = np.concatenate([x[4][x[1]] for x in lists])
                 order = np.lexsort((doc, h))
+                held = np.concatenate([x[5] for x in lists])[order]
                 h, settled, doc, text = h[order], settled[order], doc[order], text[order]
                 starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                in_all = np.add.reduceat(held, starts, dtype=np.int64)
+                most = np.flatnonzero(in_all >= heavy)
+                told += [(at, None, a, n, None) for a, n in zip(h[starts[most]].view(np.int64).tolist(), in_all[most].tolist())]
                 ends = np.append(starts[1:], len(h))
                 shared = (doc[starts] != doc[ends - 1]) | np.logical_or.reduceat(settled, starts)
                 on = np.repeat(shared, ends - starts) & ~settled
@@ -213,7 +233,7 @@ def _collected(width: int):
     return run
 
 
-def _sent_segments(length: int, bits: int, shards: int):
+def _sent_segments(length: int, bits: int, shards: int, heavy: np.ndarray):
     shift, width = np.uint64(64 - bits), (bits + 7) // 8
 
     def send(known: dict) -> list[tuple]:
@@ -231,6 +251,27 @@ def _sent_segments(length: int, bits: int, shards: int):
         known: dict = {}
         held = 0
         gone: list[tuple] = []
+
+        def meet(content: bytes, doc: int, text_hash: int, a: int, b: int, h: int) -> int:
+            """Takes up a segment, or settles it with an equal one; returns the bytes that are held for it."""
+            other = known.get((content, None))
+            if other is None:
+                known[content, None] = (doc, text_hash, a, h)
+                return len(content)
+            if other[0] < doc:
+                last = gone[-1] if gone else None
+                if last and last[0] == doc and last[1] == text_hash and last[2] <= a <= last[3]:
+                    gone[-1] = (doc, text_hash, last[2], max(b, last[3]))
+                else:
+                    gone.append((doc, text_hash, a, b))
+                return 0
+            if other[0] > doc:
+                gone.append((other[0], other[1], other[2], other[2] + b - a))
+                known[content, None] = (doc, text_hash, a, h)
+                return 0
+            known[content, (doc, text_hash, a)] = (doc, text_hash, a, h)  # again in the same document
+            return len(content)
+
         for batch in batches:
             for doc, text_hash, raw, found in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("found").to_pylist()):
                 if doc is None:  # its key is that of document 0
@@ -241,24 +282,20 @@ def _sent_segments(length: int, bits: int, shards: int):
                 hashes, first, last = anchors(raw, length)
                 hashes = hashes >> shift
                 on = told[np.minimum(np.searchsorted(told, hashes), len(told) - 1)] == hashes
-                for h, a, b in zip(hashes[on].tolist(), first[on].tolist(), (last[on] + length).tolist()):
-                    content = raw[a:b]
-                    key = (content, None)
-                    other = known.get(key)
-                    if other is None:
-                        known[key] = (doc, text_hash, a, h)
-                        held += len(content)
-                    elif other[0] < doc:
-                        gone.append((doc, text_hash, a, b))
-                    elif other[0] > doc:
-                        gone.append((other[0], other[1], other[2], other[2] + b - a))
-                        known[key] = (doc, text_hash, a, h)
-                    else:  # again in the same document
-                        known[content, (doc, text_hash, a)] = (doc, text_hash, a, h)
-                        held += len(content)
+                own = hashes[on]
+                split = heavy[np.minimum(np.searchsorted(heavy, own), len(heavy) - 1)] == own if len(heavy) else np.zeros(len(own), bool)
+                for h, a, z, each in zip(own.tolist(), first[on].tolist(), last[on].tolist(), split.tolist()):
+                    if each:
+                        for i in range(a, z + 1):
+                            content = raw[i : i + length]
+                            held += meet(content, doc, text_hash, i, i + length, xxhash.xxh3_64_intdigest(content))
+                    else:
+                        held += meet(raw[a : z + length], doc, text_hash, a, z + length, h)
                 if held > MOST_SEGMENTS or len(gone) > 200_000:
                     yield _rows(send(known) + _ranges(*np.array(gone, np.int64).reshape(-1, 4).T, shards))
-                    known, gone, held = {}, [], 0
+                    known.clear()
+                    gone.clear()
+                    held = 0
         yield _rows(send(known) + _ranges(*np.array(gone, np.int64).reshape(-1, 4).T, shards))
 
     return run
@@ -269,31 +306,62 @@ def _ranges(doc: np.ndarray, text_hash: np.ndarray, first: np.ndarray, end: np.n
     return _by_home(doc, text_hash, first.astype(np.uint64) << np.uint64(32) | (end - first).astype(np.uint64), homes)
 
 
-def repeated_ranges(lengths: np.ndarray, doc: np.ndarray, content: np.ndarray, length: int, limit: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For segments laid end to end: (segment, first, end) of the ranges whose strings start in a smaller document."""
-    n = len(lengths)
-    text = np.zeros(int(lengths.sum()) + n + 1, np.uint8)  # bytes of UTF-8 are below 0xF5: 1 ends a segment, 0 the text
-    start = np.cumsum(lengths + 1) - lengths - 1
-    segment = np.repeat(np.arange(n, dtype=np.int32), lengths + 1)
-    inside = np.ones(len(text) - 1, bool)
-    inside[start + lengths] = False
-    text[:-1][inside] = content + 2
-    text[:-1][~inside] = 1
-    order, shared = suffix_order(text, length, limit)
-    order, shared = order[1:], shared[1:]  # without the end mark
-    group = np.flatnonzero(np.append(True, shared[1:] < length))
-    owner = doc[segment[order]]
-    smallest = np.repeat(np.minimum.reduceat(owner, group), np.diff(np.append(group, len(order))))
-    gone = np.zeros(len(text), bool)
-    gone[order] = smallest < owner
+def repeated_ranges(lengths: np.ndarray, doc: np.ndarray, content: np.ndarray, length: int, limit: int = MOST_SORTED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For segments laid end to end: (segment, first, end) of the ranges whose strings start in a smaller document.
+
+    Beyond ``limit`` bytes of text, all that is as long as the text lies on disk, and the order is taken up run by run.
+    """
+    store = Store(limit)
+    n, size = len(lengths), int(lengths.sum()) + len(lengths) + 1
+    text, segment = store.array(size, np.uint8), store.array(size - 1, np.int32)
+    ends = np.cumsum(lengths + 1)
+    start = ends - lengths - 1
+    for i, j in store.stretches(size - 1):  # bytes of UTF-8 are below 0xF5: 1 ends a segment, 0 the text
+        at = np.arange(i, j)
+        s = np.searchsorted(ends, at, side="right")
+        segment[i:j] = s
+        off = at - start[s]
+        inside = off < lengths[s]
+        text[i:j] = np.where(inside, content[np.minimum(at - s, len(content) - 1)] + np.uint8(2), np.uint8(1))
+    text[size - 1] = 0
+    gone = store.array(size - 1, bool)
+    gone[:] = False
+    # equal strings are neighbours in the order, so a group is what lies between two short shared prefixes
+    held: list[np.ndarray] = []
+
+    def settle(group_starts: np.ndarray, order: np.ndarray) -> None:
+        owner = doc[segment[order]]
+        smallest = np.repeat(np.minimum.reduceat(owner, group_starts), np.diff(np.append(group_starts, len(order))))
+        gone[order[smallest < owner]] = True
+
+    for order, shared in suffix_runs(text, length, store):
+        if order[0] == size - 1:  # the end mark
+            order, shared = order[1:], shared[1:]
+        if not len(order):
+            continue
+        cuts = np.flatnonzero(shared < length)
+        if not len(cuts):
+            held.append(order)
+            continue
+        joined = np.concatenate([*held, order])
+        cuts = cuts + (len(joined) - len(order))
+        starts = cuts if len(cuts) and cuts[0] == 0 else np.append(0, cuts)
+        settle(starts[:-1], joined[: starts[-1]]) if len(starts) > 1 else None
+        held = [joined[starts[-1] :]]
+    if held:
+        settle(np.zeros(1, np.int64), np.concatenate(held))
     room = start + lengths - length  # the last start of a whole string in each segment
-    gone[:-1] &= np.arange(len(text) - 1, dtype=np.int32) <= room.astype(np.int32)[segment]
-    at = np.flatnonzero(gone)
+    found = []
+    for i, j in store.stretches(size - 1):
+        at = np.flatnonzero(gone[i:j]) + i
+        found.append(at[at <= room[segment[at]]])
+    at = np.concatenate(found)
+    store.close()
     if not len(at):
         return (np.empty(0, np.int64),) * 3
     new = np.append(True, np.diff(at) > 1)
     first, last = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-    s = segment[first]
+    s = np.searchsorted(ends, first, side="right")
     return s, first - start[s], last - start[s] + length
 
 
@@ -393,9 +461,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     bits = min(64, max(32, int(size).bit_length() + 12))
     buckets, shards = 1 + size // BYTES_PER_BUCKET, 1 + size // BYTES_PER_SHARD
     at_place = lambda df: df.repartition("place").sortWithinPartitions("place")
-    told = at_place(usable.mapInArrow(_sent_anchors(length, bits, buckets), ROWS)).mapInArrow(_shared_anchors(buckets), ROWS)
-    lists = at_place(told).mapInArrow(_collected((bits + 7) // 8), ROWS)
-    cut = keyed.join(lists.select(F.col("doc_id").alias("key"), "text_hash", "found"), ["key", "text_hash"]).drop("key").mapInArrow(_sent_segments(length, bits, shards), ROWS)
+    told = written(at_place(usable.mapInArrow(_sent_anchors(length, bits, buckets), ROWS)).mapInArrow(_shared_anchors(buckets, HEAVY), ROWS), "substring-anchors")
+    heaviest = told.where("found IS NULL").orderBy(F.desc("text_hash"), "doc_id").limit(MOST_HEAVY).select("doc_id")
+    heavy = np.unique(np.array([r[0] for r in heaviest.collect()], np.int64).view(np.uint64))
+    lists = at_place(told.where("found IS NOT NULL")).mapInArrow(_collected((bits + 7) // 8), ROWS)
+    cut = keyed.join(lists.select(F.col("doc_id").alias("key"), "text_hash", "found"), ["key", "text_hash"]).drop("key").mapInArrow(_sent_segments(length, bits, shards, heavy), ROWS)
     gone = at_place(cut).mapInArrow(_sorted_shards(length, shards), ROWS)
     ranges = at_place(gone).mapInArrow(_collected(8), ROWS).select(F.col("doc_id").alias("key"), "text_hash", "found")
     joined = keyed.join(ranges, ["key", "text_hash"], "left")
