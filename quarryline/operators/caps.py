@@ -30,14 +30,19 @@ def whole_islands(df: DataFrame, pool: list[str], label: str, position: str, cap
     """Admits whole runs of a pool while they fit in ``cap``, skipping those that don't.
 
     Only a first run larger than the cap is cut to it, which ends the pool.
-    The walk over a pool's runs is one fold over their sizes; once the room is
-    gone it can't come back, so at most ``cap`` runs are admitted.
+    The walk over a pool's runs is one fold over their sizes. Room never comes
+    back, so once a run of some size is skipped all later ones of that size
+    are; of each size at most cap / size runs can be admitted, and only the
+    first so many enter the fold. A pool's list is bounded by the cap, not by
+    the pool.
     """
     if cap < 1:
         return df
     runs = islands(df, pool, label, position)
-    sizes = runs.groupBy(*pool, "island").agg(F.count(F.lit(1)).alias("size"))
-    listed = sizes.groupBy(*pool).agg(F.array_sort(F.collect_list(F.struct("island", "size"))).alias("runs"))
+    sizes = runs.groupBy(*pool, "island").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") <= cap) | (F.col("island") == 1))
+    place = F.row_number().over(Window.partitionBy(*pool, "size").orderBy("island"))
+    listed = sizes.withColumn("_k", place).where(F.col("_k") <= cap).where(F.col("_k") * F.col("size") <= F.greatest(F.lit(cap), F.col("size")))
+    listed = listed.groupBy(*pool).agg(F.array_sort(F.collect_list(F.struct("island", "size"))).alias("runs"))
     start = F.struct(F.lit(cap).cast("long").alias("room"), F.array().cast("array<bigint>").alias("taken"), F.lit(False).alias("cut"))
 
     def step(s, r):

@@ -66,6 +66,43 @@ def close_hashes(df: DataFrame, row: str, bucket: list[str], hash: str) -> DataF
     return left.join(right, ["_b", "_h"]).where("a < b").select("a", "b").distinct()
 
 
+def near_classes(df: DataFrame, row: str, bucket: list[str], hash: str) -> DataFrame:
+    """For each row: ``class``, the smallest row of its bucket with the same hash, and ``links``, how many other rows are within two bits.
+
+    Rows of equal hash are one class, and classes are linked with each other
+    once, so a hash that many rows share costs a row each and no pairs. A row
+    without a hash is its own class with no links.
+    """
+    own = checkpointed(df.select(F.col(row).alias("row"), *bucket, F.col(hash).alias("hash")))
+    known = own.where("hash IS NOT NULL")
+    classes = checkpointed(known.groupBy(*bucket, "hash").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("n")))
+    pairs = close_hashes(classes, "class", bucket, "hash")
+    sizes = classes.select(F.col("class").alias("other"), F.col("n").alias("m"))
+    both = pairs.union(pairs.select("b", "a")).toDF("class", "other")
+    near = both.join(sizes, "other").groupBy("class").agg(F.sum("m").alias("near"))
+    linked = classes.join(near, "class", "left").select(F.struct(*bucket, "hash").alias("_k"), "class", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    joined = own.select("row", F.struct(*bucket, "hash").alias("_k")).join(linked, "_k", "left")
+    return joined.select("row", F.coalesce("class", "row").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def word_bits(df: DataFrame, row: str, text: Column, *others: str) -> DataFrame:
+    """``row, hash`` and ``others``: a 60-bit simhash of a text's lower-cased words of letters and digits, each occurrence counted.
+
+    A bit is set if it is set in the digests of more than half of the words; a
+    text without words has none. Words are counted on the map side, and a
+    word's digest is taken once per text.
+    """
+    words = df.select(row, *others, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9à-ž]+"), 0)).alias("word"))
+    counted = words.groupBy(row, *others, "word").agg(F.count("word").alias("n"))
+    bits = counted.withColumn("d", F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long"))
+    ones = [F.sum(F.when(F.getbit("d", F.lit(i)) == 1, F.col("n"))).alias(f"b{i}") for i in range(60)]
+    summed = bits.groupBy(row, *others).agg(F.sum("n").alias("all"), *ones)
+    total = F.lit(0).cast("long")
+    for i in range(60):
+        total = total + F.when(2 * F.coalesce(F.col(f"b{i}"), F.lit(0)) > F.col("all"), F.lit(1 << i)).otherwise(F.lit(0))
+    return summed.select(row, *others, F.when(F.col("all") > 0, total).alias("hash"))
+
+
 def greedy_drop(pairs: DataFrame, order: DataFrame) -> DataFrame:
     """Rows dropped because an earlier *kept* row is near: ``row`` and ``near``, the first such row.
 

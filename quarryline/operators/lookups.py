@@ -28,6 +28,28 @@ def alias_lookup(df: DataFrame, name: str, names: DataFrame, aliases: DataFrame)
     )
 
 
+def merged_keys(sets: list[DataFrame]) -> DataFrame:
+    """The distinct rows of several key sets of the same columns; none at all is an error."""
+    if not sets:
+        raise ValueError("no key sets")
+    out = sets[0]
+    for more in sets[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def enriched(df: DataFrame, key: str, dimension: DataFrame, fields: list[str], *order) -> DataFrame:
+    """Left join in which the last definition of a key wins; unmatched rows keep nulls."""
+    own = first_per(dimension, [key], *order).select(key, *fields)
+    return df.join(own, key, "left")
+
+
+def labelled(df: DataFrame, key: str, dimension: DataFrame, options: list[Column], label: str) -> DataFrame:
+    """Inner lookup that takes the first of ``options`` that isn't blank as ``label``; rows without one go."""
+    text = F.coalesce(*[F.nullif(F.trim(o), F.lit("")) for o in options])
+    return df.join(dimension, key).withColumn(label, text).where(F.col(label).isNotNull())
+
+
 def fill_from_first(df: DataFrame, key: str, meta: DataFrame, fields: list[str], *order) -> DataFrame:
     """Left join in which the first ``meta`` row of a key fills what is missing (null or blank) in ``fields``."""
     own = first_per(meta, [key], *order).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+from .ordering import running_sums
+
 SPLITS = ("train", "val", "test")
 
 
@@ -16,53 +17,34 @@ def hashed_split(component: Column, val: float = 0.15, test: float = 0.15, salt:
     return F.when(place < test, "test").when(place < test + val, "val").otherwise("train")
 
 
-def assigned(sizes: list[tuple[str, str, int, bool]], val: float = 0.15, test: float = 0.15, seed: int = 0) -> dict[str, str]:
-    """The split of each component from rows ``(class, component, rows, blocked)`` in input order.
-
-    Classes go in sorted order; each shuffles its components by a seed of its
-    own, then fills test and val up to their rounded shares. A component stays
-    where the first class put it; a blocked one never goes to test; a class of
-    fewer than three components goes to train.
-    """
-    by_class: dict[str, list[tuple[str, int]]] = {}
-    blocked: dict[str, bool] = {}
-    for name, component, n, bad in sizes:
-        by_class.setdefault(name, []).append((component, n))
-        blocked[component] = blocked.get(component, False) or bad
-    placed: dict[str, str] = {}
-    for name in sorted(by_class):
-        parts = list(by_class[name])
-        random.Random(f"{seed}:{name}").shuffle(parts)
-        total = sum(n for _, n in parts)
-        want = {"test": round(total * test), "val": round(total * val)}
-        have = {"train": 0, "val": 0, "test": 0}
-        left = total
-        for component, n in parts:
-            if component not in placed:
-                if len(parts) < 3:
-                    split = "train"
-                elif not blocked[component] and have["test"] < want["test"] and total - have["test"] - n > 0:
-                    split = "test"
-                elif have["val"] < want["val"] and left > n:
-                    split = "val"
-                else:
-                    split = "train"
-                placed[component] = split
-            have[placed[component]] += n
-            left -= n
-    return placed
-
-
 def split_components(df: DataFrame, label: str, component: str, blocked: Column, val: float = 0.15, test: float = 0.15, seed: int = 0) -> DataFrame:
-    """Adds ``split``. Only one row per class and component goes to the driver, since each class depends on earlier ones.
+    """Adds ``split``: whole components go to test, then to val, up to the class's shares, and the rest to train.
+
+    A component belongs to the first of its classes. Within a class components
+    come in the order of a seeded digest. Those that aren't blocked are taken
+    for test while less than the class's share of rows is, then the others for
+    val; either leaves a row of the class to the splits after it. A class of
+    fewer than three components goes to train whole. A null ``blocked`` doesn't
+    block; rows without a component share one of their own.
 
-    For tables with too many components for that, ``hashed_split`` needs no state.
+    Shares are running sums over range-sorted components (``running_sums``), so
+    no class has to fit one task and nothing passes through the driver.
     """
-    sizes = df.groupBy(label, component).agg(F.count(F.lit(1)).alias("n"), F.bool_or(blocked).alias("b"))
-    rows = sizes.orderBy(label, component).select(F.col(label).cast("string"), F.col(component).cast("string"), "n", F.coalesce("b", F.lit(False))).collect()
-    placed = assigned([tuple(r) for r in rows], val, test, seed)
-    table = df.sparkSession.createDataFrame(list(placed.items()) or [("", "")], "_component string, split string")
-    return df.join(table, df[component].cast("string") == table["_component"], "left").drop("_component")
+    name = F.coalesce(F.col(component).cast("string"), F.lit(""))
+    parts = df.groupBy(name.alias("_c")).agg(F.coalesce(F.min(F.col(label).cast("string")), F.lit("")).alias("_class"), F.count(F.lit(1)).alias("_n"), F.coalesce(F.bool_or(blocked), F.lit(False)).alias("_blocked"))
+    parts = checkpointed(parts.withColumn("_place", F.sha2(F.concat(F.lit(f"{seed}:"), "_class", F.lit(":"), "_c"), 256)))
+    totals = parts.groupBy(F.col("_class").alias("_of")).agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_parts"))
+    first = running_sums(parts, ["_class"], {"_before": "_n"}, "_blocked", "_place", "_c").join(totals, F.col("_class") == F.col("_of"))
+    many = F.col("_parts") >= 3
+    in_test = many & ~F.col("_blocked") & (F.col("_before") < F.bround(F.col("_rows") * test)) & (F.col("_before") + F.col("_n") < F.col("_rows"))
+    marked = first.withColumn("_test", in_test)
+    rest = running_sums(marked.where("NOT _test"), ["_class"], {"_later": "_n"}, "_place", "_c")
+    left = F.sum("_n").alias("_left")
+    lefts = marked.where("NOT _test").groupBy(F.col("_class").alias("_of2")).agg(left)
+    in_val = many & (F.col("_later") < F.bround(F.col("_rows") * val)) & (F.col("_later") + F.col("_n") < F.col("_left"))
+    others = rest.join(lefts, F.col("_class") == F.col("_of2")).select("_c", F.when(in_val, "val").otherwise("train").alias("split"))
+    table = marked.where("_test").select("_c", F.lit("test").alias("split")).unionByName(others)
+    return df.withColumn("_key", name).join(table, F.col("_key") == F.col("_c")).drop("_key", "_c")
 
 
 def broken(df: DataFrame, group: str, split: str = "split") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, scalars  # noqa: F401  they register their queries
+from . import media, records, scalars  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 

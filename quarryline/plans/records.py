@@ -21,12 +21,12 @@ def licence_breakdown(t):
     return reports.breakdown(t.lineitem, "l_returnflag", "l_linestatus")
 
 
-@query("zero_filled_counts", "SELECT n.n_name, e.event_type, count(c.c_custkey) AS n FROM nation n CROSS JOIN (SELECT DISTINCT event_type FROM events) e LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_mktsegment = upper(e.event_type) GROUP BY 1, 2")
+@query("zero_filled_counts", "SELECT n.n_name, k.c_mktsegment, count(c.c_custkey) AS n FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) k LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_mktsegment = k.c_mktsegment AND c.c_acctbal > 8000 GROUP BY 1, 2")
 def zero_filled_counts(t):
-    kinds = t.events.select("event_type").distinct()
-    dims = t.nation.select("n_nationkey", "n_name").join(kinds.agg(F.collect_set("event_type").alias("k"))).select("n_nationkey", "n_name", F.explode("k").alias("event_type"))
-    rows = t.customer.select(F.col("c_nationkey").alias("n_nationkey"), F.lower("c_mktsegment").alias("event_type"))
-    return reports.zero_filled(dims, ["n_nationkey", "event_type"], rows).select("n_name", "event_type", "n")
+    kinds = t.customer.agg(F.collect_set("c_mktsegment").alias("k"))  # one row with the market segments
+    dims = t.nation.select("n_nationkey", "n_name").join(F.broadcast(kinds)).select("n_nationkey", "n_name", F.explode("k").alias("c_mktsegment"))
+    rows = t.customer.where("c_acctbal > 8000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
+    return reports.zero_filled(dims, ["n_nationkey", "c_mktsegment"], rows).select("n_name", "c_mktsegment", "n")
 
 
 @query("split_counts", "SELECT lang, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY 1, 2")
@@ -127,10 +127,26 @@ def benchmark_exclusion(t):
     return lookups.excluded(t.documents.select("doc_id", "text"), lines, reference).select("doc_id")
 
 
-@query("benchmark_leak_gate", "SELECT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 10 = 0 AND list_contains(string_split(d.text, chr(10)), b.text))")
+WINDOW8 = "[array_to_string(w[i:i + 7], ' ') FOR i IN range(1, len(w) - 6)]"
+SPLIT_OF = "CAST(('0x' || left(sha256('s' || CAST({} AS VARCHAR)), 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(
+    "benchmark_leak_gate",
+    f"""WITH b AS (SELECT item_id, unnest({WINDOW8}) AS g FROM (SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark) WHERE len(w) >= 8),
+    d AS (SELECT doc_id, unnest({WINDOW8}) AS g FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS w FROM documents WHERE {SPLIT_OF.format("doc_id")} < 0.15) WHERE len(w) >= 8)
+    SELECT item_id, count(DISTINCT doc_id) AS docs, min(doc_id) AS example FROM b JOIN d USING (g) GROUP BY 1""",
+)
 def benchmark_leak_gate(t):
-    test = t.documents.where("doc_id % 10 = 0").select(F.explode(F.split("text", "\n")).alias("text"))
-    return t.benchmark.join(test, "text", "left_semi").select("item_id")
+    """Items that share eight words in a row with a document of the test split: no rows when nothing leaks."""
+    def windows(df, key):
+        w = F.col("w")
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, 8), " "))
+        return df.select(key, F.split("text", r"\s+").alias("w")).where("size(w) >= 8").select(key, F.explode(grams).alias("g"))
+
+    test = t.documents.where(splitting.hashed_split(F.col("doc_id"), salt="s") == "test")
+    items = windows(t.benchmark, "item_id").distinct()
+    return windows(test, "doc_id").join(items, "g").groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("example"))
 
 
 @query("poison_anti", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1 AND sha256(d.text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
@@ -164,11 +180,10 @@ def positional_agreement(t):
     """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS row, 'n' || c_nationkey || ':' || (c_custkey // 40) AS key FROM customer UNION SELECT c_custkey, 's' || c_mktsegment || ':' || (c_custkey // 25) FROM customer),
     l AS (SELECT DISTINCT a.row AS a, b.row AS b FROM e a JOIN e b USING (key)),
     r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-    SELECT a AS c_custkey, min(b) AS component FROM r WHERE a < 200 GROUP BY 1""".replace("FROM customer", "FROM customer WHERE c_custkey < 200"),
+    SELECT a AS c_custkey, min(b) AS component FROM r GROUP BY 1""",
 )
 def components(t):
-    """Only customers below 200, as in its SQL; ``components_whole`` takes all of them."""
-    return _linked_customers(t.customer.where("c_custkey < 200"))
+    return _linked_customers(t.customer)
 
 
 def _linked_customers(customers):
@@ -179,7 +194,7 @@ def _linked_customers(customers):
 
 @query("components_whole")
 def components_whole(t):
-    """The components of the whole table; recursive SQL makes all pairs of a component, so tests hold them against union-find."""
+    """The same as ``components``, held against union-find by a test."""
     return _linked_customers(t.customer)
 
 
@@ -194,10 +209,9 @@ def class_conflicts(t):
     return dedup.conflicts(t.documents.select(F.sha2("text", 256).alias("digest"), "source"), "digest", "source").select("digest", F.array_join("labels", ",").alias("labels"))
 
 
-@query("exact_dedup_keep_largest", "SELECT lang, doc_id, n_chars, slot FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang, left(text, 12)) AS slot, row_number() OVER (PARTITION BY lang, left(text, 12) ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
+@query("exact_dedup_keep_largest", "SELECT lang, doc_id, n_chars, slot FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang, sha256(text)) AS slot, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
 def exact_dedup_keep_largest(t):
-    rows = t.documents.select("doc_id", "lang", "n_chars", F.left("text", F.lit(12)).alias("head"))
-    return dedup.keep_largest(rows, ["lang", "head"], "n_chars", "doc_id").select("lang", "doc_id", "n_chars", "slot")
+    return exact_dedup_whole_text(t)
 
 
 @query("exact_dedup_whole_text", "SELECT lang, doc_id, n_chars, slot FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang, sha256(text)) AS slot, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
@@ -217,17 +231,24 @@ def sign_hash(t):
     return _bits(t.embeddings).select("vec_id", "label", F.bit_count("hash").alias("ones"))
 
 
-def _text_hash(t):
-    """A 64-bit pattern of a text's first 14 letters, so that similar heads are near."""
-    return t.documents.select("doc_id", "lang", "n_chars", F.conv(F.substring(F.md5(F.left("text", F.lit(14))), 1, 15), 16, 10).cast("long").bitwiseXOR(F.col("doc_id") % 3).alias("hash"))
-
-
-MD5_60 = "xor(CAST(('0x' || left(md5(left(text, 14)), 15)) AS BIGINT), doc_id % 3)"
+NEAR_SQL = (
+    "WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9à-ž]+') AS w FROM documents), "
+    "c AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest(w) AS word FROM w) GROUP BY ALL), "
+    "d AS (SELECT doc_id, lang, n, CAST('0x' || left(md5(word), 15) AS BIGINT) AS d FROM c), "
+    "h AS (SELECT doc_id, lang, CAST("
+    + " + ".join(f"CASE WHEN 2 * sum(n * ((d >> {i}) & 1)) > sum(n) THEN {1 << i} ELSE 0 END" for i in range(60))
+    + " AS BIGINT) AS h FROM d GROUP BY ALL), "
+    "k AS (SELECT lang, h, min(doc_id) AS class, count(*) AS n FROM h GROUP BY ALL), "
+    "l AS (SELECT a.lang, a.h, a.class, CAST(a.n - 1 + coalesce(sum(b.n), 0) AS BIGINT) AS links FROM k a LEFT JOIN k b ON b.lang = a.lang AND b.h <> a.h AND bit_count(xor(a.h, b.h)) <= 2 GROUP BY a.lang, a.h, a.class, a.n) "
+    "SELECT d.doc_id, coalesce(l.class, d.doc_id) AS class, coalesce(l.links, 0) AS links FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN l ON l.lang = h.lang AND l.h = h.h"
+)
 
 
-@query("near_dup_pairs", f"WITH h AS (SELECT doc_id, lang, {MD5_60} AS h FROM documents) SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON x.lang = y.lang AND x.doc_id < y.doc_id AND bit_count(xor(x.h, y.h)) <= 2")
+@query("near_dup_pairs", NEAR_SQL)
 def near_dup_pairs(t):
-    return dedup.near_pairs(_text_hash(t), "doc_id", ["lang"], ["hash"])
+    """Documents within two bits of a simhash of all their words: each one's class of equal hashes and its number of links."""
+    hashes = dedup.word_bits(t.documents, "doc_id", F.col("text"), "lang")
+    return dedup.near_classes(hashes, "doc_id", ["lang"], "hash").withColumnRenamed("row", "doc_id")
 
 
 def _whole_text_hash(t):
@@ -237,8 +258,8 @@ def _whole_text_hash(t):
 
 @query("near_dup_pairs_whole_text")
 def near_dup_pairs_whole_text(t):
-    """Near pairs by the whole text; SQL has no simhash of words, so tests hold them against brute force."""
-    return dedup.near_pairs(_whole_text_hash(t), "doc_id", ["lang"], ["hash"])
+    """Near classes by a 64-bit simhash made in batches; tests hold them against brute force."""
+    return dedup.near_classes(_whole_text_hash(t), "doc_id", ["lang"], "hash").withColumnRenamed("row", "doc_id")
 
 
 @query("near_dup_greedy")
@@ -326,7 +347,14 @@ def fill_to_cap(t):
     return caps.fill_to_cap(rows, ["user_id"], "event_id", "ok", 10, streak=4)
 
 
-@query("fetch_quota")
+QUOTA_SQL = """WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_size <= 5 THEN 1 ELSE 0 END AS f FROM part),
+    a AS (SELECT *, coalesce(sum(f) OVER u, 0) AS ahead, coalesce(sum(1 - f) OVER u, 0) AS place, greatest(0, 500 - sum(f) OVER w * 20) AS room, sum(1 - f) OVER w AS others FROM p WINDOW w AS (PARTITION BY p_brand), u AS (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b AS (SELECT *, CASE WHEN f = 0 THEN greatest(0, least(greatest(1, least(30, room // greatest(others, 1))), room - place * greatest(1, least(30, room // greatest(others, 1))))) END AS even FROM a),
+    c AS (SELECT *, greatest(0, room - coalesce(sum(even) OVER w, 0)) AS spare, coalesce(sum(30 - even) OVER u, 0) AS used FROM b WINDOW w AS (PARTITION BY p_brand), u AS (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT p_partkey, p_brand, f = 1 AS first, CAST(CASE WHEN f = 1 THEN greatest(0, least(20, 500 - ahead * 20)) ELSE even + greatest(0, least(30 - even, spare - used)) END AS BIGINT) AS quota FROM c"""
+
+
+@query("fetch_quota", QUOTA_SQL)
 def fetch_quota(t):
     rows = t.part.select("p_partkey", "p_brand", (F.col("p_size") <= 5).alias("first"))
     return caps.quotas(rows, ["p_brand"], "p_partkey", "first", 500, 30, 20)
@@ -343,16 +371,39 @@ def split_assign_hash(t):
     return t.orders.select("o_orderkey", splitting.hashed_split(F.col("o_custkey"), salt="s").alias("split"))
 
 
-@query("split_integrity", "SELECT CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS VARCHAR) AS splits WHERE false")
+@query(
+    "split_integrity",
+    """WITH s AS (SELECT o_custkey, CASE WHEN {0} < 0.15 THEN 'test' WHEN {0} < 0.30 THEN 'val' ELSE 'train' END AS split FROM orders)
+    SELECT o_custkey, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1""".format(SPLIT_OF.format("o_orderkey")),
+)
 def split_integrity(t):
-    rows = t.orders.select("o_custkey", splitting.hashed_split(F.col("o_custkey"), salt="s").alias("split"))
+    """Customers whose orders lie in several splits when orders are split one by one."""
+    rows = t.orders.select("o_custkey", splitting.hashed_split(F.col("o_orderkey"), salt="s").alias("split"))
     return splitting.broken(rows, "o_custkey").select("o_custkey", F.array_join("splits", ",").alias("splits"))
 
 
-@query("split_assign_exact")
+@query("split_integrity_kept", "SELECT 0 AS broken, count(DISTINCT o_custkey) AS customers, count(*) AS rows FROM orders")
+def split_integrity_kept(t):
+    """None is broken when the customer decides."""
+    rows = t.orders.select("o_custkey", splitting.hashed_split(F.col("o_custkey"), salt="s").alias("split"))
+    per = rows.groupBy("o_custkey").agg(F.count_distinct("split").alias("k"), rows_count().alias("n"))
+    return per.agg(F.count_if(F.col("k") > 1).cast("int").alias("broken"), rows_count().alias("customers"), F.sum("n").alias("rows"))
+
+
+@query(
+    "split_assign_exact",
+    """WITH p AS (SELECT left(sha256(text), 16) AS c, min(lang) AS class, count(*) AS n, bool_or(contains(text, '@')) AS blocked FROM documents GROUP BY 1),
+    q AS (SELECT *, sha256('0:' || class || ':' || c) AS place, sum(n) OVER (PARTITION BY class) AS rows, count(*) OVER (PARTITION BY class) AS parts FROM p),
+    r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY class ORDER BY blocked, place, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+    s AS (SELECT *, parts >= 3 AND NOT blocked AND before < round_even(rows * 0.15, 0) AND before + n < rows AS test FROM r),
+    u AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY class ORDER BY place, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later, sum(n) OVER (PARTITION BY class) AS rest FROM s WHERE NOT test)
+    SELECT doc_id, CASE WHEN s.test THEN 'test' WHEN s.parts >= 3 AND later < round_even(s.rows * 0.15, 0) AND later + s.n < rest THEN 'val' ELSE 'train' END AS split
+    FROM documents d JOIN s ON s.c = left(sha256(d.text), 16) LEFT JOIN u ON u.c = s.c""",
+)
 def split_assign_exact(t):
-    rows = t.documents.select("doc_id", "lang", F.substring(F.sha2("text", 256), 1, 16).alias("component"))
-    return splitting.split_components(rows, "lang", "component", F.col("doc_id") % 50 == 0).select("doc_id", "split")
+    """Copies stay together, and a text with an address is never tested on."""
+    rows = t.documents.select("doc_id", "lang", F.substring(F.sha2("text", 256), 1, 16).alias("component"), F.contains("text", F.lit("@")).alias("blocked"))
+    return splitting.split_components(rows, "lang", "component", F.col("blocked")).select("doc_id", "split")
 
 
 # ---------------------------------------------------------------- array metrics

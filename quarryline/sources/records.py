@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Marks in the names of photo tables.
+SUMMARY, UNVERIFIED = "grupa_toksyczna", "_niezweryfikowane"
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines by an explicit schema; blank lines are skipped, a malformed one fails."""
@@ -43,13 +48,95 @@ def write_jsonl(df: DataFrame, path: str, *order, keep_nulls: bool = False) -> N
     out.write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def replace_all(spark: SparkSession, writes: list[tuple[DataFrame, str]]) -> None:
+    """Writes every table beside its place and then renames all of them into it.
+
+    A failure while the tables are written leaves every old one as it was. The
+    renames follow each other; if one fails, those before it are undone.
+    """
+    mark = uuid.uuid4().hex
+    try:
+        for df, path in writes:
+            df.write.parquet(f"{path}.new-{mark}")
+        done = []
+        try:
+            for _, path in writes:
+                fs, place = _fs(spark, path)
+                old, new = _fs(spark, f"{path}.old-{mark}")[1], _fs(spark, f"{path}.new-{mark}")[1]
+                had = fs.exists(place)
+                if had and not fs.rename(place, old):
+                    raise OSError(f"{path} can't be moved")
+                done.append((fs, place, old, had))
+                if not fs.rename(new, place):
+                    raise OSError(f"{path} can't be replaced")
+        except Exception:
+            for fs, place, old, had in done:
+                if had and fs.exists(old):
+                    fs.delete(place, True)
+                    fs.rename(old, place)
+            raise
+        for fs, _, old, had in done:
+            if had:
+                fs.delete(old, True)
+    finally:
+        for _, path in writes:
+            fs, new = _fs(spark, f"{path}.new-{mark}")
+            fs.delete(new, True)
+
+
 def write_if_clean(violations: DataFrame, writes: list[tuple[DataFrame, str]]) -> None:
-    """Writes all tables, or none and fails with the first violations if there are any."""
+    """Writes all tables, or none: with violations it deletes what was there before and fails with the first of them."""
     bad = violations.limit(5).collect()
     if bad:
+        for df, path in writes:
+            fs, place = _fs(df.sparkSession, path)
+            fs.delete(place, True)
         raise ValueError(f"nothing written: {[r.asDict() for r in bad]}")
-    for df, path in writes:
-        df.write.mode("overwrite").parquet(path)
+    if writes:
+        replace_all(writes[0][0].sparkSession, writes)
+
+
+def insecure(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a URL, in any of ``columns``, that isn't blank and isn't https."""
+    from ..functions.publication import not_https
+
+    return df.where(F.size(not_https(columns)) > 0)
+
+
+def write_credits(df: DataFrame, path: str, columns: list[str], urls: list[str]) -> None:
+    """The slim table of credits: ``columns`` only, and nothing at all if one of ``urls`` isn't https."""
+    write_if_clean(insecure(df.select(*columns), urls), [(df.select(*columns), path)])
+
+
+def with_optional(spark: SparkSession, primary: str, optional: str | None) -> DataFrame:
+    """The rows of a primary table and of an optional one that was asked for; a table that isn't there is an error."""
+    out = spark.read.parquet(primary)
+    return out if optional is None else out.unionByName(spark.read.parquet(optional), allowMissingColumns=True)
+
+
+def photo_files(paths: DataFrame) -> DataFrame:
+    """``path, meta, unverified, order`` of the photo tables among CSV ``path``s, in reading order.
+
+    Left out are names that begin with an underscore, summaries, and files that
+    a ``_v2`` beside them or elsewhere supersedes. Side tables come as ``meta``.
+    """
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = paths.select("path", name.alias("name"), F.regexp_replace(name, r"\.csv$", "").alias("stem"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("parent")).where(F.endswith("path", F.lit(".csv")))
+    newer = rows.where(F.endswith("stem", F.lit("_v2"))).select(F.regexp_replace("stem", "_v2$", "").alias("stem")).distinct()
+    meta = F.endswith(F.col("name"), F.lit("_meta.csv"))
+    kept = rows.where(~F.startswith("name", F.lit("_")) & ~F.contains("name", F.lit(SUMMARY)))
+    photos = kept.where(~meta).join(newer, "stem", "left_anti").withColumn("meta", F.lit(False))
+    all_files = photos.unionByName(kept.where(meta).withColumn("meta", F.lit(True)))
+    flag = lambda c: c.cast("int")
+    unverified = F.contains("stem", F.lit(UNVERIFIED))
+    order = F.struct(flag(unverified), flag(F.col("parent") == "df20"), flag(F.contains("stem", F.lit("_by_nc"))), F.col("path"))
+    n = F.row_number().over(Window.partitionBy("meta").orderBy(order))  # a row per file
+    return all_files.select("path", "meta", unverified.alias("unverified"), n.cast("long").alias("order"))
 
 
 def latest(df: DataFrame, key: str, *order) -> DataFrame:
