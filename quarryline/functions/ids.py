@@ -71,3 +71,10 @@ def grid_key(prefix: Column, who: Column, lat: Column, lon: Column) -> Column:
 
 def usable_place(lat: Column, lon: Column) -> Column:
     return F.coalesce(~F.isnan(lat) & ~F.isnan(lon) & lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+
+
+def identity_keys(persons: list[Column], places: list[Column], photos: list[Column], observations: list[Column]) -> Column:
+    """The distinct keys of a row, persons first: named persons, grid places, photo tokens and observation tokens; blanks give none."""
+    one = lambda kind, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(f"{kind}:"), F.trim(c)))
+    keys = [one("person", p) for p in persons] + list(places) + [one("photo", p) for p in photos] + [occurrence_token(o) for o in observations]
+    return F.array_distinct(F.array_compact(F.array(*keys)))

@@ -38,3 +38,22 @@ def found(query: str, columns: list[Column], lists: list[Column] = ()) -> Column
     for a in lists:
         hit = hit | F.coalesce(F.exists(a, lambda x: F.contains(search_key(x), wanted)), F.lit(False))
     return hit
+
+
+def kept_chips(chosen: Column, panel: list[str]) -> tuple[Column, Column]:
+    """The chosen facets that a panel has, in their order, and those it hasn't."""
+    inside = F.array(*[F.lit(p) for p in panel])
+    return F.filter(chosen, lambda c: F.array_contains(inside, c)), F.array_except(chosen, inside)
+
+
+def fact_problem(tokens: dict[str, tuple[Column, list[str], bool]], ranges: dict[str, tuple[Column, Column]]) -> Column:
+    """The first field whose tokens aren't of its vocabulary (or are none, where that isn't allowed), or whose range is upside down.
+
+    A range may lack one bound, not both.
+    """
+    out = F.lit(None).cast("string")
+    checks = [(n, (F.size(c) == 0 if not empty else F.lit(False)) | (F.size(F.array_except(c, F.array(*map(F.lit, known)))) > 0)) for n, (c, known, empty) in tokens.items()]
+    checks += [(n, (low.isNull() & high.isNull()) | F.coalesce(low > high, F.lit(False))) for n, (low, high) in ranges.items()]
+    for name, bad in reversed(checks):
+        out = F.when(F.coalesce(bad, F.lit(True)), name).otherwise(out)
+    return out

@@ -37,11 +37,12 @@ def reconciled(rows: DataFrame, expected: int | Column, forbidden: Column) -> Da
     return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(forbidden), F.lit(False)).alias("forbidden")).withColumn("agrees", F.col("n") == expected)
 
 
-def agreement(pairs: DataFrame, rates: dict[str, Column], least: float, images: int) -> DataFrame:
-    """``metric, value, passed`` of the shares of pairs that agree; all fail unless there are ``images`` pairs."""
+def agreement(pairs: DataFrame, rates: dict[str, Column], least: float, images: int | None = None) -> DataFrame:
+    """``metric, value, passed`` of the shares of pairs that agree; all fail unless there are ``images`` pairs, where that is given."""
     one = pairs.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in rates.items()])
     long = one.unpivot(["_n"], list(rates), "metric", "value")
-    return long.select("metric", "value", (F.coalesce(F.col("value") >= least, F.lit(False)) & (F.col("_n") == images)).alias("passed"))
+    whole = F.lit(True) if images is None else F.col("_n") == images
+    return long.select("metric", "value", (F.coalesce(F.col("value") >= least, F.lit(False)) & whole).alias("passed"))
 
 
 def blockers(statuses: DataFrame, acknowledged: DataFrame, label: str) -> DataFrame:

@@ -143,3 +143,62 @@ def latest(df: DataFrame, key: str, *order) -> DataFrame:
     """The last entry of each key of an append-only table; ``order`` puts the newest first."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+class UnreadableJournal(ValueError):
+    """A journal with lines that aren't records; they are kept in a backup."""
+
+
+def read_journal(spark: SparkSession, path: str, schema: str, key: str, backup: str) -> DataFrame:
+    """The records of a journal that have a key. Unreadable lines are written to ``backup``, each content once, and fail the read."""
+    good, bad = read_jsonl_lenient(spark, path, schema)
+    if bad.limit(1).count():
+        bad.select(F.sha2("line", 256).alias("digest"), "line").dropDuplicates(["digest"]).write.mode("overwrite").parquet(backup)
+        raise UnreadableJournal(f"{path}: lines kept in {backup}")
+    return good.where(F.col(key).isNotNull())
+
+
+def credits_of(lines: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """Columns of JSON ``line``s: of each column's names the first whose text isn't blank, else empty."""
+    from ..functions.names import first_text
+
+    return lines.where(F.trim("line") != "").select(*[first_text(*[F.get_json_object("line", f"$.{n}") for n in names]).alias(c) for c, names in fields.items()])
+
+
+def reference_keys(tables: list[DataFrame], url: str) -> DataFrame:
+    """The long key set of reference tables with a ``url`` column; a URL that isn't https fails the load."""
+    from ..functions.ids import url_tokens
+    from ..operators.lookups import merged_keys
+
+    keys = []
+    for df in tables:
+        bad = insecure(df.select(url), [url]).limit(5).collect()
+        if bad:
+            raise ValueError(f"not https: {[r[0] for r in bad]}")
+        keys.append(df.select(F.explode(url_tokens(F.col(url))).alias("token")).select(F.substring_index("token", ":", 1).alias("kind"), F.expr("substr(token, instr(token, ':') + 1)").alias("key")))
+    return merged_keys(keys)
+
+
+def checked_dimension(df: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """A dimension whose key is unique and whose ``required`` columns are filled; a fault fails the load."""
+    empty = F.lit(False)
+    for c in [key, *required]:
+        empty = empty | (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "")
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).cast("string"), F.lit("twice").alias("fault"))
+    faults = df.where(empty).select(F.col(key).cast("string"), F.lit("empty").alias("fault")).unionByName(twice).limit(5).collect()
+    if faults:
+        raise ValueError(f"faulty rows: {[tuple(r) for r in faults]}")
+    return df
+
+
+def settings(spark: SparkSession, path: str | None, schema: str, key: str, default: list[tuple]) -> DataFrame:
+    """Rows of a settings file, the last of a key wins; without a file the default rows."""
+    if path is None or not _fs(spark, path)[0].exists(_fs(spark, path)[1]):
+        return spark.createDataFrame(default, schema)
+    rows = read_jsonl(spark, path, schema).withColumn("_at", F.monotonically_increasing_id())
+    return latest(rows, key, F.desc("_at")).drop("_at")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``path, digest``: SHA-256 of the bytes of each file below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("digest"))

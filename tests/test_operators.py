@@ -7,12 +7,13 @@ import hmac
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.functions import arrays, ids, text, urls
+from quarryline.functions import arrays, ids, names, text, urls
 from quarryline.operators import caps, dedup, facets, graph, importing, journal, lookups, ordering, reports, splitting
 from quarryline.plans import catalogue
 from quarryline.sources import records
@@ -404,3 +405,78 @@ def test_streams(spark, tmp_path):
         q.stop()
         assert spark.table(name).count() == n
     assert spark.table("shares").agg(F.sum("attempts")).first()[0] == 60
+
+
+def test_loads_with_checks(spark, tmp_path):
+    lines = spark.createDataFrame([('{"photo_url": " u ", "author": ""}',), ('{"photoUrl": "v", "author": "a", "creator": "b"}',), ("  ",)], "line string")
+    assert rows(records.credits_of(lines, {"url": ["photo_url", "photoUrl"], "who": ["author", "creator"]})) == [("u", ""), ("v", "a")]
+    good = spark.createDataFrame([("https://www.inaturalist.org/observations/5",), ("https://x.org/photos/7/a.jpg?b",)], "url string")
+    keys = set(map(tuple, records.reference_keys([good, good], "url").collect()))
+    assert {("inat_observation", "5"), ("inat_photo", "7"), ("image", "https://x.org/photos/7/a.jpg")} <= keys
+    with pytest.raises(ValueError):
+        records.reference_keys([good, spark.createDataFrame([("http://x.org",)], "url string")], "url")
+    with pytest.raises(ValueError):
+        records.reference_keys([], "url")
+    dim = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, name string")
+    assert records.checked_dimension(dim, "key", ["name"]).count() == 2
+    for bad in (dim.union(dim), dim.withColumn("name", F.lit(" "))):
+        with pytest.raises(ValueError):
+            records.checked_dimension(bad, "key", ["name"])
+    (tmp_path / "s.jsonl").write_text('{"id": "a", "why": "1"}\n{"id": "a", "why": "2"}\n')
+    assert rows(records.settings(spark, str(tmp_path / "s.jsonl"), "id string, why string", "id", [])) == [("a", "2")]
+    assert rows(records.settings(spark, str(tmp_path / "none"), "id string, why string", "id", [("d", "")])) == [("d", "")]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.bin").write_bytes(b"abc")
+    assert records.file_digests(spark, str(tmp_path / "f")).first().digest == hashlib.sha256(b"abc").hexdigest()
+    a, b = str(tmp_path / "p"), str(tmp_path / "q")
+    dim.write.parquet(a)
+    dim.withColumn("more", F.lit(1)).write.parquet(b)
+    assert records.with_optional(spark, a, b).count() == 4 and records.with_optional(spark, a, None).count() == 2
+    with pytest.raises(Exception):
+        records.with_optional(spark, a, str(tmp_path / "missing")).count()
+
+
+def test_journal_with_unreadable_lines(spark, tmp_path):
+    (tmp_path / "j.jsonl").write_text('{"id": "a"}\nbroken\nbroken\n{"id": null}\n')
+    with pytest.raises(records.UnreadableJournal):
+        records.read_journal(spark, str(tmp_path / "j.jsonl"), "id string", "id", str(tmp_path / "backup"))
+    assert rows(spark.read.parquet(str(tmp_path / "backup")).select("line")) == [("broken",)]
+    (tmp_path / "k.jsonl").write_text('{"id": "a"}\n{"id": null}\n')
+    assert rows(records.read_journal(spark, str(tmp_path / "k.jsonl"), "id string", "id", str(tmp_path / "other"))) == [("a",)]
+
+
+def plain_phones(text):
+    bare = lambda x: re.sub("[^0-9]", "", x)
+    found = {bare(m) for m in re.findall(r"(?<!\d)\d{2,4}(?:[ \u00a0-]\d{2,4}){2,}(?!\d)", text) if len(bare(m)) >= 9}
+    return found | set(re.findall(r"(?<!\d)\d{9,}(?!\d)", text)) | set(re.findall(r"(?<!\d)\d{3}(?!\d)", text))
+
+
+def test_phones_of_decoded_pages(spark):
+    texts = ["call 112 or 601 202 303", "22 619-66-54 now", "0048601202303 and 12345", "<p>&#49;&#49;2</p><script>999</script>", "1234567890 x 12 34", "a&nbsp;b&amp;c 997", ""]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, html string").select("i", names.decoded(F.col("html")).alias("t"), names.phones(names.decoded(F.col("html"))).alias("n"))
+    seen = {r.i: r for r in got.collect()}
+    assert seen[3].t == "112" and seen[5].t == "a b c 997"
+    assert all(set(r.n) == plain_phones(r.t) and len(r.n) == len(set(r.n)) for r in seen.values())
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", names.decoded(F.col("html")).alias("t")).collect()
+    expected = sorted((p.page_id, n) for p in pages for n in plain_phones(p.t))
+    assert rows(catalogue.queries()["html_phones"](spark, "/root/testdata/sf0.001")) == sorted(expected, key=repr) and expected
+
+
+def test_registered_queries_against_plain_rules(spark):
+    sf = "/root/testdata/sf0.001"
+    people = spark.read.parquet(f"{sf}/customer.parquet").collect()
+    named = {r.c_custkey: r.name for r in catalogue.queries()["component_names"](spark, sf).collect()}
+    assert named == {p.c_custkey: hmac.new(b"salt", "\n".join(sorted([p.c_name, p.c_mktsegment])).encode(), hashlib.sha256).hexdigest() for p in people}
+    bits = {r.row: r for r in catalogue.queries()["image_hashes"](spark, sf).collect()}
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    for v in vectors[:40]:
+        grey = np.array([float(v.embedding[i % len(v.embedding)]) * 100 for i in range(1024)]).reshape(32, 32)
+        small = np.array([[grey[4 * r : 4 * r + 4, 4 * c : 4 * c + 4].mean() for c in range(8)] for r in range(8)]).ravel()
+        expected = int("".join("1" if x >= small.mean() else "0" for x in small), 2)
+        got = bits[v.vec_id].average & (2**64 - 1)
+        assert (got ^ expected).bit_count() <= 1  # a cell equal to the mean may fall either way
+    assert len(bits) == len(vectors)
+    types = {r.event_type: r for r in catalogue.queries()["bootstrap_bounds"](spark, sf).collect()}
+    for name, r in types.items():
+        rates = np.random.default_rng(zlib.crc32(name.encode())).binomial(r.n, r.s / r.n, size=1000) / r.n
+        assert math.isclose(r.lower, np.quantile(rates, 0.05)) and math.isclose(r.upper, np.quantile(rates, 0.95))
