@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, names
-from ..operators import evaluation, gates, importing, lookups, reports
+from ..operators import evaluation, gates, images, importing, lookups, reports
 from .base import query, values_sql
 from .records import CLASSES, ENERGY_SQL, GATE, PREDICTED, L, logits
 
@@ -256,3 +256,17 @@ def tagged_union(t):
     parsed = t.embeddings.select("vec_id", F.from_json(json, "kind string, candidates array<struct<id:string,score:double>>", {"mode": "PERMISSIVE"}).alias("p"))
     out = parsed.select("vec_id", importing.tagged(F.col("p"), ["species", "rejected", "unknown"]).alias("u"))
     return out.select("vec_id", "u.kind", F.array_join(F.transform("u.candidates", lambda c: c["id"]), ",").alias("ids"))
+
+
+@query(
+    "image_resize",
+    """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) * 100.0 + 100.0 FOR x IN embedding] AS p FROM embeddings),
+    s AS (SELECT vec_id, [(p[16 * (i // 4) + 2 * (i % 4) + 1] + p[16 * (i // 4) + 2 * (i % 4) + 2] + p[16 * (i // 4) + 2 * (i % 4) + 9] + p[16 * (i // 4) + 2 * (i % 4) + 10]) / 4 FOR i IN range(16)] AS q FROM e)
+    SELECT vec_id, round(list_sum(q), 4) AS total, round(list_sum([least(255.0, greatest(0.0, floor(v + 0.5))) / 127.5 - 1.0 FOR v IN q]), 4) AS ranged FROM s""",
+)
+def image_resize(t):
+    """Images of 8 x 8 averaged to 4 x 4, and their bytes in a model's range."""
+    grey = F.transform("embedding", lambda x: x.cast("double") * 100.0 + 100.0)
+    small = images.resized(t.embeddings.select("vec_id", grey.alias("pixels")), "vec_id", "pixels", 8, 8, (4, 4))
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 4)
+    return small.select(F.col("row").alias("vec_id"), total(F.col("pixels")).alias("total"), total(images.model_range(F.col("pixels"))).alias("ranged"))

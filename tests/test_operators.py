@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import arrays, ids, names, text, urls
-from quarryline.operators import caps, dedup, facets, graph, importing, journal, lookups, ordering, reports, splitting
+from quarryline.operators import caps, dedup, facets, graph, images, importing, journal, lookups, ordering, reports, splitting
 from quarryline.plans import catalogue
 from quarryline.sources import records
 from quarryline.streaming import events
@@ -480,3 +480,22 @@ def test_registered_queries_against_plain_rules(spark):
     for name, r in types.items():
         rates = np.random.default_rng(zlib.crc32(name.encode())).binomial(r.n, r.s / r.n, size=1000) / r.n
         assert math.isclose(r.lower, np.quantile(rates, 0.05)) and math.isclose(r.upper, np.quantile(rates, 0.95))
+
+
+def test_images_are_resized_as_by_loops(spark):
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (6, 9)).astype(float)
+    df = spark.createDataFrame([(1, image.ravel().tolist()), (2, [1.0]), (3, None)], "row long, pixels array<double>")
+    got = {r.row: r.pixels for r in images.resized(df, "row", "pixels", 9, 6, (4, 3)).collect()}
+    for y in range(3):
+        for x in range(4):
+            total = sum(
+                image[b, a] * max(0.0, min(x * 9 / 4 + 9 / 4, a + 1) - max(x * 9 / 4, a)) * max(0.0, min(2 * y + 2, b + 1) - max(2 * y, b)) for a in range(9) for b in range(6)
+            )
+            assert math.isclose(got[1][4 * y + x], total / (9 / 4 * 2))
+    assert got[2] is None and got[3] is None
+    line = images.resized(df.where("row = 1"), "row", "pixels", 9, 6, (18, 6), "linear").first().pixels
+    for x in range(18):
+        c = min(max((x + 0.5) / 2 - 0.5, 0), 8)
+        low = int(c)
+        assert math.isclose(line[x], image[0, low] * (1 - (c - low)) + image[0, min(low + 1, 8)] * (c - low))
