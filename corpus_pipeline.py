@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences.
 
 Each stage works on what its predecessor kept; ``run`` writes each stage's
-documents as Parquet and reads them again for the next one.
+documents as Parquet and reads them again for the next one. Stages take an
+empty table and give an empty one, take texts whole however long they are,
+and keep extra columns of any name but for the last.
 """
 
 from __future__ import annotations
@@ -13,27 +15,46 @@ from quarryline.llm._common import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above their host's limit are cut from the others."""
+    """Rejected documents go; lines above their host's limit are cut from the others.
+
+    Null, empty and blank texts are rejected; a null source is a host of its
+    own; repeated rows are judged alike.
+    """
     return quality.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Of rows that share an id one stays; rows without an id stay all, and so do
+    texts without words.
+    """
     return minhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go.
+
+    Null and wordless texts stay; items without words or id have no windows.
+    """
     return decontam.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are named by kind, terms that give them away are cut or generalised."""
+    """Personal data are named by kind, terms that give them away are cut or generalised.
+
+    Null and empty texts stay as they are; repeated rows count each in the
+    statistics and are rewritten alike.
+    """
     return pii.sanitise(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences of 2048."""
+    """Pieces of token ids in sequences of 2048.
+
+    A null or empty text is its end id alone; repeated rows and ids are packed
+    as rows of their own. Returns the columns of ``packing.PIECES``.
+    """
     return packing.pack(docs)
 
 
