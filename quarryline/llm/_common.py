@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators.graph import components  # noqa: F401  one form for both
+
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -145,31 +147,3 @@ def running_start(df: DataFrame, amount: str, *order, name: str = "start") -> Da
         .withColumn("row", F.col("_row") + F.col("_at"))
         .drop("_part", "_at", "_start", "_own", "_row")
     )
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list: ``node`` and ``label``, the smallest node it reaches.
-
-    Each round takes the smallest label among a node's neighbours, then jumps
-    to that label's own label, so the rounds follow the logarithm of the
-    longest path. Every round is cut by a checkpoint.
-    """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = checkpointed(pairs.union(pairs.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = (
-            both.join(labels, both["b"] == labels["node"])
-            .groupBy(both["a"].alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        after = lower.join(own, lower["label"] == own["at"], "left").select(
-            "node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")
-        )
-        after = checkpointed(after)
-        moved = after.where("label <> old").limit(1).count()
-        labels = after.drop("old")
-        if not moved:
-            return labels

@@ -9,14 +9,15 @@
    probability that its similarity reaches the threshold is below ``miss``.
    Survivors are verified on their full sets. A bucket of m classes costs
    m - 1 pairs so far, and most groups of copies are connected by them.
-3. Where classes of one bucket are still in different components, they are
-   compared with each other, across components only and in a pair's first
-   common band only. Of the survivors the likeliest partners of each other
-   component are verified first; what is then still apart is verified whole.
+3. Where classes of one bucket are still in different components, their
+   signatures are compared with each other, across components only and in a
+   pair's first common band only. Survivors are joined into clusters, and the
+   full sets of a cluster are verified block against block, again across
+   components only; a block tells the links that connect it, never all pairs.
 4. Verified links give the components.
 
-Pairs are verified as stars: the sets of a centre's partners are dealt to
-blocks, and each block streams past the centre's own set.
+Pairs with a leader are verified as stars: the sets of its partners are dealt
+to blocks, and each block streams past the leader's own set.
 """
 
 from __future__ import annotations
@@ -42,10 +43,10 @@ NO_BAND = 2e-6
 BATCH = 42
 #: Probability at which a pair that reaches the threshold may be pruned.
 MISS = 1e-6
-#: Classes of a bucket compared by one task, shingles of a centre's partners that one block verifies.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1_000_000
-#: Partners in each other component that are verified first.
-FIRST_PARTNERS = 8
+#: Classes of a bucket compared by one task, classes and shingles of a cluster's block.
+BLOCK_CLASSES, BLOCK_SETS, BLOCK_SHINGLES = 2048, 512, 1_000_000
+#: Shared shingles that a block counts at once.
+COUNTED = 8192
 #: Rows of pairs that are broadcast to the texts at most (under 100 bytes each).
 MOST_BROADCAST = 300_000
 
@@ -213,8 +214,32 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _compare(threshold: float, miss: float, most: int | None):
-    """Pairs of a block that pass; of the partners of a member in one component the first ``most``, and whether there were more."""
+class Forest:
+    """Disjoint sets over 0..n-1; the smallest member is the root."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _is_across(t: pa.Table) -> bool:
+    return t.column("side")[0].as_py() == 0 or t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+
+
+def _compare(threshold: float, miss: float):
+    """The survivors of a block as a forest: ``a`` and ``b``, a row for each class but one of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["bucket", "side", "lo", "hi"]):
@@ -224,40 +249,62 @@ def _compare(threshold: float, miss: float, most: int | None):
             sig = _matrix(t.column("sig").combine_chunks())
             order = np.lexsort((rep, size))
             rep, size, own, label, sig = rep[order], size[order], own[order], label[order], sig[order]
-            across = t.column("side")[0].as_py() == 0 or t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
             band = int(t.column("bucket")[0].as_py() >> (8 * ROWS))
-            centre, other, more = [], [], []
-            for i, at in survivors(band, size, own, label, sig, across, threshold, miss):
-                kept = at
-                if most is not None and len(at) > most:
-                    by = np.argsort(label[at], kind="stable")
-                    first = np.append(True, np.diff(label[at][by]) != 0)
-                    place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-                    kept = at[by[place < most]]
-                centre.append(np.full(len(kept), rep[i]))
-                other.append(kept)
-                more.append(np.full(len(kept), len(kept) < len(at)))
-                if sum(map(len, other)) > 200_000:
-                    yield _pairs(rep, size, centre, other, more)
-                    centre, other, more = [], [], []
-            if other:
-                yield _pairs(rep, size, centre, other, more)
+            forest, edges = Forest(len(rep)), []
+            for i, at in survivors(band, size, own, label, sig, _is_across(t), threshold, miss):
+                edges += [(i, j) for j in at.tolist() if forest.join(i, j)]
+            if edges:
+                i, j = np.array(edges).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
 
     return run
 
 
-def _pairs(rep: np.ndarray, size: np.ndarray, centre: list, other: list, more: list) -> pa.RecordBatch:
-    at = np.concatenate(other)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(centre)), pa.array(rep[at]), pa.array(size[at]), pa.array(np.concatenate(more))], ["centre", "other", "n", "more"])
+def _verify_blocks(percent: int):
+    """Links across components between the sets of a block, as many as connect what reaches the threshold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["bucket", "side", "lo", "hi"]):
+            n = t.num_rows
+            if n < 2:
+                continue
+            rep, own, label = (t.column(c).to_numpy() for c in ("rep", "own", "label"))
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row, shared = np.repeat(np.arange(n), size), count[place] > 1
+            row, place = row[shared], (np.cumsum(count > 1) - 1)[place[shared]]
+            order = np.argsort(place, kind="stable")
+            row, place = row[order], place[order]
+            both = np.zeros((n, n), np.float32)
+            for start in range(0, int((count > 1).sum()), COUNTED):
+                a, b = np.searchsorted(place, [start, start + COUNTED])
+                part = np.zeros((n, COUNTED), np.float32)
+                part[row[a:b], place[a:b] - start] = 1
+                both += part @ part.T
+            both = both.astype(np.int64)
+            near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            near &= (label[:, None] != label[None, :]) & (rep[:, None] != rep[None, :]) & (size > 0)[:, None]
+            if _is_across(t):
+                near &= own[:, None] != own[None, :]
+            forest = Forest(n)
+            found = [(i, j) for i, j in zip(*np.nonzero(np.triu(near))) if forest.join(int(i), int(j))]
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keep = ["centre", "block", "lead", "node"]
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            part = batch.slice(i, 1000)
-            sets = [shingle_set(t.as_py()).tobytes() for t in part.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(sets, pa.binary())], [*keep, "shingles"])
+    return run
+
+
+def _shingle_rows(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                sets = [shingle_set(t.as_py()).tobytes() for t in part.column("text").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(sets, pa.binary())], [*keep, "shingles"])
+
+    return run
 
 
 def _verify(percent: int):
@@ -291,15 +338,15 @@ def _verify(percent: int):
 class _Search:
     """The steps of ``near_duplicates`` over one table of texts (``node, text``)."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, miss: float, block_classes: int, block_shingles: int):
+    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, miss: float, block_classes: int, block_sets: int, block_shingles: int):
         self.texts, self.classes = texts, classes
         self.percent, self.miss = percent, miss
-        self.block_classes, self.block_shingles = block_classes, block_shingles
+        self.block_classes, self.block_sets, self.block_shingles = block_classes, block_sets, block_shingles
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame) -> bool:
-        """Verifies ``pairs(centre, other, n)`` on full sets and joins what is linked; tells whether anything was."""
+    def verify(self, pairs: DataFrame) -> None:
+        """Verifies ``pairs(centre, other, n)`` on full sets and joins what is linked."""
         blocks = F.ceil(F.sum("n") / F.lit(self.block_shingles)).cast("long").alias("blocks")
         blocks_of = pairs.groupBy("centre").agg(blocks)
         others = pairs.join(blocks_of, "centre").select(
@@ -307,22 +354,24 @@ class _Search:
         )
         centres = blocks_of.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lead"), F.col("centre").alias("node"))
         rows = checkpointed(others.union(centres))
-        n = rows.count()
-        if not n:
-            return False
         found = (
-            self.texts.join(F.broadcast(rows) if n <= MOST_BROADCAST else rows, "node")
-            .mapInArrow(_shingle_rows, "centre long, block long, lead boolean, node long, shingles binary")
+            self.with_sets(rows, ["centre", "block", "lead", "node"], "centre long, block long, lead boolean, node long")
             .repartition("centre", "block")
             .sortWithinPartitions("centre", "block", F.desc("lead"))
             .mapInArrow(_verify(self.percent), "a long, b long")
         )
+        self.linked(found)
+
+    def with_sets(self, rows: DataFrame, columns: list[str], schema: str) -> DataFrame:
+        """``rows`` with the shingles of the text of each ``node``. Few rows go to the texts, more are joined."""
+        few = rows.count() <= MOST_BROADCAST
+        return self.texts.join(F.broadcast(rows) if few else rows, "node").mapInArrow(_shingle_rows(columns), f"{schema}, shingles binary")
+
+    def linked(self, found: DataFrame) -> None:
         found = checkpointed(found.distinct())
-        if not found.limit(1).count():
-            return False
-        self.links = found if self.links is None else self.links.union(found)
-        self.labels = components(self.links)
-        return True
+        if found.limit(1).count():
+            self.links = found if self.links is None else self.links.union(found)
+            self.labels = components(self.links)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components by now."""
@@ -342,61 +391,71 @@ class _Search:
         self.verify(first)
         self.verify(self.apart(found))
 
-    def rest(self, shared: DataFrame, most: int | None) -> bool:
-        """Compares the other classes of a bucket across components; tells whether pairs were left for another go."""
-        members = shared.where("rep <> leader").select("bucket", "rep")
-        if self.labels is not None:
-            members = members.join(self.labels.toDF("rep", "label"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-        else:
-            members = members.withColumn("label", F.col("rep"))
-        counts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed_buckets = (
-            counts.groupBy("bucket")
-            .agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
-            .where("labels > 1")
-            .select("bucket", "all", F.col("top.label").alias("top"), F.col("top.n").alias("m"))
-        )
-        placed = _in_blocks(members.join(mixed_buckets, "bucket"), self.block_classes)
+    def tagged(self, members: DataFrame) -> DataFrame:
+        """``members(.., rep)`` with ``label``, the component of each by now."""
+        if self.labels is None:
+            return members.withColumn("label", F.col("rep"))
+        return members.join(self.labels.toDF("rep", "_l"), "rep", "left").withColumn("label", F.coalesce("_l", "rep")).drop("_l")
+
+    def rest(self, shared: DataFrame) -> None:
+        """Compares the other classes of each bucket across components, and verifies the clusters of survivors."""
+        members = self.tagged(shared.where("rep <> leader").select("bucket", "rep"))
+        sig = self.classes.select("rep", "n_shingles", "sig")
         compared = (
-            placed.join(self.classes.select("rep", "n_shingles", "sig"), "rep")
+            _in_blocks(members, self.block_classes).join(sig, "rep")
             .repartition("bucket", "side", "lo", "hi")
             .sortWithinPartitions("bucket", "side", "lo", "hi")
-            .mapInArrow(_compare(self.percent / 100, self.miss, most), "centre long, other long, n long, more boolean")
-        )
-        pairs = written(compared, "minhash-pairs")
-        self.verify(pairs.select("centre", "other", "n").distinct())
-        return bool(pairs.where("more").limit(1).count())
-
-
-def _in_blocks(members: DataFrame, size: int) -> DataFrame:
-    """``bucket, side, lo, hi, own, rep, label``: a row for each task that a member belongs to.
-
-    A bucket of at most ``size`` members is one task. In a larger one the
-    members of its largest component (side 0, blocks ``lo``) meet the blocks
-    ``hi`` of all others, and the blocks of the others meet each other (side
-    1); the largest component isn't compared with itself.
+            .mapInArrow(_compare(self.percent / 100, self.miss), "a long, b long")
+        )
+        edges = checkpointed(compared.distinct())
+        if not edges.limit(1).count():
+            return
+        sizes = self.classes.groupBy("rep").agg(F.max("n_shingles").alias("n"))
+        clusters = self.tagged(components(edges).toDF("rep", "bucket")).join(sizes, "rep")
+        rows = checkpointed(_in_blocks(clusters, self.block_sets, self.block_shingles).withColumnRenamed("rep", "node"))
+        columns = ["bucket", "side", "lo", "hi", "own", "node", "label"]
+        sets = self.with_sets(rows, columns, "bucket long, side int, lo long, hi long, own long, node long, label long")
+        at_place = sets.withColumnRenamed("node", "rep").repartition("bucket", "side", "lo", "hi").sortWithinPartitions("bucket", "side", "lo", "hi")
+        self.linked(at_place.mapInArrow(_verify_blocks(self.percent), "a long, b long"))
+
+
+def _in_blocks(members: DataFrame, most: int, most_shingles: int | None = None) -> DataFrame:
+    """``bucket, side, lo, hi, own, rep, label``: a row for each task that a member of a bucket with several labels belongs to.
+
+    A bucket of at most ``most`` members (and ``most_shingles`` in all, by
+    their ``n``) is one task. In a larger one the members of its largest
+    component (side 0, blocks ``lo``) meet the blocks ``hi`` of all others, and
+    the blocks of the others meet each other (side 1); the largest component
+    isn't compared with itself.
     """
-    large = F.col("all") > size
-    blocks = lambda n: F.ceil(n / F.lit(size)).cast("long")
+    weight = F.sum("n" if most_shingles else F.lit(0)).alias("w")
+    counts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), weight)
+    top = F.max(F.struct("k", "label", "w")).alias("top")
+    sums = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("k"), F.sum("w").alias("w"), top).where("labels > 1")
+    blocks = lambda k, w: F.greatest(F.lit(1), F.ceil(k / F.lit(most)), F.ceil(w / F.lit(most_shingles or 1))).cast("long")
+    cut = sums.select(
+        "bucket", F.col("top.label").alias("top"), (blocks(F.col("k"), F.col("w")) > 1).alias("large"),
+        blocks(F.col("top.k"), F.col("top.w")).alias("tops"), blocks(F.col("k") - F.col("top.k"), F.col("w") - F.col("top.w")).alias("others"),
+    )
     zero = F.lit(0).cast("long")
-    tops, others = blocks(F.col("m")), F.greatest(F.lit(1).cast("long"), blocks(F.col("all") - F.col("m")))
     upto = lambda n: F.sequence(zero, n - 1)
     task = lambda side, lo, hi, own: F.struct(F.lit(side).alias("side"), lo.alias("lo"), hi.alias("hi"), own.alias("own"))
-    in_top, at = F.pmod(F.xxhash64("rep"), tops), F.pmod(F.xxhash64("rep"), others)
+    in_top, at = F.pmod(F.xxhash64("rep"), "tops"), F.pmod(F.xxhash64("rep"), "others")
     tasks = (
-        F.when(~large, F.array(task(1, zero, zero, zero)))
-        .when(F.col("label") == F.col("top"), F.transform(upto(others), lambda j: task(0, in_top, j, zero)))
+        F.when(~F.col("large"), F.array(task(1, zero, zero, zero)))
+        .when(F.col("label") == F.col("top"), F.transform(upto(F.col("others")), lambda j: task(0, in_top, j, zero)))
         .otherwise(
             F.concat(
-                F.transform(upto(tops), lambda i: task(0, i, at, F.lit(1).cast("long"))),
-                F.transform(upto(others), lambda j: task(1, F.least(at, j), F.greatest(at, j), at)),
+                F.transform(upto(F.col("tops")), lambda i: task(0, i, at, F.lit(1).cast("long"))),
+                F.transform(upto(F.col("others")), lambda j: task(1, F.least(at, j), F.greatest(at, j), at)),
             )
         )
     )
-    return members.select("bucket", "rep", "label", F.explode(tasks).alias("t")).select("bucket", "t.*", "rep", "label")
+    placed = members.select("bucket", "rep", "label").join(cut, "bucket")
+    return placed.select("bucket", "rep", "label", F.explode(tasks).alias("t")).select("bucket", "t.*", "rep", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text", block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES, first_partners: int = FIRST_PARTNERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text", block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Components of documents linked by shingle-set similarity of ``percent`` or more.
 
     Returns one row per document: ``doc_id, n_shingles, component_id`` (the
@@ -424,10 +483,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS, id_c
     heads = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
     shared = written(bands.join(heads.drop("n"), "bucket"), "minhash-bands")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    search = _Search(texts, classes, percent, miss, block_classes, block_shingles)
+    search = _Search(texts, classes, percent, miss, block_classes, block_sets, block_shingles)
     search.leaders(shared)
-    if search.rest(shared, first_partners):
-        search.rest(shared, None)
+    search.rest(shared)
     same_id = usable.join(classes, ["key_a", "key_b", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     several = checkpointed(same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select("b", "c").toDF("a", "b"))
     named = search.labels

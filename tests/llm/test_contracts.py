@@ -77,8 +77,8 @@ def test_minhash_odd_rows_and_small_blocks(spark, odd, empty):
             w[(i * 7 + k * 29) % 120] = f"x{i}-{k}"
         near.append((i, " ".join(w)))
     frame = spark.createDataFrame(near, "doc_id long, text string")
-    for first in (1, 8):
-        got = minhash.near_duplicates(frame, block_classes=7, block_shingles=900, first_partners=first)
+    for sets in (5, 512):
+        got = minhash.near_duplicates(frame, block_classes=7, block_shingles=900, block_sets=sets)
         assert Counter(tuple(r) for r in got.collect()) == brute_components(near)
     assert minhash.near_duplicates(empty).count() == 0
 
@@ -87,8 +87,8 @@ def test_minhash_verifies_leaders_first(spark, monkeypatch):
     base = [f"w{k}" for k in range(400)]
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in ((i, 3 * i) for i in range(120))]
     pairs = []
-    verify = minhash._Search.verify
-    monkeypatch.setattr(minhash._Search, "verify", lambda self, p: (pairs.append(p.count()), verify(self, p))[1])
+    with_sets = minhash._Search.with_sets
+    monkeypatch.setattr(minhash._Search, "with_sets", lambda self, r, *a: (pairs.append(r.count()), with_sets(self, r, *a))[1])
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0} and sum(pairs) < 3 * len(rows)  # not 120 * 119 / 2
 
@@ -111,6 +111,26 @@ def test_minhash_recall_at_the_threshold(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(400)) == 400
 
 
+def test_minhash_of_a_loose_group(spark):
+    """Copies that differ so much from each other that most pairs fall below the threshold: every link must still be found."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(150):
+        w = base[:]
+        for k in rng.sample(range(150), rng.randint(0, 5)):
+            w[k] = f"x{i}k{k}"
+        rows.append((i, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_components(rows)
+    assert 1 < len({k[2] for k in expected}) < 120
+    for classes, sets in ((2048, 512), (40, 20)):
+        got = minhash.near_duplicates(frame, block_classes=classes, block_sets=sets)
+        assert Counter(tuple(r) for r in got.collect()) == expected
+
+
 def check_packing(rows, pieces, ids_of, window=2048):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
