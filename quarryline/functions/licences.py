@@ -28,6 +28,7 @@ LICENCES = (
     ("cc-by-sa-4.0", "training_only", "cc-by-sa"),
     ("df20", "training_only", "df20"),
 )
+# Strictness, words without meaning, known words and codes of licence text, kept statuses, rejected words.
 RANKS = {"cc0": 1, "cc-by": 2, "cc-by-nc": 3, "cc-by-sa": 3, "df20": 3}
 SKIPPED = ("cc", "creative", "commons", "license", "licence", "international", "unported", "legalcode", "deed")
 KNOWN = ("by", "nc", "nd", "sa", "zero", "public", "domain", "publicdomain", "cc0")

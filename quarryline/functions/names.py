@@ -9,9 +9,11 @@ from .binding import let
 from .ids import usable_place
 from .text import person
 
-# Image endings, and the country code of nine-digit numbers.
+# Image endings, the country code of nine-digit numbers, what marks an extension, and the name of a stored photo.
 ENDINGS = (".jpg", ".jpeg", ".png", ".webp")
 COUNTRY = "48"
+EXTENSION = r"(?i)\b(?:wew|ext|extension)\b|[#,;]"
+PHOTO_NAME = r"\A[A-Za-z0-9][A-Za-z0-9_-]*\.(jpg|png|heic|webp)\z"
 #: The narrowest preview.
 PREVIEW = 448
 
@@ -130,7 +132,7 @@ def tel_link(phone: Column) -> Column:
     """``tel:`` with the digits of a phone number; null for an extension or no digits."""
     text = F.trim(phone)
     number = F.regexp_replace(text, r"[^0-9]", "")
-    return F.when((number == "") | text.rlike(r"(?i)(\bext\b|\bx\s*[0-9]|\bwew|#)"), None).when(text.startswith("+"), F.concat(F.lit("tel:+"), number)).when(
+    return F.when((number == "") | text.rlike(EXTENSION), None).when(text.startswith("+"), F.concat(F.lit("tel:+"), number)).when(
         F.length(number) == 9, F.concat(F.lit(f"tel:+{COUNTRY}"), number)
     ).otherwise(F.concat(F.lit("tel:"), number))
 
@@ -158,7 +160,7 @@ def photo_name(value: Column, folder: str = "journal-photos") -> Column:
     text = F.trim(value)
     bad = text.contains("..") | text.contains("\\") | text.contains("\0") | text.rlike("(?i)%2e|%2f|%5c")
     rest = F.when(~text.contains("/"), text).when(text.contains(f"/{folder}/"), F.substring_index(text, f"/{folder}/", -1))
-    return F.when(~bad & rest.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"), rest)
+    return F.when(~bad & rest.rlike(PHOTO_NAME), rest)
 
 
 def half_up(value: Column) -> Column:

@@ -10,7 +10,7 @@ from .binding import let
 
 # The restricted source, how its licence text calls it, and its dataset names.
 RESTRICTED, RESTRICTED_TERMS = "df20", "training-only"
-RESTRICTED_DATASETS = ("df20", "danish fungi 2020", "svampeatlas")
+RESTRICTED_DATASETS = ("df20", "danish fungi 2020", "danish_fungi_2020")
 SHOWN = ("cc0", "cc-by")
 
 
@@ -96,12 +96,10 @@ def trainable(unverified: Column, usage: Column, publishable_only: bool = False)
 
 
 def licence_link(explicit: Column, licence: Column, normalized: Column) -> Column:
-    """The https URL of a credit: its own, its licence if that is one, or that of the normalised CC0 or BY name; else null."""
+    """The https URL of a credit: its own, its licence if that is one, or that of the normalised CC0; else null."""
     name = F.upper(F.regexp_replace(F.trim(F.coalesce(normalized, F.lit(""))), r"\s+", " "))
-    version = F.regexp_extract(name, r"^CC BY ([0-9]\.[0-9])$", 1)
     return (
         F.when(https(explicit), F.trim(explicit))
         .when(https(licence), F.trim(licence))
         .when(name.isin("CC0", "CC0 1.0"), "https://creativecommons.org/publicdomain/zero/1.0/")
-        .when(version != "", F.concat(F.lit("https://creativecommons.org/licenses/by/"), version, F.lit("/")))
     )

@@ -46,7 +46,7 @@ def customer_places(t):
 
 
 NUMBERS = [
-    ("+48 601 202 303", "tel:+48601202303"), ("601-202-303", "tel:+48601202303"), ("112", "tel:112"), ("22 619 66 54 ext 2", None), ("", None), (None, None), ("no digits", None), (" +1 (202) 555-0100 ", "tel:+12025550100"),
+    ("+48 601 202 303", "tel:+48601202303"), ("601-202-303", "tel:+48601202303"), ("112", "tel:112"), ("22 619 66 54 ext 2", None), ("", None), (None, None), ("no digits", None), ("112, 113", None), (" +1 (202) 555-0100 ", "tel:+12025550100"),
 ]
 
 
@@ -57,7 +57,7 @@ def tel_links(t):
 
 
 FILES = [
-    ("a.jpg", "a.jpg"), (" b.png ", "b.png"), ("/x/journal-photos/c.jpg", "c.jpg"), ("/x/journal-photos/d/e.jpg", None), ("../a.jpg", None), ("a%2Fb.jpg", None), ("/other/a.jpg", None), ("", None), (None, None), (".hidden", None),
+    ("a.jpg", "a.jpg"), (" b.png ", "b.png"), ("/x/journal-photos/c.jpg", "c.jpg"), ("/x/journal-photos/d/e.jpg", None), ("../a.jpg", None), ("a%2Fb.jpg", None), ("/other/a.jpg", None), ("", None), (None, None), (".hidden", None), ("a.b.jpg", None), ("c.heic", "c.heic"), ("d.gif", None),
 ]
 CACHES = [("class=aa%2Dv2__v3__0123456789abcdef0123.json", "class", "aa-v2"), ("media=x%5Fy%2Ez%25__v12__ffffffffffffffffffff.json", "media", "x_y.z%"), ("class=a__v1__short.json", None, None), ("plain.txt", None, None)]
 
@@ -73,7 +73,7 @@ def file_names(t):
 
 LINKS = [
     ("https://x.y/l", "CC BY", "CC0", "https://x.y/l"), ("http://x", "https://z/1", "", "https://z/1"), (None, "CC0", "cc0  1.0", "https://creativecommons.org/publicdomain/zero/1.0/"),
-    ("", "", "CC BY 4.0", "https://creativecommons.org/licenses/by/4.0/"), ("", "", "CC BY-SA 4.0", None), (None, None, None, None),
+    ("", "", "CC BY 4.0", None), ("", "", "CC0 1.0", "https://creativecommons.org/publicdomain/zero/1.0/"), (None, None, None, None),
 ]
 
 
