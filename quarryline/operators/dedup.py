@@ -89,10 +89,12 @@ def word_bits(df: DataFrame, row: str, text: Column, *others: str) -> DataFrame:
     """``row, hash`` and ``others``: a 60-bit simhash of a text's lower-cased words of letters and digits, each occurrence counted.
 
     A bit is set if it is set in the digests of more than half of the words; a
-    text without words has none. Words are counted on the map side, and a
-    word's digest is taken once per text.
+    text without words has none. Texts are dealt by ``row`` once; their words
+    are counted and summed where they are, and a word's digest is taken once
+    per text.
     """
-    words = df.select(row, *others, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9à-ž]+"), 0)).alias("word"))
+    own = df.select(row, *others, text.alias("_text")).repartition(row)
+    words = own.select(row, *others, F.explode_outer(F.regexp_extract_all(F.lower("_text"), F.lit("[a-z0-9à-ž]+"), 0)).alias("word"))
     counted = words.groupBy(row, *others, "word").agg(F.count("word").alias("n"))
     bits = counted.withColumn("d", F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long"))
     ones = [F.sum(F.when(F.getbit("d", F.lit(i)) == 1, F.col("n"))).alias(f"b{i}") for i in range(60)]
