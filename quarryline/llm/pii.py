@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,8 @@ MOST_PAIRS = 200_000
 LONGEST_CLASS = 8
 #: Size of the filter of judged pairs: 16 MB.
 FILTER_BITS = 1 << 27
+#: Marks of documents by classes that a task holds at once, a byte each.
+MARKS = 20_000_000
 #: Counts that a task holds before it passes them on.
 MOST_HELD = 200_000
 
@@ -133,6 +136,8 @@ def entity_hash(kind: str, value: str) -> int:
 
 
 def words_of(text: str) -> set[str]:
+    if text.isascii():
+        return set(_WORD.findall(text.lower()))
     return {w.lower() for w in set(_WORD.findall(text))}
 
 
@@ -176,48 +181,87 @@ def _pair_rows(least_contexts: int, named: set[int] | None):
 def _term_counts(wanted: set[int] | None):
     """Documents per term, of ``wanted`` ones or of all, counted within a task, and the term as a word."""
 
-    def counted(held: dict[str, int], hashes: dict[str, int | None]) -> pa.RecordBatch:
-        words = list(held)
-        return pa.RecordBatch.from_arrays([*_longs([hashes[w] for w in words]), pa.array(words, pa.string()), *_longs(list(held.values()))], ["term", "word", "n"])
+    def counted(held: Counter) -> pa.RecordBatch:
+        rows = [(t, w, n) for w, n in held.items() if (t := term_hash(w)) in wanted] if wanted is not None else [(term_hash(w), w, n) for w, n in held.items()]
+        t, w, n = zip(*rows) if rows else ((),) * 3
+        return pa.RecordBatch.from_arrays([*_longs(t), pa.array(w, pa.string()), *_longs(n)], ["term", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[str, int | None] = {}
-        held: dict[str, int] = {}
+        held: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for w in words_of(text or ""):
-                    if w not in hashes:
-                        t = term_hash(w)
-                        hashes[w] = t if wanted is None or t in wanted else None
-                    if hashes[w] is not None:
-                        held[w] = held.get(w, 0) + 1
-                if len(hashes) > MOST_HELD:
-                    yield counted(held, hashes)
-                    hashes, held = {}, {}
-        yield counted(held, hashes)
+                if text:
+                    held.update(words_of(text))
+                    if len(held) > MOST_HELD:
+                        yield counted(held)
+                        held = Counter()
+        yield counted(held)
 
     return run
 
 
+class _ClassTable:
+    """Counts documents by class: for each known word the numbers of its wanted classes, laid end to end."""
+
+    def __init__(self, wanted: set[str] | None):
+        self.number = {c: i for i, c in enumerate(sorted(wanted))} if wanted is not None else {}
+        self.grows = wanted is None
+        self.words: dict[str, int] = {}
+        self.first, self.size, self.flat = [], [], []
+        self.total = np.zeros(len(self.number), np.int64)
+
+    def of(self, word: str) -> int:
+        at = self.words.get(word)
+        if at is None:
+            if self.grows:
+                for c in classes_of(word):
+                    self.number.setdefault(c, len(self.number))
+            own = [self.number[c] for c in classes_of(word) if c in self.number]
+            at = self.words[word] = len(self.first)
+            self.first.append(len(self.flat))
+            self.size.append(len(own))
+            self.flat += own
+        return at
+
+    def add(self, texts: list[set[str]]) -> None:
+        ids = [[self.of(w) for w in words] for words in texts]
+        k = len(self.number)
+        self.total = np.concatenate([self.total, np.zeros(k - len(self.total), np.int64)])
+        first, size, flat = np.array(self.first, np.int64), np.array(self.size, np.int64), np.array(self.flat, np.int64)
+        step = max(1, MARKS // max(1, k))
+        for i in range(0, len(ids), step):
+            part = ids[i : i + step]
+            word = np.fromiter((w for own in part for w in own), np.int64)
+            doc = np.repeat(np.arange(len(part)), [len(own) for own in part])
+            n = size[word]
+            at = np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            met = np.zeros((len(part), k), bool)
+            met[np.repeat(doc, n), flat[at]] = True
+            self.total += met.sum(axis=0)
+
+    def rows(self) -> pa.RecordBatch:
+        on = np.flatnonzero(self.total)
+        names = list(self.number)
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in on.tolist()], pa.string()), pa.array(self.total[on])], ["class", "n_c"])
+
+
 def _class_counts(wanted: set[str] | None):
     """Documents with a word of a class, of ``wanted`` classes or of all, counted within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        held: dict[str, int] = {}
+        table, held = _ClassTable(wanted), []
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                met: set[str] = set()
-                for w in words_of(text or ""):
-                    if w not in known:
-                        known[w] = [c for c in classes_of(w) if wanted is None or c in wanted]
-                    met.update(known[w])
-                for c in met:
-                    held[c] = held.get(c, 0) + 1
-                if len(known) > MOST_HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *_longs(list(held.values()))], ["class", "n_c"])
-                    known, held = {}, {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *_longs(list(held.values()))], ["class", "n_c"])
+                if text:
+                    held.append(words_of(text))
+                    if len(held) == 1000:
+                        table.add(held)
+                        held = []
+                        if max(len(table.words), len(table.number) if table.grows else 0) > MOST_HELD:
+                            yield table.rows()
+                            table = _ClassTable(wanted)
+        table.add(held)
+        yield table.rows()
 
     return run
 

@@ -304,7 +304,7 @@ def luhn(d):
 def brute_spans(text):
     text = text or ""
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub("[^0-9]", "", m.group())
         if 12 <= len(d) <= 19 and luhn(d):
@@ -464,12 +464,35 @@ def test_url_rules_match_brute_force(spark, most):
     rows = [(i % 40, u, "h", "p") for i, u in enumerate(urls)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string")
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    got = Counter(tuple(r) for r in urlrules.judge_urls(pages, rules, most_swept=most).collect())
+    got = Counter(tuple(r) for r in urlrules.judge_urls(pages, rules, most_sent=most).collect())
     assert got == Counter((i, *brute_url(u)) for i, u, *_ in rows)
     assert urlrules.judge_urls(pages.where("false"), rules).count() == 0
     assert {r.verdict for r in urlrules.judge_urls(pages, rules.where("false")).collect()} == {"allow"}
 
 
+def test_many_url_rules_are_swept_by_range(spark):
+    import random
+
+    rng = random.Random(2)
+    name = lambda: ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    hosts = [name() for _ in range(300)] + ["a.b.c"] * 400
+    pages = [(i, f"http://{h}/{rng.choice('xyz')}{i % 7}") for i, h in enumerate(hosts)]
+    rules = [(rng.choice(["block", "allow"]), name(), rng.choice(["/", "/x", "/y1", "/z"])) for _ in range(250)]
+    best = {}
+    for v, h, p in rules:
+        best[h, p] = "block" if "block" in (v, best.get((h, p))) else v
+    expected = Counter()
+    for i, url in pages:
+        host, path = url[7:].split("/", 1)
+        fit = [(len(h + p), len(h), h + p, v) for (h, p), v in best.items() if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        top = max(fit, default=None)
+        expected[i, host, "/" + path, top and top[2], top[3] if top else "allow"] += 1
+    frame = spark.createDataFrame(pages, "page_id long, url string").repartition(8)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    for most in (10, 1000):
+        assert Counter(map(tuple, urlrules.judge_urls(frame, table, most_sent=most).collect())) == expected
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 24, 100, 997])
 def test_feistel_is_a_permutation(n):
     places = [sharding.place_of(i, n, 3) for i in range(n)]
@@ -581,7 +604,7 @@ def brute_term_spans(text, strong):
 def test_pii_terms_match_brute_force(spark, docs, most):
     weak = ["Marbleton", "Marbury", "Marsden", "Zorbanel"]
     made = [(5000 + i, f"report {chr(97 + i % 26) * 3} of {weak[i % 4]} to Quellford at q@corp.example.org with filler {chr(97 + i % 7) * 4}") for i in range(16)]
-    made += [(6000 + i, f"margin market {'Quellford' if i < 5 else 'quiet'} item {chr(97 + i % 23) * 5}") for i in range(60)]
+    made += [(6000 + i, f"margin market {'Quellford' if i < 8 else 'quiet'} item {chr(97 + i % 23) * 5}") for i in range(60)]
     rows = [(d, t) for d, t, *_ in docs] + made
     strong = brute_terms(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
