@@ -50,7 +50,7 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = catalogue.queries()["split_integrity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalogue.queries()["split_integrity_kept"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_custkey:bigint>" in plan
     plan = catalogue.queries()["benchmark_leak_gate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
