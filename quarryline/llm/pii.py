@@ -135,10 +135,17 @@ def entity_hash(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value.lower()}".encode()) - (1 << 63)
 
 
+#: Latin-1 letters in lower case, all else as a space: what ``_WORD`` finds in such a text.
+_LETTERS = bytes(ord(chr(c).lower()) if _WORD.fullmatch(chr(c)) else 0x20 for c in range(256))
+
+
 def words_of(text: str) -> set[str]:
-    if text.isascii():
-        return set(_WORD.findall(text.lower()))
-    return {w.lower() for w in set(_WORD.findall(text))}
+    """The distinct lower-cased words of a text."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return {w.lower() for w in set(_WORD.findall(text))}
+    return set(raw.translate(_LETTERS).decode("latin-1").split())
 
 
 def _longs(*columns) -> list[pa.Array]:

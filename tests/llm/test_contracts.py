@@ -562,6 +562,13 @@ def test_pii_very_long_runs_of_digits_and_dots():
         assert [(a, b) for a, b in pii.addresses(t)] == [(a, b) for a, b, k in brute_spans(t) if k == 1], t
 
 
+def test_pii_words_are_those_of_the_pattern(docs):
+    texts = [t for _, t, *_ in docs if t] + ["".join(map(chr, range(1, 700))), "ÀB²½_c1d µß ÿŸ Straße\u00a0x\u2009y", "日本 İI", ""]
+    texts += [" ".join(f"a{chr(c)}b" for c in range(1, 256))]
+    for t in texts:
+        assert pii.words_of(t) == {w.lower() for w in re.findall(r"[^\W\d_]+", t)}
+
+
 def brute_terms(rows, least=3, remove=0.9, generalise=0.75):
     """Classes of judged terms by entity, and the strengths, from whole documents."""
     import math
