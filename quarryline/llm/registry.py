@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, oracles, packing, pii, quality, sharding, substrings, tokenstore, urlrules
+from . import decontam, divergence, langid, lexical, minhash, oracles, packing, pii, quality, sharding, substrings, tokenstore, toxicity, urlrules
 from ._common import scratch_path
 
 
@@ -72,6 +72,18 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -84,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_url_rules": op9_url_rules,
         "op10_feistel_shards": op10_feistel_shards,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_toxicity": op13_toxicity,
     }
 
 
@@ -93,4 +108,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_frequency": oracles.OP4,
         "op7_decontamination": oracles.OP7,
         "op9_url_rules": oracles.op9(URL_RULES),
+        "op11_source_divergence": oracles.OP11,
+        "op12_lexical_search": oracles.OP12,
     }
