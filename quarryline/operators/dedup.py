@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 
 from .graph import checkpointed
 from .lookups import first_per
-
-#: Bits of the three chunks of a 64-bit hash; two hashes within distance 2 agree on one of them at least.
-CHUNKS = ((0, 21), (21, 21), (42, 22))
-
+from .settling import settled
 
 def keep_largest(df: DataFrame, keys: list[str], size: str, position: str) -> DataFrame:
     """Of each key the largest row, the first of equals; ``slot`` is where the key was first seen."""
@@ -33,27 +30,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_pairs(df: DataFrame, row: str, bucket: list[str], hashes: list[str], distance: int = 2) -> DataFrame:
-    """Pairs ``(a, b)``, a before b, of one bucket that are within ``distance`` on any of ``hashes``.
-
-    Candidates agree on one of three chunks of a hash, so no pair is lost up
-    to distance 2.
-    """
-    if not 0 <= distance <= 2:
-        raise ValueError("three chunks cover distances up to 2")
-    keys = [F.struct(F.lit(f"{h}{i}").alias("kind"), F.shiftrightunsigned(F.col(h), at).bitwiseAND(F.lit((1 << bits) - 1)).alias("chunk")) for h in hashes for i, (at, bits) in enumerate(CHUNKS)]
-    own = df.select(row, *bucket, *hashes).withColumn("_k", F.explode(F.array(*keys))).where(F.col("_k.chunk").isNotNull())
-    left = own.select(F.col(row).alias("a"), *[F.col(c).alias(f"_l_{c}") for c in bucket], *[F.col(h).alias(f"_lh_{h}") for h in hashes], "_k")
-    right = own.select(F.col(row).alias("b"), *[F.col(c).alias(f"_r_{c}") for c in bucket], *[F.col(h).alias(f"_rh_{h}") for h in hashes], "_k")
-    same = left["_k"] == right["_k"]
-    for c in bucket:
-        same = same & F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}"))
-    close = F.lit(False)
-    for h in hashes:
-        close = close | F.coalesce(hamming(F.col(f"_lh_{h}"), F.col(f"_rh_{h}")) <= distance, F.lit(False))
-    return left.join(right, same & (F.col("a") < F.col("b"))).where(close).select("a", "b").distinct()
-
-
 def close_hashes(df: DataFrame, row: str, bucket: list[str], hash: str) -> DataFrame:
     """Pairs ``(a, b)``, a before b, of one bucket whose hashes differ in one or two bits; one row per bucket and hash is expected.
 
@@ -148,6 +124,46 @@ def greedy_drop_hashes(df: DataFrame, row: str, bucket: list[str], hash: str, po
     return copies.where((F.col("row") != F.col("_rep")) | F.col("near").isNotNull()).select("row", F.coalesce("near", "_rep").alias("near"))
 
 
+def pooled_bucket(label: str, taxon: str, pooled: str) -> Column:
+    """The bucket of near-duplicates: the label, but of the one ``pooled`` label each taxon that isn't blank by itself."""
+    name = F.coalesce(F.col(taxon).cast("string"), F.lit(""))
+    return F.when((F.col(label) == pooled) & (name != ""), F.concat(label, F.lit("\n"), name)).otherwise(F.col(label))
+
+
+def greedy_drop_either(df: DataFrame, row: str, bucket: list[str], hashes: list[str], order: list[str], rounds: int | None = None) -> DataFrame:
+    """``row, near``: rows dropped because an earlier *kept* row of the bucket is within two bits on any of ``hashes``, and the first such row.
+
+    ``order`` ranks the rows, ties by ``row``. A null hash is compared with
+    none; rows without any hash are kept and compared with nobody. Rows that
+    agree in all hashes have the same neighbours, so the first stands for
+    them. Rows meet on values: each hash value of a bucket is a key, near
+    values are found once among the distinct ones, and a value that many rows
+    share costs one row each, no pairs.
+    """
+    within = F.to_json(F.struct(*bucket)) if bucket else F.lit("")
+    rows = df.select(F.col(row).alias("row"), F.struct(*order, row).alias("place"), within.alias("bucket"), *[F.col(h).cast("long").alias(f"h{i}") for i, h in enumerate(hashes)])
+    own = [f"h{i}" for i in range(len(hashes))]
+    rows = checkpointed(rows.where(F.coalesce(*own).isNotNull()))
+    kinds = checkpointed(rows.groupBy("bucket", *own).agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place")))
+    name = lambda i: F.when(F.col(f"h{i}").isNotNull(), F.concat_ws(":", F.lit(i), f"h{i}", "bucket"))
+    holds = checkpointed(kinds.select("row", "place", F.explode(F.array_compact(F.array(*[name(i) for i in range(len(hashes))]))).alias("key")))
+    near = None
+    for i in range(len(hashes)):
+        values = kinds.where(f"h{i} IS NOT NULL").select(name(i).alias("key"), "bucket", f"h{i}").distinct()
+        pairs = close_hashes(values, "key", ["bucket"], f"h{i}")
+        pairs = pairs.union(pairs.select("b", "a")).toDF("key", "other")
+        near = pairs if near is None else near.union(pairs)
+    near = checkpointed(near)
+    told = checkpointed(settled(holds, near, **({} if rounds is None else {"rounds": rounds})))
+    kept = holds.join(told.where("kept"), "row", "left_semi").groupBy("key").agg(F.min("place").alias("first"))
+    spread = kept.union(near.join(kept.withColumnRenamed("key", "other"), "other").select("key", "first"))
+    reasons = holds.join(told.where("NOT kept"), "row", "left_semi").join(spread, "key").groupBy("row").agg(F.min("first")[row].alias("near"))
+    same = [rows[c].eqNullSafe(kinds[c]) for c in ("bucket", *own)]
+    copies = rows.join(kinds.withColumnRenamed("row", "rep").drop("place"), same).select(rows["row"], "rep")
+    judged = copies.join(reasons.withColumnRenamed("row", "rep"), "rep", "left").where("row <> rep OR near IS NOT NULL")
+    return judged.select("row", F.coalesce("near", "rep").alias("near"))
+
+
 def text_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Simhashes of whole texts as 64-bit patterns: a bit is set if it is in the hashes of most words, each occurrence counted; null for a text without words."""
     import numpy as np
@@ -182,27 +198,23 @@ def strictest(df: DataFrame, component: str, rank: str, position: str) -> DataFr
 
 
 def hash_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Average, difference and DCT hashes of 8x8, 8x9 and 32x32 grey images, as 64-bit patterns."""
+    """Average, difference and DCT hashes of 8x8, 8x9 and 32x32 grey images, as 64-bit patterns; a batch of images is one array."""
     import numpy as np
 
     n = np.arange(32)
-    matrix = np.cos(np.pi / 32 * (n[None, :] + 0.5) * n[:, None])
-
-    def packed(flags) -> int:
-        value = 0
-        for f in flags:
-            value = value << 1 | int(f)
-        return value - (1 << 64) if value >> 63 else value
+    matrix = np.cos(np.pi / 32 * (n[None, :] + 0.5) * n[:8, None])
+    edges = np.arange(10) * 32 // 9
+    packed = lambda flags: np.packbits(flags.reshape(len(flags), 64), axis=1).view(">i8").ravel().astype(np.int64)
 
     for pdf in batches:
-        out = []
-        for row, grey in zip(pdf["row"], pdf["grey"]):
-            image = np.asarray(grey, dtype=float).reshape(32, 32)
-            small = image.reshape(8, 4, 8, 4).mean(axis=(1, 3))
-            wide = np.stack([image[:, i * 32 // 9 : (i + 1) * 32 // 9].mean(axis=1) for i in range(9)], axis=1).reshape(8, 4, 9).mean(axis=1)
-            low = (matrix @ image @ matrix.T)[:8, :8].ravel()
-            out.append((row, packed((small >= small.mean()).ravel()), packed((wide[:, 1:] > wide[:, :-1]).ravel()), packed(low > np.sort(low)[31])))
-        yield pd.DataFrame(out, columns=["row", "average", "difference", "perceptual"])
+        image = np.array([np.asarray(g, dtype=float) for g in pdf["grey"]]).reshape(-1, 32, 32)
+        small = image.reshape(-1, 8, 4, 8, 4).mean(axis=(2, 4))
+        wide = np.stack([image[:, :, a:b].mean(axis=2) for a, b in zip(edges, edges[1:])], axis=2).reshape(-1, 8, 4, 9).mean(axis=2)
+        low = (matrix @ image @ matrix.T).reshape(-1, 64)
+        yield pd.DataFrame({
+            "row": pdf["row"], "average": packed(small >= small.mean(axis=(1, 2), keepdims=True)),
+            "difference": packed(wide[:, :, 1:] > wide[:, :, :-1]), "perceptual": packed(low > np.sort(low, axis=1)[:, 31:32]),
+        })
 
 
 def first_seen(df: DataFrame, key: str, *order) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import marked_rows
+
 
 def outcomes(df: DataFrame, unit: list[str], ok: Column, reason: Column, cap: int, ended: Column) -> DataFrame:
     """Of each unit: selected, accepted and failed rows, the shortfall of a unit that ended below the cap, and why.
@@ -33,7 +35,7 @@ def histogram(df: DataFrame, unit: list[str], reason: Column) -> DataFrame:
 
 def combined(df: DataFrame, unit: list[str], priority: DataFrame) -> DataFrame:
     """Sums of the parts of a unit; of their reasons the one of the highest ``priority(exhausted_reason, rank)``."""
-    ranked = df.join(F.broadcast(priority), "exhausted_reason", "left")  # a row per known reason
+    ranked = df.join(priority, "exhausted_reason", "left")
     return ranked.groupBy(*unit).agg(
         F.sum("selected").alias("selected"), F.sum("accepted").alias("accepted"), F.sum("failed").alias("failed"), F.max_by("exhausted_reason", "rank").alias("exhausted_reason")
     )
@@ -63,7 +65,7 @@ def upgraded(df: DataFrame, columns: list[str], verified: DataFrame, resource: C
     Adds ``reason`` of a row that keeps an http URL. ``resource`` gives the
     struct of host and path of the column named ``url``.
     """
-    out = df.withColumn("_row", F.monotonically_increasing_id())
+    out = marked_rows(df)
     long = out.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias(url)) for c in columns])).alias("_c")).select("_row", "_c.*")
     http = long.where(F.lower(F.trim(url)).startswith("http://")).withColumn("_k", resource)
     known = verified.select(F.col("host").alias("_h"), F.col("path").alias("_p")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text, urls
 from .graph import linked_rows
+from .ordering import marked_rows
 from .reports import first_reason
 
 
@@ -37,8 +38,8 @@ def judged(df: DataFrame, rules: list[tuple[str, Column]], silent: Column | None
 
 def without_label_conflicts(df: DataFrame, keys: str, label: str) -> tuple[DataFrame, DataFrame]:
     """Rows none of whose ``keys`` stands under two labels, and the keys that do with their labels."""
-    held = df.withColumn("_row", F.monotonically_increasing_id())
-    pairs = df.select(F.explode(keys).alias("key"), F.col(label).alias("label")).distinct()
+    held = marked_rows(df)
+    pairs = held.select(F.explode(keys).alias("key"), F.col(label).alias("label")).distinct()
     bad = pairs.groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("labels")).where("size(labels) > 1")
     hit = held.select("_row", F.explode(keys).alias("key")).join(bad, "key", "left_semi").select("_row").distinct()
     return held.join(hit, "_row", "left_anti").drop("_row"), bad

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import marked_rows
+
 
 def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in ``order``, which must be total for a defined result."""
@@ -66,7 +68,7 @@ def override(df: DataFrame, key: str, evidence: DataFrame, fields: list[str], *o
 
 def excluded(df: DataFrame, tokens: Column, reference: DataFrame, token: str = "token") -> DataFrame:
     """Rows one of whose ``tokens`` is in ``reference``: a semi-join on any of many keys."""
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = marked_rows(df)
     hit = rows.select("_row", F.explode(tokens).alias(token)).join(reference.select(token).distinct(), token, "left_semi").select("_row").distinct()
     return rows.join(hit, "_row", "left_semi").drop("_row")
 

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from .graph import checkpointed
 
 
+def marked_rows(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a number for each row that stays the same wherever it is read.
+
+    Numbers made on the fly change when a plan is run twice over a shuffle, as
+    in a join of a frame with itself; these are written once.
+    """
+    return checkpointed(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def running_sums(df: DataFrame, group: list[str], amounts: dict[str, str], *order) -> DataFrame:
     """``df`` with the sums of earlier rows of the same group, as ``amounts`` names them: {new column: amount}.
 

@@ -201,21 +201,6 @@ def test_duplicates_look_at_the_whole_text(spark, tmp_path):
     assert rows(run("near_dup_greedy")) == sorted(plain_greedy(hashes), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_near_pairs_lose_none(spark, seed):
-    rng = random.Random(seed)
-    base = [rng.getrandbits(64) for _ in range(12)]
-    data = []
-    for i in range(90):
-        h = rng.choice(base)
-        for _ in range(rng.randrange(5)):
-            h ^= 1 << rng.randrange(64)
-        data.append((i, rng.choice("ab"), h - (1 << 64) if h >> 63 else h, None if i % 7 == 0 else rng.getrandbits(62)))
-    expected = [(a, b) for a, x, h, p in data for b, y, g, q in data if a < b and x == y and ((h ^ g) & (2**64 - 1)).bit_count() <= 2]
-    got = dedup.near_pairs(spark.createDataFrame(data, "row long, bucket string, h long, p long"), "row", ["bucket"], ["h", "p"])
-    assert rows(got) == sorted(expected, key=repr)
-
-
 def test_image_hashes_match_plain_loops(spark):
     rng = np.random.default_rng(3)
     grey = rng.integers(0, 256, (32, 32)).astype(float)
