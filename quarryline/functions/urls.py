@@ -91,3 +91,11 @@ def url_problem(url: Column) -> Column:
         .when(~_port_ok(port), "port")
         .when((port != "") & ~port.rlike("^0*(80|443)$"), "port")
     )
+
+
+def resource(url: Column) -> Column:
+    """Host in lower case, path and query of an http or https URL as a struct; null for any other text. User, port and fragment don't count."""
+    text = F.trim(url)
+    host = _host(_part(text, 2))
+    query = F.substring(_part(text, 4), 2, 1 << 30)
+    return F.when(F.lower(_part(text, 1)).isin("http", "https") & (host != ""), F.struct(host.alias("host"), _part(text, 3).alias("path"), query.alias("query")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Scan
+
 
 def per_key(df: DataFrame, keys: list[str], cap: int, *order) -> DataFrame:
     """The first ``cap`` rows of each key."""
@@ -20,10 +22,8 @@ def priority_fill(df: DataFrame, key: str, group: list[str], passes: str, positi
 
 
 def islands(df: DataFrame, pool: list[str], label: str, position: str) -> DataFrame:
-    """Numbers runs of equal ``label`` within a pool as ``island``, from 1."""
-    w = Window.partitionBy(*pool).orderBy(position)
-    new = ~F.col(label).eqNullSafe(F.lag(label).over(w)) | (F.row_number().over(w) == 1)
-    return df.withColumn("island", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Numbers runs of equal ``label`` within a pool as ``island``, from 1; a pool of any size spreads over many tasks."""
+    return Scan(df, pool, position).runs("island", label).result("island")
 
 
 def whole_islands(df: DataFrame, pool: list[str], label: str, position: str, cap: int) -> DataFrame:
@@ -38,7 +38,7 @@ def whole_islands(df: DataFrame, pool: list[str], label: str, position: str, cap
     """
     if cap < 1:
         return df
-    runs = islands(df, pool, label, position)
+    runs = Scan(df, pool, position).runs("island", label).result("island", "_place")
     sizes = runs.groupBy(*pool, "island").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") <= cap) | (F.col("island") == 1))
     place = F.row_number().over(Window.partitionBy(*pool, "size").orderBy("island"))
     listed = sizes.withColumn("_k", place).where(F.col("_k") <= cap).where(F.col("_k") * F.col("size") <= F.greatest(F.lit(cap), F.col("size")))
@@ -55,35 +55,36 @@ def whole_islands(df: DataFrame, pool: list[str], label: str, position: str, cap
         )
 
     admitted = listed.select(*pool, F.aggregate("runs", start, step).alias("s")).select(*pool, F.explode("s.taken").alias("island"), F.col("s.cut").alias("_cut"))
-    n = F.row_number().over(Window.partitionBy(*pool, "island").orderBy(position))
-    return runs.join(admitted, [*pool, "island"]).withColumn("_n", n).where(~F.col("_cut") | (F.col("_n") <= cap)).drop("_n", "_cut", "island")
+    return runs.join(admitted, [*pool, "island"]).where(~F.col("_cut") | (F.col("_place") <= cap)).drop("_place", "_cut", "island")
 
 
 def unsafe_guard(df: DataFrame, group: list[str], position: str, unsafe: str, least: int = 20, share: float = 0.05) -> DataFrame:
     """Running counts, and whether the share of unsafe rows has ever passed the limit after ``least`` rows."""
-    w = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    counted = df.withColumn("attempts", F.count(F.lit(1)).over(w)).withColumn("unsafe_so_far", F.sum(F.col(unsafe).cast("long")).over(w))
+    scan = Scan(df, group, position).fold("attempts", F.lit(1).cast("long"), "sum").fold("unsafe_so_far", F.col(unsafe).cast("long"), "sum")
     over = (F.col("attempts") >= least) & (F.col("unsafe_so_far") > share * F.col("attempts"))
-    return counted.withColumn("aborted", F.max(over).over(w))
+    return scan.fold("aborted", over, "max").result("attempts", "unsafe_so_far", "aborted")
+
+
+def _streaks(scan: Scan, failed: Column) -> Scan:
+    """Adds ``_bad``, failures so far, and ``streak``: those since the last success."""
+    scan.fold("_bad", failed.cast("long"), "sum").fold("_healed", F.when(~failed, F.col("_bad")), "max")
+    scan.rows = scan.rows.withColumn("streak", F.col("_bad") - F.coalesce("_healed", F.lit(0)))
+    return scan
 
 
 def failure_streaks(df: DataFrame, group: list[str], position: str, failed: str) -> DataFrame:
     """Length of the failure streak that ends at each row; 0 after a success."""
-    w = Window.partitionBy(*group).orderBy(position)
-    block = F.sum((~F.col(failed)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    inner = Window.partitionBy(*group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_block", block).withColumn("streak", F.sum(F.col(failed).cast("long")).over(inner)).drop("_block")
+    return _streaks(Scan(df, group, position), F.col(failed)).result("streak")
 
 
 def fill_to_cap(df: DataFrame, group: list[str], position: str, ok: str, cap: int, streak: int = 50) -> DataFrame:
     """Attempts made until ``cap`` successes, cap + max(cap, 20) failures, or ``streak`` failures in a row."""
-    w = Window.partitionBy(*group).orderBy(position)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = failure_streaks(df.withColumn("_failed", ~F.col(ok)), group, position, "_failed")
-    good = F.coalesce(F.sum(F.col(ok).cast("long")).over(before), F.lit(0))
-    bad = F.coalesce(F.sum(F.col("_failed").cast("long")).over(before), F.lit(0))
-    longest = F.coalesce(F.max("streak").over(before), F.lit(0))
-    return marked.withColumn("_go", (good < cap) & (bad < cap + max(cap, 20)) & (longest < streak)).where("_go").drop("_go", "_failed", "streak")
+    scan = _streaks(Scan(df, group, position), ~F.col(ok))
+    scan.fold("_good", F.col(ok).cast("long"), "sum", own=False).fold("_longest", F.col("streak"), "max", own=False)
+    bad = F.col("_bad") - F.coalesce((~F.col(ok)).cast("long"), F.lit(0))  # before the row
+    go = (F.col("_good") < cap) & (bad < cap + max(cap, 20)) & (F.coalesce("_longest", F.lit(0)) < streak)
+    scan.rows = scan.rows.where(go)
+    return scan.result()
 
 
 def quotas(df: DataFrame, group: list[str], position: str, priority: str, cap: int, per_item: int, priority_ask: int) -> DataFrame:

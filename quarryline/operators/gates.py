@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import whole_count
@@ -56,3 +56,38 @@ def install_target(wanted_small: Column, full_ok: Column, small_ok: Column) -> C
     """``small`` if it is wanted and may ship, else ``full`` if that may, else ``none``; what isn't known may not ship."""
     ok = lambda c: F.coalesce(c, F.lit(False))
     return F.when(ok(wanted_small) & ok(small_ok), "small").when(ok(full_ok), "full").otherwise("none")
+
+
+def sample_reasons(counts: DataFrame, expected: DataFrame, groups: DataFrame, floor: int, rare: int, total: int) -> DataFrame:
+    """``seq, level, name, reason``: why a sample of named items is too small or unsafe, in order: items, groups, all.
+
+    ``counts(name, support, confident)`` may lack names or hold what isn't a
+    count; ``expected(name, place, grp, exempt)`` lists the names in order,
+    the group that each belongs to, if any, and whether the lower floor
+    ``rare`` holds for it; ``groups(grp, place, minimum)``. Names that weren't
+    expected count for the total. An item that is missing or unfit counts
+    nowhere, and it suppresses the sum of its group, which then is short
+    whatever the others have, and the sum of all. One pass over grouping sets
+    gives all three levels; a level's sum is null if one of its members is.
+    """
+    given = counts.select("name", whole_count(F.col("support").cast("string")).alias("support"), whole_count(F.col("confident").cast("string")).alias("confident"), F.lit(True).alias("_given"))
+    both = expected.join(given, "name", "full_outer").join(groups.select("grp", F.col("place").alias("_gplace"), "minimum"), "grp", "left")
+    fit = both.withColumn("support", F.when(F.col("confident").isNotNull(), F.col("support")))
+    whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+    sums = fit.groupingSets([["grp", "name"], ["grp"], []], "grp", "name").agg(
+        F.grouping_id().alias("gid"), whole("support").alias("support"), F.sum("confident").alias("confident"), F.min("place").alias("place"), F.min("_gplace").alias("gplace"),
+        F.min("minimum").alias("minimum"), F.bool_or(F.coalesce("exempt", F.lit(False))).alias("exempt"), F.coalesce(F.bool_or("_given"), F.lit(False)).alias("given"),
+    )
+    item, group, s, c = F.col("gid") == 0, (F.col("gid") == 1) & F.col("minimum").isNotNull(), F.col("support"), F.col("confident")
+    found = {
+        (1, "missing"): item & ~F.col("given"), (2, "not_a_count"): item & F.col("given") & s.isNull(),
+        (3, "below_floor"): item & ~F.col("exempt") & (s < floor), (4, "below_rare_floor"): item & F.col("exempt") & (s < rare), (5, "exempt_but_unsafe"): item & F.col("exempt") & (c > 0) & s.isNotNull(),
+        (6, "member_missing"): group & s.isNull(), (7, "group_below_minimum"): group & (s < F.col("minimum")),
+        (8, "total_unknown"): (F.col("gid") == 3) & s.isNull(), (9, "total_below_minimum"): (F.col("gid") == 3) & (s < total), (10, "unsafe_outcomes"): (F.col("gid") == 3) & (c > 0),
+    }
+    reasons = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(n).alias("rule"), F.lit(why).alias("reason"))) for (n, why), holds in found.items()]))
+    level = F.when(item, "item").when(F.col("gid") == 1, "group").otherwise("all")
+    rows = sums.select(level.alias("level"), F.coalesce("name", "grp", F.lit("")).alias("name"), F.coalesce("place", F.lit(1 << 40)).alias("_p"), F.coalesce("gplace", F.lit(0)).alias("_g"), F.explode(reasons).alias("r"))
+    # reasons are few: a row for each that holds a release back
+    order = Window.orderBy(F.when(F.col("level") == "item", 1).when(F.col("level") == "group", 2).otherwise(3), F.when(F.col("level") == "item", F.col("_p")).otherwise(F.col("_g")), "name", "r.rule")
+    return rows.select(F.row_number().over(order).alias("seq"), "level", "name", F.col("r.reason").alias("reason"))
