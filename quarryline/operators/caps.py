@@ -60,14 +60,14 @@ def whole_islands(df: DataFrame, pool: list[str], label: str, position: str, cap
 
 def unsafe_guard(df: DataFrame, group: list[str], position: str, unsafe: str, least: int = 20, share: float = 0.05) -> DataFrame:
     """Running counts, and whether the share of unsafe rows has ever passed the limit after ``least`` rows."""
-    scan = Scan(df, group, position).fold("attempts", F.lit(1).cast("long"), "sum").fold("unsafe_so_far", F.col(unsafe).cast("long"), "sum")
+    scan = Scan(df, group, position).fold(attempts=("sum", F.lit(1).cast("long")), unsafe_so_far=("sum", F.col(unsafe).cast("long")))
     over = (F.col("attempts") >= least) & (F.col("unsafe_so_far") > share * F.col("attempts"))
-    return scan.fold("aborted", over, "max").result("attempts", "unsafe_so_far", "aborted")
+    return scan.fold(aborted=("max", over)).result("attempts", "unsafe_so_far", "aborted")
 
 
 def _streaks(scan: Scan, failed: Column) -> Scan:
     """Adds ``_bad``, failures so far, and ``streak``: those since the last success."""
-    scan.fold("_bad", failed.cast("long"), "sum").fold("_healed", F.when(~failed, F.col("_bad")), "max")
+    scan.fold(_bad=("sum", failed.cast("long"))).fold(_healed=("max", F.when(~failed, F.col("_bad"))))
     scan.rows = scan.rows.withColumn("streak", F.col("_bad") - F.coalesce("_healed", F.lit(0)))
     return scan
 
@@ -80,7 +80,7 @@ def failure_streaks(df: DataFrame, group: list[str], position: str, failed: str)
 def fill_to_cap(df: DataFrame, group: list[str], position: str, ok: str, cap: int, streak: int = 50) -> DataFrame:
     """Attempts made until ``cap`` successes, cap + max(cap, 20) failures, or ``streak`` failures in a row."""
     scan = _streaks(Scan(df, group, position), ~F.col(ok))
-    scan.fold("_good", F.col(ok).cast("long"), "sum", own=False).fold("_longest", F.col("streak"), "max", own=False)
+    scan.fold(_good=("sum", F.col(ok).cast("long"), False), _longest=("max", F.col("streak"), False))
     bad = F.col("_bad") - F.coalesce((~F.col(ok)).cast("long"), F.lit(0))  # before the row
     go = (F.col("_good") < cap) & (bad < cap + max(cap, 20)) & (F.coalesce("_longest", F.lit(0)) < streak)
     scan.rows = scan.rows.where(go)

@@ -9,7 +9,7 @@ maxima and the last value; streaks, runs and first violations are made of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
@@ -22,44 +22,49 @@ class Scan:
         self.group, self.columns = group, df.columns
         self.rows = checkpointed(df.orderBy(*group, *order)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
 
-    def fold(self, name: str, value: Column, how: str, own: bool = True) -> Scan:
-        """Adds ``name``: the ``sum`` or ``max`` of ``value`` over the rows of the group so far, or its ``last`` value.
+    def fold(self, **folds: tuple) -> Scan:
+        """Adds columns ``name=(how, value)``: the ``sum`` or ``max`` of ``value`` over the rows of the group so far, or its ``last`` value before the row.
 
-        With ``own`` the row itself counts, which ``last`` never does. A sum of
-        nothing is 0, a maximum or last value of nothing is null.
+        ``(how, value, False)`` leaves the row itself out. A sum of nothing is
+        0, a maximum or last value of nothing is null. Folds of one call go
+        through the rows together; the summaries that groups take over are
+        written at once, so that later folds don't repeat the plan of earlier
+        ones.
         """
-        rows = self.rows.withColumn("_value", value)
+        rows = self.rows.withColumns({f"_value_{n}": f[1] for n, f in folds.items()})
         within = Window.partitionBy("_part", *self.group).orderBy("_at")
-        upto = within.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
         earlier = Window.partitionBy(*self.group).orderBy("_part")
-        before = earlier.rowsBetween(Window.unboundedPreceding, -1)
-        if how == "last":
-            here, summary, carried = F.lag("_value").over(within), F.max_by(F.struct("_value"), "_at")["_value"], F.lag("_sum").over(earlier)
-        else:
-            fold = {"sum": F.sum, "max": F.max}[how]
-            here, summary, carried = fold("_value").over(upto), fold("_value"), fold("_sum").over(before)
+        here, summaries, carried, out = {}, [], [], {}
+        for n, (how, _, *own) in folds.items():
+            value, total, now, carry = f"_value_{n}", f"_sum_{n}", F.col(f"_here_{n}"), F.col(f"_carry_{n}")
+            if how == "last":
+                here[f"_here_{n}"] = F.lag(value).over(within)
+                summaries.append(F.max_by(F.struct(value), "_at")[value].alias(total))
+                carried.append(F.lag(total).over(earlier).alias(f"_carry_{n}"))
+                out[n] = F.when(F.col("_first"), carry).otherwise(now)
+            else:
+                f = {"sum": F.sum, "max": F.max}[how]
+                here[f"_here_{n}"] = f(value).over(within.rowsBetween(Window.unboundedPreceding, -1 if own == [False] else 0))
+                summaries.append(f(value).alias(total))
+                carried.append(f(total).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carry_{n}"))
+                out[n] = F.coalesce(now, F.lit(0)) + F.coalesce(carry, F.lit(0)) if how == "sum" else F.greatest(now, carry)
         # a group that a part takes over from an earlier one is the first of that part: a row a part at most
-        parts = rows.groupBy("_part", *self.group).agg(summary.alias("_sum"))
-        over = parts.select("_part", *self.group, carried.alias("_carry"), F.lag(F.lit(1)).over(earlier).alias("_on")).where("_on = 1")
-        over = over.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(self.group)], "_carry", "_on")
+        parts = rows.groupBy("_part", *self.group).agg(*summaries)
+        over = parts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(self.group)], *carried, F.lag(F.lit(1)).over(earlier).alias("_on"))
+        over = checkpointed(over.where("_on = 1").drop("_on"))
         same = F.col("_part") == F.col("_p")
         for i, c in enumerate(self.group):
             same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-        joined = rows.withColumn("_here", here).withColumn("_first", F.row_number().over(within) == 1).join(F.broadcast(over), same, "left")
-        if how == "last":
-            out = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_here"))
-        elif how == "sum":
-            out = F.coalesce("_here", F.lit(0)) + F.coalesce("_carry", F.lit(0))
-        else:
-            out = F.greatest("_here", "_carry")
-        self.rows = joined.withColumn(name, out).drop("_value", "_here", "_first", "_p", "_carry", "_on", *[f"_g{i}" for i in range(len(self.group))])
+        kept = [*self.rows.columns]
+        joined = rows.withColumns(here).withColumn("_first", F.row_number().over(within) == 1).join(F.broadcast(over), same, "left")
+        self.rows = joined.select(*kept, *[c.alias(n) for n, c in out.items()])
         return self
 
     def runs(self, name: str, label: str) -> Scan:
         """Adds ``name``, the number of the run of equal ``label`` from 1, and ``_place``, the row's place in it from 1."""
-        self.fold("_n", F.lit(1), "sum").fold("_before", F.col(label), "last")
+        self.fold(_n=("sum", F.lit(1)), _before=("last", F.col(label)))
         new = (F.col("_n") == 1) | ~F.col(label).eqNullSafe(F.col("_before"))
-        self.fold(name, new.cast("int"), "sum").fold("_begin", F.when(new, F.col("_n")), "max")
+        self.fold(**{name: ("sum", new.cast("int")), "_begin": ("max", F.when(new, F.col("_n")))})
         self.rows = self.rows.withColumn("_place", F.col("_n") - F.col("_begin") + 1)
         return self
 
