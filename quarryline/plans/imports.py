@@ -129,3 +129,55 @@ def constructed_rows(t):
     taxa, aliases = t.values(TAXA, "key string, id long, priority int"), t.values(SYNONYMS, "key string, target string")
     targets = t.values(TARGETS, "id long, class_id string, taxon_name string, held_out_taxon boolean, toxic boolean, probe boolean, genus_relation string")
     return constructors.constructed(rows, taxa, aliases, targets)
+
+
+#: Files that the orders are dealt to, and their place in reading order: photo tables first, then the side table's own order.
+FILES = [
+    ("plain/a_first", 1, False, False, False), ("plain/b_by_nc", 2, False, False, False), ("df20/c_list", 3, False, False, True), ("plain/d_niezweryfikowane", 5, False, True, False),
+    ("plain/e_old", None, False, False, False), ("plain/e_old_v2", 1.5, False, False, False), ("plain/f_meta", 1, True, False, False), ("plain/_g_hidden", None, False, False, False), ("plain/h_grupa_toksyczna", None, False, False, False),
+]
+
+
+@query(
+    "photo_tables",
+    f"""WITH f(k, stem, place, meta, unverified, restricted) AS (VALUES {values_sql([(i, *x) for i, x in enumerate(FILES)])})
+    SELECT stem || '.csv' AS file, meta, unverified, restricted, CAST(row_number() OVER (PARTITION BY meta ORDER BY place, o_orderkey) AS BIGINT) AS "order", CAST(o_orderkey AS VARCHAR) AS species, CASE WHEN k = 2 THEN '' ELSE 'say "' || o_custkey || '",' || chr(10) || 'twice' END AS author, CASE WHEN k = 2 THEN 'note' ELSE '' END AS licence_note
+    FROM orders JOIN f ON k = o_orderkey % {len(FILES)} WHERE place IS NOT NULL""",
+)
+def photo_tables(t):
+    """The orders written as CSV files of different headers and names, with quotes and line ends in cells, and read as one folder."""
+    from ..sources import records, tables
+
+    root = tables.scratch_path(t.spark, "photo-tables")
+    stems = F.array(*[F.lit(x[0].replace("/", "~")) for x in FILES])
+    row = F.col("o_orderkey")
+    rows = t.orders.select(row, F.element_at(stems, (row % len(FILES) + 1).cast("int")).alias("stem"), row.cast("string").alias("species"), F.concat(F.lit('say "'), "o_custkey", F.lit('",\ntwice')).alias("author"), F.lit("note").alias("licence_note"))
+    dealt = rows.repartition("stem").sortWithinPartitions("stem", "o_orderkey")
+    own = {False: ["species", "author"], True: ["licence_note", "species"]}
+    for restricted, columns in own.items():
+        chosen = dealt.where(F.col("stem").startswith("df20") == restricted).select("stem", *columns)
+        chosen.write.mode("append").option("header", True).option("quote", '"').option("escape", '"').partitionBy("stem").csv(f"{root}-parts")
+    fs, _ = records._fs(t.spark, root)
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for status in fs.globStatus(path(f"{root}-parts/stem=*/part-*.csv")):  # a file for each name
+        folder, stem = status.getPath().getParent().getName().removeprefix("stem=").split("~")
+        fs.mkdirs(path(f"{root}/{folder}"))
+        fs.rename(status.getPath(), path(f"{root}/{folder}/{stem}.csv"))
+    fs.delete(path(f"{root}-parts"), True)
+    out = tables.read_photo_tables(t.spark, root, ["species", "author", "licence_note"])
+    return out.withColumn("file", F.regexp_extract("file", r"([^/]+/[^/]+)$", 1))
+
+
+@query(
+    "photo_keys",
+    """WITH p AS (SELECT 'https://static.example/photos/' || (o_orderkey % 500) || '/m.jpg' AS image, CASE o_orderkey % 3 WHEN 0 THEN 'https://www.inaturalist.org/observations/' || o_custkey WHEN 1 THEN '' ELSE 'https://site.example/' || o_orderkey END AS source, CASE WHEN o_orderkey % 7 = 0 THEN 'none' WHEN o_orderkey % 7 = 1 THEN ' ' || o_custkey ELSE NULL END AS own FROM orders)
+    SELECT 'image' AS kind, image AS key FROM p UNION SELECT 'photo', regexp_extract(image, '/photos/([0-9]+)', 1) FROM p UNION SELECT 'inat_observation', regexp_extract(source, '/observations/([0-9]+)', 1) FROM p WHERE contains(source, 'inaturalist') UNION SELECT 'mo_observation', trim(own) FROM p WHERE trim(own) <> 'none'""",
+)
+def photo_keys(t):
+    """Keys of a reference set of photos by image, photo id and the ids of two kinds of observation."""
+    from ..sources import tables
+
+    row, who = F.col("o_orderkey"), F.col("o_custkey")
+    source = F.when(row % 3 == 0, F.concat(F.lit("https://www.inaturalist.org/observations/"), who)).when(row % 3 == 1, "").otherwise(F.concat(F.lit("https://site.example/"), row))
+    photos = t.orders.select(F.concat(F.lit("https://static.example/photos/"), row % 500, F.lit("/m.jpg")).alias("image_url"), source.alias("source_url"), F.when(row % 7 == 0, "none").when(row % 7 == 1, F.concat(F.lit(" "), who)).alias("mo_observation_id"))
+    return tables.photo_keys(photos, inat=None)
