@@ -181,3 +181,32 @@ def photo_keys(t):
     source = F.when(row % 3 == 0, F.concat(F.lit("https://www.inaturalist.org/observations/"), who)).when(row % 3 == 1, "").otherwise(F.concat(F.lit("https://site.example/"), row))
     photos = t.orders.select(F.concat(F.lit("https://static.example/photos/"), row % 500, F.lit("/m.jpg")).alias("image_url"), source.alias("source_url"), F.when(row % 7 == 0, "none").when(row % 7 == 1, F.concat(F.lit(" "), who)).alias("mo_observation_id"))
     return tables.photo_keys(photos, inat=None)
+
+
+@query(
+    "journal_stream",
+    """WITH e AS (SELECT user_id, event_id, 'i' || (event_id % 40) AS id, event_type = 'error' AS gone FROM events WHERE event_id % 23 <> 0),
+    l AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY event_id DESC) AS k FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, id) AS r FROM l WHERE k = 1)
+    SELECT CAST(user_id AS VARCHAR) AS owner, id, event_id AS seq, 'p' || event_id AS payload FROM n WHERE r <= 6 AND NOT gone""",
+)
+def journal_stream(t):
+    """The events as lines of a journal, some damaged, kept by a stream in several micro-batches: the six newest ids of each user."""
+    from ..sources import tables
+    from ..streaming import journal as stream
+
+    root = tables.scratch_path(t.spark, "journal-stream")
+    number = F.col("event_id")
+    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("owner"), F.concat(F.lit("i"), number % 40).alias("id"), number.alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.concat(F.lit("p"), number).alias("payload")))
+    t.events.select(F.when(number % 23 == 0, F.concat(F.lit("!"), line)).otherwise(line).alias("value")).repartition(4, "value").write.text(f"{root}/lines")
+    lines = t.spark.readStream.option("maxFilesPerTrigger", 2).text(f"{root}/lines")
+    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for q in stream.keep(lines, root, 6):
+            q.awaitTermination()
+    finally:
+        if before is None:
+            t.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return stream.kept(t.spark, root)
