@@ -9,7 +9,10 @@ from .binding import let
 from .ids import usable_place
 from .text import person
 
-# Image endings, the country code of nine-digit numbers, what marks an extension, and the name of a stored photo.
+# Numbers in groups, in long runs and of three digits, links to call, names of cache files;
+GROUPED_PHONE, LONG_PHONE, SHORT_PHONE, TEL_LINK = r"[0-9]{2,4}(?:[  -][0-9]{2,4}){2,}", "[0-9]{9,}", "[0-9]{3}", r'(?i)href="tel:([^"]+)"'
+CACHE_NAME = r"^([A-Za-z0-9]+)=(.*)__v[0-9]+__[0-9a-f]{20}\.json$"
+# image endings, the country code of nine-digit numbers, what marks an extension, and the name of a stored photo.
 ENDINGS = (".jpg", ".jpeg", ".png", ".webp")
 COUNTRY = "48"
 EXTENSION = r"(?i)\b(?:wew|ext|extension)\b|[#,;]"
@@ -105,7 +108,7 @@ def unescaped(text: Column) -> Column:
 
 def cached_identity(name: Column) -> Column:
     """Struct of ``kind`` and ``identity`` of a cache file's name, null if it isn't one."""
-    part = lambda i: F.regexp_extract(name, r"^([A-Za-z0-9]+)=(.*)__v[0-9]+__[0-9a-f]{20}\.json$", i)
+    part = lambda i: F.regexp_extract(name, CACHE_NAME, i)
     return F.when(part(1) != "", F.struct(part(1).alias("kind"), unescaped(part(2)).alias("identity")))
 
 
@@ -152,7 +155,13 @@ def phones(text: Column) -> Column:
     edge = lambda body: F.lit(rf"(?<![0-9]){body}(?![0-9])")
     bare = lambda found: F.transform(found, lambda x: F.regexp_replace(x, r"[^0-9]", ""))
     grouped = F.filter(bare(F.regexp_extract_all(text, edge(r"[0-9]{2,4}(?:[  -][0-9]{2,4}){2,}"), 0)), lambda x: F.length(x) >= 9)
-    return F.array_distinct(F.concat(grouped, F.regexp_extract_all(text, edge("[0-9]{9,}"), 0), F.regexp_extract_all(text, edge("[0-9]{3}"), 0)))
+    return F.array_distinct(F.concat(grouped, F.regexp_extract_all(text, edge(LONG_PHONE), 0), F.regexp_extract_all(text, edge(SHORT_PHONE), 0)))
+
+
+def page_phones(html: Column) -> Column:
+    """Distinct digits of phone-like numbers in a page's visible text and of its links to call, whatever their length."""
+    called = F.transform(F.regexp_extract_all(html, F.lit(TEL_LINK), 1), lambda x: F.regexp_replace(x, r"[^0-9]", ""))
+    return F.array_distinct(F.concat(phones(decoded(html)), F.filter(called, lambda x: x != "")))
 
 
 def photo_name(value: Column, folder: str = "journal-photos") -> Column:

@@ -91,3 +91,36 @@ def sample_reasons(counts: DataFrame, expected: DataFrame, groups: DataFrame, fl
     # reasons are few: a row for each that holds a release back
     order = Window.orderBy(F.when(F.col("level") == "item", 1).when(F.col("level") == "group", 2).otherwise(3), F.when(F.col("level") == "item", F.col("_p")).otherwise(F.col("_g")), "name", "r.rule")
     return rows.select(F.row_number().over(order).alias("seq"), "level", "name", F.col("r.reason").alias("reason"))
+
+
+def recorded_threshold(df: DataFrame, group: str, value: str, recorded: DataFrame, rate: float = 0.97, least: int = 8) -> DataFrame:
+    """``n`` and ``outcome`` of each group: whether ``recorded(group, recorded)`` is the threshold that its values give.
+
+    ``too_few`` values give none; else the record is the ``same``, ``differs``,
+    or is ``missing``, which doesn't pass either.
+    """
+    exact = F.expr(f"percentile_disc({rate}) WITHIN GROUP (ORDER BY {value})")
+    found = df.groupBy(group).agg(F.count(value).alias("n"), exact.alias("_t")).join(recorded.select(group, "recorded"), group, "left")
+    outcome = F.when(F.col("n") < least, "too_few").when(F.col("recorded").isNull(), "missing").when(F.col("recorded") == F.col("_t"), "same").otherwise("differs")
+    return found.select(group, "n", outcome.alias("outcome"))
+
+
+def device_reasons(report: DataFrame, model: str, sample: str, images: int, risky: int, platforms: list[str], fields: list[str], least: float = 0.99) -> DataFrame:
+    """``seq, reason``: why measurements of a device, a row each, don't pass; a report without rows is ``missing``.
+
+    Platform, place, digests of the model and of the sample, both counts of
+    images and the compared fields must be those expected, four rates of
+    agreement reach ``least``, and the largest gap of energies be known. What
+    is null doesn't hold.
+    """
+    rates = ("top1_agreement", "high_risk_top1_agreement", "decision_agreement", "high_risk_decision_agreement")
+    holds = {
+        "platform": F.col("platform").isin(*platforms), "measured_on": F.col("measured_on") == "device", "model_sha256": F.col("model_sha256") == (model or None), "sample_sha256": F.col("sample_sha256") == (sample or None),
+        "images": (F.col("images") == images) & (F.col("images") >= 1), "high_risk_images": (F.col("high_risk_images") == risky) & (F.col("high_risk_images") >= 1),
+        "decision_fields": F.col("decision_fields") == F.array(*map(F.lit, fields)), **{r: F.col(r).between(least, 1.0) for r in rates},
+        "max_energy_difference": (F.col("max_energy_difference") >= 0) & (F.col("max_energy_difference") < float("inf")),
+    }
+    names = F.array(*[F.struct(F.lit(i).alias("seq"), F.when(~F.coalesce(h, F.lit(False)), n).alias("reason")) for i, (n, h) in enumerate(holds.items(), 1)])
+    found = report.select(F.explode(names).alias("r")).select("r.*").where("reason IS NOT NULL").distinct()
+    none = report.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).alias("seq"), F.lit("missing").alias("reason"))
+    return found.unionByName(none)

@@ -95,3 +95,24 @@ def divided(df: DataFrame, key: str, item: str, wanted: DataFrame) -> DataFrame:
 def by_position(left: DataFrame, right: DataFrame, position: str) -> DataFrame:
     """Full join on an explicit position, so rows missing on either side show."""
     return left.join(right, position, "full_outer")
+
+
+def allowlisted(df: DataFrame, key: str, fields: dict[str, list]) -> DataFrame:
+    """``key`` and ``fields`` only; a filled field outside its listed values fails the load with the key and the field."""
+    own = df.select(key, *fields)
+    problem = F.coalesce(*[F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), c) for c, values in fields.items()])
+    bad = own.select(key, problem.alias("_field")).where("_field IS NOT NULL").orderBy(key).limit(1).collect()
+    if bad:
+        raise ValueError(f"invalid: {bad[0][0]}.{bad[0][1]}")
+    return own
+
+
+def public(df: DataFrame, *more: str) -> DataFrame:
+    """The columns that may be shown: none that begins with an underscore, and none of ``more``."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_") and c not in more])
+
+
+def from_evidence(df: DataFrame, key: str, fields: list[str], evidence: DataFrame) -> DataFrame:
+    """``fields`` as a report of evidence has them: what rows say themselves doesn't count, and without evidence they are null."""
+    own = evidence.select(F.col(key).alias("_key"), *fields)
+    return df.drop(*fields).join(own, F.col(key) == F.col("_key"), "left").drop("_key")

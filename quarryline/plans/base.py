@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +36,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def dealt(values: list) -> Column:
+    """One of ``values`` for each order, by its key."""
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("o_orderkey") % len(values) + 1).cast("int"))
+
+
 def values_sql(rows: list[tuple]) -> str:
     """Rows as a VALUES list."""
     one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)

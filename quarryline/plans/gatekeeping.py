@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, manifest, resources
-from .base import query, values_sql
+from ..functions import captions
+from ..operators import gates, lookups, manifest, resources
+from .base import dealt, query, values_sql
 
 HOST, PATH, ASKED = "lower(regexp_extract({}, '^[A-Za-z]+://([^/?#]*)', 1))", "regexp_extract({}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)", "regexp_extract({}, '^[^?#]*[?]([^#]*)', 1)"
 RESOURCE = lambda c: f"{HOST.format(c)} || ' ' || {PATH.format(c)} || ' ' || {ASKED.format(c)}"
@@ -115,3 +116,61 @@ def sample_reasons(t):
     counts = counts.select(F.col("label").cast("string").alias("name"), F.when(F.col("label") == 5, "2.5").otherwise(F.col("n").cast("string")).alias("support"), "confident")
     expected, groups = t.values(EXPECTED, "name string, place long, grp string, exempt boolean"), t.values(MINIMA, "grp string, place long, minimum long")
     return gates.sample_reasons(counts, expected, groups, 20, 5, 300)
+
+
+#: Species and the underside, whole and young caption of each.
+SPECIES = [
+    ("amanita_muscaria", "gillsRing", "amanitaWhole", "amanitaYoung"), ("chlorophyllum_rhacodes", "gillsRing", "chlorophyllumWhole", "young"), ("agaricus_xanthodermus", "gillsRing", "swollenBaseNotVolva", "young"),
+    ("inocybe_erubescens", "gills", "swollenBaseNotVolva", "young"), ("gyromitra_esculenta", "undersideStem", "wholeStemBase", "young"), ("rubroboletus_satanas", "tubes", "wholeStemBase", "young"),
+    ("cortinarius_orellanus", "gillsCortina", "wholeStemBase", "young"), ("hypholoma_fasciculare", "gillsCortina", "wholeStemBase", "young"), ("russula_emetica", "gills", "wholeStemBase", "young"),
+]
+
+
+@query(
+    "feature_captions",
+    f"""SELECT species, feature, 'gallery.feature.' || CASE feature WHEN 'C' THEN 'cap' WHEN 'W' THEN whole WHEN 'Y' THEN young ELSE under END AS caption, count(*) AS n
+    FROM (SELECT o_orderkey % {len(SPECIES)} AS k, CASE o_custkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'W' WHEN 2 THEN 'Y' ELSE 'G' END AS feature FROM orders) JOIN (VALUES {values_sql([(i, *s) for i, s in enumerate(SPECIES)])}) AS v(k, species, under, whole, young) USING (k) GROUP BY ALL""",
+)
+def feature_captions(t):
+    """Captions of pictures of several species, dealt to the orders."""
+    feature = F.element_at(F.array(*map(F.lit, "CWYG")), (F.col("o_custkey") % 4 + 1).cast("int"))
+    rows = t.orders.select(dealt([s[0] for s in SPECIES]).alias("species"), feature.alias("feature"))
+    return rows.groupBy("species", "feature").agg(F.count(F.lit(1)).alias("n")).withColumn("caption", captions.feature_key(F.col("species"), F.col("feature")))
+
+
+@query("public_facts", "SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN 'small' WHEN p_size % 3 = 1 THEN 'large' END AS band FROM part")
+def public_facts(t):
+    """Facts of parts by a list of allowed fields and values; working columns and fields that aren't listed stay behind."""
+    band = F.when(F.col("p_size") % 3 == 0, "small").when(F.col("p_size") % 3 == 1, "large")
+    rows = lookups.public(t.part.withColumns({"band": band, "_cache": F.lit(1)}), "p_type")
+    return lookups.allowlisted(rows, "p_partkey", {"p_brand": [f"Brand#{i}" for i in range(100)], "band": ["small", "large"]})
+
+
+@query(
+    "evidence_counts",
+    "SELECT c_custkey AS key, n AS accepted, CASE WHEN n > 3 THEN 'end_of_records' WHEN n IS NOT NULL THEN 'max_pages' END AS exhausted_reason FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey",
+)
+def evidence_counts(t):
+    """Counts that rows claim for themselves give way to those of the report; without one they are null."""
+    n = F.count(F.lit(1))
+    report = t.orders.groupBy(F.col("o_custkey").alias("key")).agg(n.alias("accepted")).withColumn("exhausted_reason", F.when(F.col("accepted") > 3, "end_of_records").otherwise("max_pages"))
+    claims = t.customer.select(F.col("c_custkey").alias("key"), F.lit(999).cast("long").alias("accepted"), F.lit("claimed").alias("exhausted_reason"))
+    return lookups.from_evidence(claims, "key", ["accepted", "exhausted_reason"], report)
+
+
+@query(
+    "device_reasons",
+    """WITH n AS (SELECT count(*) AS images, count(*) FILTER (WHERE label = 0) AS risky FROM embeddings), x AS (SELECT count(*) FILTER (WHERE vec_id % 200 <> 7) / count(*) AS top1, count(*) FILTER (WHERE vec_id % 50 <> 7) / count(*) AS decision FROM embeddings)
+    SELECT seq, reason FROM (SELECT unnest([4, 6, 8, 9, 10, 11]) AS seq, unnest(['sample_sha256', 'high_risk_images', CASE WHEN top1 < 0.99 THEN 'top1_agreement' END, 'high_risk_top1_agreement', CASE WHEN decision < 0.99 THEN 'decision_agreement' END, 'high_risk_decision_agreement']) AS reason FROM x) WHERE reason IS NOT NULL""",
+)
+def device_reasons(t):
+    """A device's report over all vectors: a stale sample, a risky subset that is one short, and rates of which two are unknown."""
+    n, risky = t.embeddings.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    share = lambda holds: F.count_if(holds) / F.count(F.lit(1))
+    report = t.embeddings.agg(
+        F.count(F.lit(1)).alias("images"), (F.count_if(F.col("label") == 0) - 1).alias("high_risk_images"), share(F.col("vec_id") % 200 != 7).alias("top1_agreement"), share(F.col("vec_id") % 50 != 7).alias("decision_agreement"),
+    ).withColumns({
+        "platform": F.lit("core-ml"), "measured_on": F.lit("device"), "model_sha256": F.lit("m"), "sample_sha256": F.lit("old"), "decision_fields": F.array(*map(F.lit, ("status", "top1", "verify"))),
+        "high_risk_top1_agreement": F.lit(None).cast("double"), "high_risk_decision_agreement": F.lit(float("nan")), "max_energy_difference": F.lit(0.25),
+    })
+    return gates.device_reasons(report, "m", "new", n, risky, ["android-gpu", "core-ml"], ["status", "top1", "verify"])

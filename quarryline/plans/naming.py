@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, names, publication
 from ..operators import facets, lookups
-from .base import query, values_sql
+from .base import dealt, query, values_sql
 
 PERSONS = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'unknown' END AS o, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE ' ' END AS a, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE 'n/a' END AS r FROM customer"
 
@@ -77,10 +77,12 @@ LINKS = [
 ]
 
 
-@query("licence_links", f"SELECT * FROM (VALUES {values_sql(LINKS)}) AS v(explicit, licence, normalized, link)")
+@query("licence_links", f"SELECT explicit, licence, normalized, link, count(*) AS n FROM orders JOIN (VALUES {values_sql([(i, *x) for i, x in enumerate(LINKS)])}) AS v(k, explicit, licence, normalized, link) ON k = o_orderkey % {len(LINKS)} GROUP BY ALL")
 def licence_links(t):
-    rows = t.values([x[:3] for x in LINKS], "explicit string, licence string, normalized string")
-    return rows.withColumn("link", publication.licence_link(F.col("explicit"), F.col("licence"), F.col("normalized")))
+    """Links of licences dealt to the orders, and how many orders have each."""
+    rows = t.orders.select(*[dealt([x[i] for x in LINKS]).alias(n) for i, n in enumerate(("explicit", "licence", "normalized"))])
+    told = rows.withColumn("link", publication.licence_link(F.col("explicit"), F.col("licence"), F.col("normalized")))
+    return told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 TEXTS = [("1.5", 1.5, None), (" 7 ", 7.0, 7), ("-3", -3.0, None), ("inf", None, None), ("NaN", None, None), ("abc", None, None), (None, None, None), ("", None, None), ("1e3", 1000.0, 1000)]
@@ -107,7 +109,7 @@ def preview_widths(t):
 @query("html_phones")
 def html_phones(t):
     """Phone-like numbers of decoded pages; DuckDB's patterns have no lookaround, so tests hold them against Python's."""
-    return t.pages.select("page_id", F.explode(names.phones(names.decoded(F.col("html")))).alias("number"))
+    return t.pages.select("page_id", F.explode(names.page_phones(F.col("html"))).alias("number"))
 
 
 @query(

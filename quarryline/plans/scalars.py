@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, licences, text, urls
-from ..operators import facets, lookups, reports
-from .base import query, values_sql
+from ..operators import constructors, facets, lookups, reports
+from .base import dealt, query, values_sql
 
 PAGE = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)'"
 
@@ -103,10 +103,12 @@ PEOPLE = [
 ]
 
 
-@query("placeholder_rows", f"SELECT name, folded, placeholder, CASE WHEN NOT placeholder THEN folded END AS person FROM (VALUES {values_sql(PEOPLE)}) AS v(name, folded, placeholder)")
+@query("placeholder_rows", f"SELECT name, folded, placeholder, CASE WHEN NOT placeholder THEN folded END AS person, count(*) AS n FROM orders JOIN (VALUES {values_sql([(i, *p) for i, p in enumerate(PEOPLE)])}) AS v(k, name, folded, placeholder) ON k = o_orderkey % {len(PEOPLE)} GROUP BY ALL")
 def placeholder_rows(t):
+    """Names of all kinds dealt to the orders, and how often each fold and verdict comes up."""
     name = F.col("name")
-    return t.values([(p[0],) for p in PEOPLE], "name string").select("name", text.folded(name).alias("folded"), text.placeholder_person(name).alias("placeholder"), text.person(name).alias("person"))
+    told = t.orders.select(dealt([p[0] for p in PEOPLE]).alias("name")).select("name", text.folded(name).alias("folded"), text.placeholder_person(name).alias("placeholder"), text.person(name).alias("person"))
+    return told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 STATUSES = [("Approved |  Expert | evidence", ""), ("confident", ""), ("", ""), (None, ""), ("UnVerified", "identification_unverified"), ("Needs ID", "identification_not_allowlisted")]
@@ -126,12 +128,14 @@ def status_rule(t):
 @query(
     "licence_rank",
     f"""WITH l(id, usage, family) AS (VALUES {values_sql(list(licences.LICENCES))}, ('cc-by-nd-4.0', NULL, NULL), ('cc-by', NULL, NULL))
-    SELECT id, usage, family, CASE WHEN family IN ('cc-by-nc', 'cc-by-sa', 'df20') THEN 3 WHEN family = 'cc-by' THEN 2 WHEN family = 'cc0' THEN 1 ELSE 0 END AS rank FROM l""",
+    SELECT id, usage, family, CASE WHEN family IN ('cc-by-nc', 'cc-by-sa', 'df20') THEN 3 WHEN family = 'cc-by' THEN 2 WHEN family = 'cc0' THEN 1 ELSE 0 END AS rank, count(*) AS n
+    FROM (SELECT *, row_number() OVER () - 1 AS k FROM l) JOIN orders ON k = o_orderkey % {len(licences.LICENCES) + 2} GROUP BY ALL""",
 )
 def licence_rank(t):
+    """Exact ids dealt to the orders: use, family, strictness, and how many orders have each."""
     i = F.col("id")
-    rows = t.values([(x[0],) for x in licences.LICENCES] + [("cc-by-nd-4.0",), ("cc-by",)], "id string")
-    return rows.select("id", licences.usage(i).alias("usage"), licences.family(i).alias("family"), licences.rank(i).alias("rank"))
+    told = t.orders.select(dealt([x[0] for x in licences.LICENCES] + ["cc-by-nd-4.0", "cc-by"]).alias("id")).select("id", licences.usage(i).alias("usage"), licences.family(i).alias("family"), licences.rank(i).alias("rank"))
+    return told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 BY4, SA4, ZERO = "https://creativecommons.org/licenses/by/4.0/", "https://creativecommons.org/licenses/by-sa/4.0/", "https://creativecommons.org/publicdomain/zero/1.0/"
@@ -147,11 +151,13 @@ LICENCE_CASES = [
 ]
 
 
-@query("licence_parse", f"SELECT text, url, id, reason, from_url FROM (VALUES {values_sql(LICENCE_CASES)}) AS v(text, url, id, reason, from_url)")
+@query("licence_parse", f"SELECT text, url, id, reason, from_url, count(*) AS n FROM orders JOIN (VALUES {values_sql([(i, *c) for i, c in enumerate(LICENCE_CASES)])}) AS v(k, text, url, id, reason, from_url) ON k = o_orderkey % {len(LICENCE_CASES)} GROUP BY ALL")
 def licence_parse(t):
-    a, b = F.col("text"), F.col("url")
-    rows = t.values([c[:2] for c in LICENCE_CASES], "text string, url string")
-    return rows.select("text", "url", licences.parsed(a, b).alias("id"), licences.photo_decision(a, b).alias("reason"), licences.licence_of_url(a).alias("from_url"))
+    """Licence texts and URLs dealt to the orders, judged once for each distinct pair."""
+    rows = t.orders.select(dealt([c[0] for c in LICENCE_CASES]).alias("text"), dealt([c[1] for c in LICENCE_CASES]).alias("url"))
+    told = constructors.licences_judged(rows, "text", "url").withColumnsRenamed({"licence_id": "id", "licence_reason": "reason"})
+    counted = told.groupBy("text", "url", "id", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("from_url", licences.licence_of_url(F.col("text")))
 
 
 LICENCE_LINE = r"(?i)(creativecommons\.org/[a-z0-9/.-]+|all rights reserved|cc[ -]by[a-z0-9 .-]*)"
