@@ -65,20 +65,32 @@ def word_bits(df: DataFrame, row: str, text: Column, *others: str) -> DataFrame:
     """``row, hash`` and ``others``: a 60-bit simhash of a text's lower-cased words of letters and digits, each occurrence counted.
 
     A bit is set if it is set in the digests of more than half of the words; a
-    text without words has none. Texts are dealt by ``row`` once; their words
-    are counted and summed where they are, and a word's digest is taken once
-    per text.
+    text without words has none. Texts are hashed where they are read, in
+    batches, and aren't shuffled; a word's digest is remembered by the task.
     """
-    own = df.select(row, *others, text.alias("_text")).repartition(row)
-    words = own.select(row, *others, F.explode_outer(F.regexp_extract_all(F.lower("_text"), F.lit("[a-z0-9à-ž]+"), 0)).alias("word"))
-    counted = words.groupBy(row, *others, "word").agg(F.count("word").alias("n"))
-    bits = counted.withColumn("d", F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long"))
-    ones = [F.sum(F.when(F.getbit("d", F.lit(i)) == 1, F.col("n"))).alias(f"b{i}") for i in range(60)]
-    summed = bits.groupBy(row, *others).agg(F.sum("n").alias("all"), *ones)
-    total = F.lit(0).cast("long")
-    for i in range(60):
-        total = total + F.when(2 * F.coalesce(F.col(f"b{i}"), F.lit(0)) > F.col("all"), F.lit(1 << i)).otherwise(F.lit(0))
-    return summed.select(row, *others, F.when(F.col("all") > 0, total).alias("hash"))
+    own = df.select(row, *others, F.lower(text).alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        known: dict[str, int] = {}
+        for pdf in batches:
+            out = []
+            for t in pdf.pop("text"):
+                words = Counter(re.findall("[a-z0-9à-ž]+", t or ""))
+                if len(known) > 500_000:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
+                h = np.fromiter(map(known.__getitem__, words), dtype="<u8", count=len(words))
+                n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+                ones = n @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+                out.append(int(np.packbits(2 * ones > n.sum(), bitorder="little").view("<i8")[0]) if words else None)
+            yield pdf.assign(hash=pd.array(out, dtype="Int64"))
+
+    return own.mapInPandas(hashed, f"{kinds}, hash long")
 
 
 def greedy_drop(pairs: DataFrame, order: DataFrame) -> DataFrame:
@@ -175,8 +187,9 @@ def text_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = Counter(re.findall(r"\w+", (text or "").lower()))
             if len(known) > 500_000:
                 known.clear()
-            for w in words.keys() - known.keys():
-                known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            for w in words:
+                if w not in known:
+                    known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
             h = np.fromiter(map(known.__getitem__, words), dtype="<u8", count=len(words))
             n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
             ones = n @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import licences, names, publication, urls
-from ..operators import caps, fetching, importing, lookups, reports, splitting
+from ..operators import caps, constructors, fetching, importing, lookups, reports, splitting
 from .base import query, values_sql
 
 BY, NC2, SA4 = "https://creativecommons.org/licenses/by/{}/", "https://creativecommons.org/licenses/by-nc/2.0/", "https://creativecommons.org/licenses/by-sa/4.0/"
@@ -133,9 +133,9 @@ def import_rows(t):
     classes = media(t).withColumnRenamed("id", "licence")
     of_class = lookups.alias_lookup(classes, "class", known.where(~F.col("key").isin("c3", "c19")), aliases)
     rows = of_class.withColumn("mapped", F.when(F.col("id").isNotNull(), F.concat(F.lit("c"), "id")))
-    decision = licences.photo_decision(F.col("text"), F.col("url"))
+    rows = constructors.licences_judged(rows, "text", "url")
     rules = [
-        ("unmapped", F.col("mapped").isNull()), ("license", decision != ""), ("author", publication.blank(F.col("creator"))),
+        ("unmapped", F.col("mapped").isNull()), ("license", F.col("licence_reason") != ""), ("author", publication.blank(F.col("creator"))),
         ("status", licences.status_rejection(F.col("status")) == "identification_not_allowlisted"),
     ]
     inat = F.when(F.col("who") % 3 == 0, F.col("who").cast("string"))

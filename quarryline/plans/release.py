@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, names
 from ..operators import evaluation, gates, images, importing, lookups, reports
+from ..operators.graph import checkpointed
 from .base import query, values_sql
 from .records import CLASSES, ENERGY_SQL, GATE, PREDICTED, L, logits
 
@@ -63,8 +64,12 @@ def steal_rates(t):
 
 @query("confident_toxic", f"WITH {DECIDED} SELECT CAST(count(*) FILTER (WHERE label IN (1, 2) AND {CONFIDENT}) AS BIGINT) AS confident, CAST(count(*) FILTER (WHERE label IN (1, 2)) AS BIGINT) AS toxic FROM d")
 def confident_toxic(t):
+    return _confident_toxic(decided(t))
+
+
+def _confident_toxic(rows):
     toxic = F.col("label").isin(1, 2)
-    return decided(t).agg(F.count_if(toxic & evaluation.confident(F.col("d"), EDIBLE)).alias("confident"), F.count_if(toxic).alias("toxic"))
+    return rows.agg(F.count_if(toxic & evaluation.confident(F.col("d"), EDIBLE)).alias("confident"), F.count_if(toxic).alias("toxic"))
 
 
 REPORT = f"""{DECIDED}, v AS (SELECT max(energy) AS t FROM (SELECT energy, row_number() OVER (ORDER BY energy) AS k, count(*) OVER () AS c FROM d WHERE vec_id % 2 = 0) WHERE k <= greatest(1, ceil(0.97 * c - 1e-9))),
@@ -76,7 +81,7 @@ REPORT = f"""{DECIDED}, v AS (SELECT max(energy) AS t FROM (SELECT energy, row_n
 
 def report(t):
     """The metrics of a report: rates on odd rows, the threshold fitted on even ones."""
-    rows = decided(t)
+    rows = checkpointed(decided(t))  # made once for all that follows
     fitted, held = rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1")
     threshold = reports.keep_threshold(fitted, "energy").select("threshold")
     rates = held.groupBy("label").agg(
@@ -84,7 +89,7 @@ def report(t):
     )
     macro = rates.where("label < 8").agg(F.avg("top1").alias("macro_top1"), F.avg("top3").alias("macro_top3"))
     kept = held.join(F.broadcast(threshold)).agg(evaluation.rate(F.col("energy") <= F.col("threshold")).alias("keep_rate"))  # one row each from here on
-    toxic = confident_toxic(t).select(F.col("confident").alias("confident_toxic"))
+    toxic = _confident_toxic(rows).select(F.col("confident").alias("confident_toxic"))
     one = macro.join(F.broadcast(threshold)).join(F.broadcast(kept)).join(F.broadcast(toxic))
     return evaluation.metrics(one.select("macro_top1", "macro_top3", "threshold", "keep_rate", "confident_toxic"))
 
