@@ -238,15 +238,22 @@ def test_packer_follows_the_rule(seed):
     assert packer.closed["drained"] <= most
 
 
-def test_drain_is_a_small_part_of_a_partition(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+def test_placement_cuts_nothing_and_the_drain_is_small(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
     encode = encoder(vocabulary("word_bpe_49k.json"), True).encode
-    packer = packing.Packer(2048)
+    packer, most = packing.Packer(2048), 0
     for doc, text in rows:
         packer.add(doc, encode(text) + b"\1\0\0\0")
+        most = max(most, packer.n_open)
+    assert packer.cut == 0 and most < 600
     packer.drain()
-    assert packer.closed["drained"] <= packing.MOST_OPEN and packer.closed["placed"] > 3 * packer.closed["drained"]
+    assert packer.closed["drained"] < 0.15 * sum(packer.closed.values())
     assert len(packer.out) < 1.6 * len(rows)
+    packer = packing.Packer(2048)  # documents that can't share a window
+    for doc in range(6000):
+        packer.add(doc, bytes(4 * 1100))
+        assert packer.n_open <= packing.MOST_OPEN
+    assert packer.cut > 0
 
 
 def brute_quality(text):
