@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 97.5 percentile of the standard normal; genera for which a likely candidate is dangerous; from which probability.
+# 97.5 percentile of the standard normal; from which probability a candidate is dangerous; the classes that are never shown.
 WILSON_Z = 1.959963984540054
 DANGER_FROM = 0.10
+BACKGROUND, UNKNOWN = "not_a_mushroom", "unknown_mushroom"
 
 
 def _sum(values: Column) -> Column:
@@ -96,3 +97,8 @@ def wilson(successes: Column, total: Column, z: float = WILSON_Z) -> tuple[Colum
     margin = z * F.sqrt((p * (1.0 - p) + z2 / (4.0 * n)) / n) / low
     # greatest and least skip nulls
     return F.when(n.isNotNull(), F.greatest(F.lit(0.0), center - margin)), F.when(n.isNotNull(), F.least(F.lit(1.0), center + margin))
+
+
+def hidden_ids(background: str | None = None, unknown: str | None = None) -> list[str]:
+    """Classes that are never shown as candidates; a blank setting stands for its default."""
+    return sorted({background or BACKGROUND, unknown or UNKNOWN})

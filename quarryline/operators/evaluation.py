@@ -67,3 +67,42 @@ def every(df: DataFrame, holds: Column) -> DataFrame:
 def strict_sum(df: DataFrame, value: Column, *keys: str) -> DataFrame:
     """Sums that are null if any input isn't a whole count."""
     return df.groupBy(*keys).agg(F.when(F.bool_and(value.isNotNull()), F.sum(value)).alias("total"))
+
+
+def attributed(unverified: Column, licence: Column, text: Column, url: Column, creator: Column, image_url: Column, source_url: Column) -> Column:
+    """Whether a row's credit is complete: verified, an exact id that may be trained on, a creator, and, but for the restricted set, an image and a source.
+
+    Non-commercial and share-alike ids also need text and https URL of that
+    very licence and version. An unversioned or unknown id isn't exact.
+    """
+    from ..functions import licences
+
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    family = licences.family(licence)
+    strict = (licences.photo_decision(F.coalesce(F.nullif(text, F.lit("")), licence), url) == "") & (licences.parsed(F.coalesce(F.nullif(text, F.lit("")), licence), url) == licence)
+    placed = (licence == "df20") | ((~family.isin("cc-by-nc", "cc-by-sa") | strict) & filled(image_url) & filled(source_url))
+    return F.coalesce(~F.coalesce(unverified, F.lit(False)) & licences.usage(licence).isNotNull() & (F.trim(creator) != "") & placed, F.lit(False))
+
+
+def unknown_metrics(df: DataFrame, unknown: Column, known: Column, found: Column, taken: Column, name: str, relation: str, label: str, watched: list, least: int = 10) -> DataFrame:
+    """``metric, name, support, rate`` of how unknown kinds are met: one pass over the rows.
+
+    ``unknown`` marks held-out rows, ``found`` those whose first guess is the
+    hidden class, ``known`` rows of shown classes, and ``taken`` those that a
+    decision gives to the hidden class. Rates: recall of held-out rows, over
+    all, by taxon of ``least`` rows or more and by relation; known rows taken,
+    over all and of each ``watched`` label. A rate without support is null;
+    watched labels without rows keep theirs; a blank taxon is none.
+    """
+    rows = df.select(unknown.alias("u"), known.alias("k"), found.alias("f"), taken.alias("t"), F.col(name).cast("string").alias("taxon"), F.col(relation).cast("string").alias("relation"), F.col(label).cast("string").alias("label"))
+    cases = {
+        "held_out_recall": (F.col("u"), F.lit(""), F.col("f")), "taxon_recall": (F.col("u") & (F.col("taxon") != ""), F.col("taxon"), F.col("f")),
+        "relation_recall": (F.col("u"), F.col("relation"), F.col("f")), "known_taken": (F.col("k"), F.lit(""), F.col("t")),
+        "watched_taken": (F.col("k") & F.col("label").isin(*map(str, watched)), F.col("label"), F.col("t")),
+    }
+    each = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(m).alias("metric"), n.alias("name"), hit.alias("hit"))) for m, (test, n, hit) in cases.items()]))
+    got = rows.select(F.explode(each).alias("x")).select("x.*").groupBy("metric", "name").agg(F.count(F.lit(1)).alias("support"), rate(F.col("hit")).alias("rate"))
+    spark = df.sparkSession
+    expected = spark.createDataFrame([("held_out_recall", ""), ("known_taken", ""), *(("watched_taken", str(w)) for w in watched)], "metric string, name string")
+    out = expected.join(got, ["metric", "name"], "full_outer").withColumn("support", F.coalesce("support", F.lit(0)))
+    return out.where((F.col("metric") != "taxon_recall") | (F.col("support") >= least))

@@ -57,3 +57,9 @@ def fact_problem(tokens: dict[str, tuple[Column, list[str], bool]], ranges: dict
     for name, bad in reversed(checks):
         out = F.when(F.coalesce(bad, F.lit(True)), name).otherwise(out)
     return out
+
+
+def partition_sizes(df: DataFrame, *keys: str) -> DataFrame:
+    """Of rows with an ``outcome``: ``matches``, ``unverified`` and ``visible``, both together."""
+    sizes = df.groupBy(*keys).agg(F.count_if(F.col("outcome") == "match").alias("matches"), F.count_if(F.col("outcome") == "unverified").alias("unverified"))
+    return sizes.withColumn("visible", F.col("matches") + F.col("unverified"))

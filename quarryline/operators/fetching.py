@@ -75,3 +75,8 @@ def upgraded(df: DataFrame, columns: list[str], verified: DataFrame, resource: C
     all_ok = F.coalesce("_all", F.lit(True))
     new = {c: F.when(all_ok, F.regexp_replace(F.col(c), r"^\s*(?i:http)://", "https://")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(new).withColumn("reason", F.when(~all_ok, "https_not_verified_for_url")).drop("_row", "_all")
+
+
+def dropped_per_class(dropped: DataFrame, label: str) -> DataFrame:
+    """Dropped rows of each class; those without one count under a blank name."""
+    return dropped.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("")).alias(label)).agg(F.count(F.lit(1)).alias("n"))

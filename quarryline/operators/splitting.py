@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
-from .ordering import running_sums
+from .ordering import marked_rows, running_sums
 
 SPLITS = ("train", "val", "test")
 
@@ -56,3 +56,23 @@ def held_out_of_place(df: DataFrame, held_out: Column, split: str = "split") ->
     """The rows without held-out ones outside test, and those."""
     bad = F.coalesce(held_out, F.lit(False)) & (F.col(split) != "test")
     return df.where(~bad), df.where(bad)
+
+
+class LeakingSplit(ValueError):
+    """A test row that holds a key of the reference."""
+
+
+def assigned(df: DataFrame, label: str, component: str, keys: str, reference: DataFrame, key: str = "key", val: float = 0.15, test: float = 0.15, seed: int = 0) -> DataFrame:
+    """``split_components`` in which a component with a row that holds a ``key`` of the reference never goes to test, checked afterwards.
+
+    ``keys`` is an array column. A test row with a reference key fails the
+    whole assignment: the check doesn't trust how the split came about.
+    """
+    known = reference.select(F.col(key).alias("_key")).distinct()
+    held = marked_rows(df, "_at")
+    hit = held.select("_at", F.explode(keys).alias("_key")).join(known, "_key", "left_semi").select("_at").distinct().withColumn("_hit", F.lit(True))
+    out = checkpointed(split_components(held.join(hit, "_at", "left"), label, component, F.col("_hit"), val, test, seed))
+    leaks = out.where("split = 'test'").select(F.explode(keys).alias("_key")).join(known, "_key", "left_semi").limit(5).collect()
+    if leaks:
+        raise LeakingSplit(f"keys of the reference in test: {[r[0] for r in leaks]}")
+    return out.drop("_at", "_hit")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gatekeeping, identities, imports, media, naming, records, release, scalars  # noqa: F401  they register their queries
+from . import audits, gatekeeping, identities, imports, media, naming, records, release, scalars  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 
