@@ -464,6 +464,15 @@ def brute_url(url):
     return host, path, best and best[3], best[4] if best else "allow"
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{v} {h}{p}" for v, h, p in registry.URL_RULES] == contract.split(", ")
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://a.net/de/1", "http://www.example.net/de/8", "http://example.net/de/7", "http://b.org/es/", "http://b.org/de/"]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    says = [(r.rule, r.verdict) for r in registry.op9_url_rules(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert says == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_url_rules_match_brute_force(spark, most):
     urls = [r[0] for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect()]
