@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from .ordering import marked_rows
 
 
-def outcomes(df: DataFrame, unit: list[str], ok: Column, reason: Column, cap: int, ended: Column) -> DataFrame:
+def outcomes(df: DataFrame, unit: list[str], ok: Column, reason: Column, cap: int, ended: Column, told_at_cap: bool = False) -> DataFrame:
     """Of each unit: selected, accepted and failed rows, the shortfall of a unit that ended below the cap, and why.
 
     ``reason`` of a row that isn't ``ok`` falls back to ``other``. A unit that
     stopped for its budget has no licensed count; ``balanced`` tells that the
-    counts add up.
+    counts add up. With ``told_at_cap``, a unit that ended at its cap or above
+    it has no shortfall, but why it ended and its licensed count are told too.
     """
     good = F.coalesce(ok, F.lit(False))
     marked = df.withColumn("_ok", good).withColumn("_why", F.when(~good, F.coalesce(F.nullif(F.trim(reason), F.lit("")), F.lit("other")))).withColumn("_end", ended)
     one = marked.groupBy(*unit).agg(F.count(F.lit(1)).alias("selected"), F.count_if("_ok").alias("accepted"), F.count("_why").alias("failed"), F.max("_end").alias("_end"))
     exhausted = F.col("_end").isNotNull() & (F.col("accepted") < cap)
+    told = F.col("_end").isNotNull() if told_at_cap else exhausted
     return one.select(
         *unit, "selected", "accepted", "failed",
         F.when(exhausted, F.lit(cap) - F.col("accepted")).otherwise(0).alias("shortfall"),
-        F.when(exhausted, F.col("_end")).alias("exhausted_reason"),
-        F.when(exhausted & (F.col("_end") != "replacement_budget"), F.col("selected")).alias("licensed"),
+        F.when(told, F.col("_end")).alias("exhausted_reason"),
+        F.when(told & (F.col("_end") != "replacement_budget"), F.col("selected")).alias("licensed"),
         (F.col("selected") == F.col("accepted") + F.col("failed")).alias("balanced"),
     )
 
