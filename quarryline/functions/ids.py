@@ -62,11 +62,16 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def grid_key(prefix: Column, who: Column, lat: Column, lon: Column) -> Column:
-    """``grid:...`` of a square of 0.01 degrees, rounded half to even; null without a finite place or a person."""
-    cell = lambda x: F.format_string("%.2f", F.bround(x / F.lit(0.01), 0) * F.lit(0.01))
+def grid_key(prefix: Column, who: Column, lat: Column, lon: Column, signed_zero: bool = False) -> Column:
+    """``grid:...`` of a square of 0.01 degrees, rounded half to even; null without a finite place, a prefix or a person.
+
+    The square around zero is ``0.00``; with ``signed_zero``, places just below
+    zero keep their sign (``-0.00``).
+    """
+    rounded = lambda x: F.rint(x / F.lit(0.01)) * F.lit(0.01)
+    cell = lambda x: F.format_string("%.2f", rounded(x) if signed_zero else rounded(x) + F.lit(0.0))
     finite = ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) < float("inf")) & (F.abs(lon) < float("inf"))
-    return F.when(finite & who.isNotNull(), F.concat_ws(":", F.lit("grid"), prefix, who, cell(lat), cell(lon)))
+    return F.when(finite & prefix.isNotNull() & who.isNotNull(), F.concat_ws(":", F.lit("grid"), prefix, who, cell(lat), cell(lon)))
 
 
 def usable_place(lat: Column, lon: Column) -> Column:

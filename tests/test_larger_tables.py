@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
+from quarryline.functions import ids
 from quarryline.operators import fetching
 from quarryline.plans import catalogue
 
@@ -30,3 +31,14 @@ def test_units_that_reach_the_cap_say_why_they_ended(spark, tmp_path):
     few = spark.createDataFrame([("u", True), ("u", False)], "unit string, ok boolean")
     told = fetching.outcomes(few, ["unit"], F.col("ok"), F.lit("x"), 1, F.lit("end_of_records")).first()
     assert (told.shortfall, told.exhausted_reason, told.licensed) == (0, None, None)
+
+
+def test_places_around_zero(spark, tmp_path):
+    balances = [-0.51, -0.5, -0.3, -0.01, 0.0, 0.01, 0.5, 1.5, -1.5, 57.995, -99.0]
+    rows = [(i, f"Customer#{i}", b, "FURNITURE") for i, b in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got, expected = both(spark, tmp_path, "geo_grid_key", "customer")
+    assert got == expected and (2, "grid:FURNITURE:customer#2:-0.00:2.00", True) in got
+    place = spark.createDataFrame([(-0.003, 0.003, "c"), (0.003, -0.003, "c"), (1.0, 1.0, None)], "lat double, lon double, c string")
+    keys = [r.k for r in place.select(ids.grid_key(F.col("c"), F.lit("p"), F.col("lat"), F.col("lon")).alias("k")).collect()]
+    assert keys == ["grid:c:p:0.00:0.00"] * 2 + [None]
