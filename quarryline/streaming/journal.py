@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -20,33 +19,33 @@ CHANGES = "owner string, id string, seq long, payload string, live boolean"
 
 
 class Newest(StatefulProcessor):
-    """Of each owner the ``n`` ids with the newest last change; reports every id whose record changed, was deleted or had to go."""
+    """Of each owner the ``n`` ids with the newest last change; reports every id whose record changed, was deleted or had to go.
+
+    An owner's records are one value, read and written once a batch: a call for
+    each record costs more than all else.
+    """
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.records = handle.getMapState("records", "id string", "seq long, payload string")
+        self.records = handle.getValueState("records", "ids array<string>, seqs array<long>, payloads array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = {k[0]: (v[0], v[1]) for k, v in self.records.iterator()}
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        stored = self.records.get()
+        held = {i: (seq, payload) for i, seq, payload in zip(*stored)} if stored is not None else {}
         before = dict(held)
-        for pdf in rows:
-            for i, seq, payload in zip(pdf["id"], pdf["seq"], pdf["payload"]):
-                payload = None if pd.isna(payload) else payload
-                if i not in held or seq > held[i][0]:
-                    held[i] = (int(seq), payload)
-            if len(held) > 2 * self.n:
-                held = self._newest(held)
+        for _, i, seq, payload in rows:
+            if i not in held or seq > held[i][0]:
+                held[i] = (seq, payload)
+                if len(held) > 2 * self.n:
+                    held = self._newest(held)
         held = self._newest(held)
         changed = [i for i in {**before, **held} if held.get(i) != before.get(i)]
+        if changed:
+            self.records.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
         for i in changed:
-            if i in held:
-                self.records.updateValue((i,), held[i])
-            else:
-                self.records.removeKey((i,))
-        out = [(key[0], i, *held.get(i, before.get(i)), i in held and held[i][1] is not None) for i in changed]
-        yield pd.DataFrame(out, columns=["owner", "id", "seq", "payload", "live"]).astype({"seq": "int64", "live": "bool", "payload": "object"})
+            yield Row(owner=key[0], id=i, seq=held.get(i, before.get(i))[0], payload=held.get(i, before.get(i))[1], live=i in held and held[i][1] is not None)
 
     def _newest(self, held: dict) -> dict:
         return dict(sorted(held.items(), key=lambda x: (-x[1][0], x[0]))[: self.n])
@@ -68,7 +67,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 def keep(lines: DataFrame, root: str, n: int, **trigger) -> list[StreamingQuery]:
     """Starts the journal below ``root`` from a stream of lines: one query keeps records, one sets unreadable lines aside."""
     rows = parsed(lines)
-    changes = rows.where("id IS NOT NULL").groupBy("owner").transformWithStateInPandas(Newest(n), CHANGES, "Update", "None")
+    changes = rows.where("id IS NOT NULL").select("owner", "id", "seq", "payload").groupBy("owner").transformWithState(Newest(n), CHANGES, "Update", "None")
 
     def to(folder: str, df: DataFrame, mode: str) -> StreamingQuery:
         def write(batch: DataFrame, number: int) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import ids
 from quarryline.operators import fetching
 from quarryline.plans import catalogue
+from quarryline.streaming import journal
 
 
 def both(spark, folder, name, table):
@@ -42,3 +43,25 @@ def test_places_around_zero(spark, tmp_path):
     place = spark.createDataFrame([(-0.003, 0.003, "c"), (0.003, -0.003, "c"), (1.0, 1.0, None)], "lat double, lon double, c string")
     keys = [r.k for r in place.select(ids.grid_key(F.col("c"), F.lit("p"), F.col("lat"), F.col("lon")).alias("k")).collect()]
     assert keys == ["grid:c:p:0.00:0.00"] * 2 + [None]
+
+
+def test_an_owners_journal_costs_two_calls_of_state_a_batch():
+    class Value:
+        calls, held = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    value = Value()
+    handle = type("Handle", (), {"getValueState": lambda self, name, schema: value})()
+    newest = journal.Newest(6)
+    newest.init(handle)
+    first = list(newest.handleInputRows(("a",), iter([("a", f"i{n % 40}", n, f"p{n}") for n in range(400)]), None))
+    assert value.calls == 2 and {r.seq for r in first} == set(range(394, 400)) and all(r.live for r in first)
+    again = list(newest.handleInputRows(("a",), iter([("a", "i39", 400, None), ("a", "i1", 3, "late")]), None))
+    assert value.calls == 4 and [tuple(r) for r in again] == [("a", "i39", 400, None, False)]
