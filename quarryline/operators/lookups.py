@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
 from .ordering import marked_rows
 
+#: Rows of a table that is sent to every task of a join at most; larger ones are shuffled.
+MOST_SENT = 200_000
+
+
+def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df``, written once and marked to be sent to every task if it has at most ``most`` rows.
+
+    Spark can't know beforehand how small the outcome of a window or a distinct
+    is, and shuffles the large side of a join for it, by a handful of keys.
+    """
+    own = checkpointed(df)
+    return F.broadcast(own) if own.limit(most + 1).count() <= most else own
+
 
 def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in ``order``, which must be total for a defined result."""

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quarryline.functions import ids
-from quarryline.operators import fetching
+from quarryline.operators import fetching, lookups
 from quarryline.plans import catalogue
 from quarryline.streaming import journal
 
@@ -65,3 +65,12 @@ def test_an_owners_journal_costs_two_calls_of_state_a_batch():
     assert value.calls == 2 and {r.seq for r in first} == set(range(394, 400)) and all(r.live for r in first)
     again = list(newest.handleInputRows(("a",), iter([("a", "i39", 400, None), ("a", "i1", 3, "late")]), None))
     assert value.calls == 4 and [tuple(r) for r in again] == [("a", "i39", 400, None, False)]
+
+
+def test_split_makes_windows_of_texts_once_and_sends_those_of_the_benchmark(spark):
+    plan = catalogue.queries()["split_leak_free"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ReadSchema: struct<doc_id:bigint,text:string" not in plan
+    plan = catalogue.queries()["benchmark_leak_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    large = lookups.sent(spark.range(11).withColumn("k", F.col("id")), 10)
+    assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
