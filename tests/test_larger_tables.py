@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarryline.functions import ids
-from quarryline.operators import fetching, lookups
+from quarryline.operators import dedup, fetching, lookups
 from quarryline.plans import catalogue
 from quarryline.streaming import journal
 
@@ -74,3 +75,22 @@ def test_split_makes_windows_of_texts_once_and_sends_those_of_the_benchmark(spar
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     large = lookups.sent(spark.range(11).withColumn("k", F.col("id")), 10)
     assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
+
+
+def test_hashing_remembers_a_bounded_number_of_words(monkeypatch):
+    made = Counter()
+
+    def digest(word):
+        made[word] += 1
+        return int(word)
+
+    monkeypatch.setattr(dedup, "MOST_KNOWN", 100)
+    texts = [" ".join(str(50 * i + j) for j in range(50)) for i in range(5)] + ["0 0 1", "", None, " ".join(map(str, range(5000)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["n", "text"])
+    (out,) = dedup._hashed(iter([batch]), str.split, digest)
+    expected = []
+    for t in texts:
+        words = [int(w) for w in (t or "").split()]
+        expected.append(sum(1 << i for i in range(64) if 2 * sum(w >> i & 1 for w in words) > len(words)) if words else None)
+    assert out.column("hash").to_pylist() == expected and out.schema.names == ["n", "hash"]
+    assert made["0"] == 3  # once, once more after the others had filled the table, and once with the last text
