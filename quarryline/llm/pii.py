@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, whole_row, with_texts, written
+from ._common import checkpointed, few_rows, whole_row, with_texts, written
 
 #: Kinds in the order in which spans that start together are listed; ``term`` is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -53,8 +53,10 @@ LONGEST_CLASS = 8
 FILTER_BITS = 1 << 27
 #: Marks of documents by classes that a task holds at once, a byte each.
 MARKS = 20_000_000
-#: Counts that a task holds before it passes them on.
-MOST_HELD = 200_000
+#: Counts that a task holds before it passes them on or adds them up, a few hundred bytes each.
+MOST_HELD = 50_000
+#: Counts in a row where a task sends those of all wanted names as one list.
+SLICE = 4096
 
 
 def luhn(digits: str) -> bool:
@@ -152,31 +154,58 @@ def _longs(*columns) -> list[pa.Array]:
     return [pa.array(c, pa.int64()) for c in columns]
 
 
+def _slices(total: np.ndarray) -> pa.RecordBatch:
+    """A task's counts by number, SLICE to a row; slices of zeros are left out."""
+    cut = [(i, total[i : i + SLICE]) for i in range(0, len(total), SLICE)]
+    cut = [(i, part) for i, part in cut if part.any()]
+    return pa.RecordBatch.from_arrays([*_longs([i for i, _ in cut]), pa.array([part for _, part in cut], pa.list_(pa.int64()))], ["first", "counts"])
+
+
+def _summed(counts: DataFrame, names: list, name: str, kind: str, n: str) -> DataFrame:
+    """``name, n`` from the slices of all tasks: a row for each of ``names`` that was met.
+
+    A slice is one short row for each task, and its sums are held one list to
+    a slice, so neither rows nor memory follow tasks times names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for first, own in zip(batch.column("first").to_pylist(), batch.column("counts")):
+                own = own.values.to_numpy()
+                held[first] = held[first] + own if first in held else own
+        for first, total in held.items():
+            on = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([names[first + i] for i in on.tolist()], pa.string() if kind == "string" else pa.int64()), pa.array(total[on])], [name, n])
+
+    return counts.repartition("first").mapInArrow(run, f"{name} {kind}, {n} long")
+
+
 def _entity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         rows = [(h, e) for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()) for e in {entity_hash(k, text[a:b]) for a, b, k in base_spans(text)}]
         yield pa.RecordBatch.from_arrays(_longs(*(zip(*rows) if rows else ((), ()))), ["h", "entity"])
 
 
 def _pair_rows(least_contexts: int, named: set[int] | None):
-    """Documents per (entity, term), counted within a task; of the texts' hashes as many as are needed to tell that there are enough."""
+    """Documents per (entity, term), counted within a task, and the term as a word; of the texts' hashes as many as are needed to tell that there are enough."""
 
-    def flushed(held: dict[tuple[int, int], tuple[int, tuple[int, ...]]]) -> pa.RecordBatch:
+    def flushed(held: dict[tuple[int, int], tuple[int, tuple[int, ...], str]]) -> pa.RecordBatch:
         e, t = zip(*held) if held else ((), ())
-        n, texts = zip(*held.values()) if held else ((), ())
-        return pa.RecordBatch.from_arrays([*_longs(e, t, n), pa.array(texts, pa.list_(pa.int64()))], ["entity", "term", "n", "texts"])
+        n, texts, words = zip(*held.values()) if held else ((), (), ())
+        return pa.RecordBatch.from_arrays([*_longs(e, t, n), pa.array(texts, pa.list_(pa.int64())), pa.array(words, pa.string())], ["entity", "term", "n", "texts", "word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
-        for batch in batches:
+        held: dict[tuple[int, int], tuple[int, tuple[int, ...], str]] = {}
+        for batch in few_rows(batches):
             own = [named] * batch.num_rows if named is not None else map(set, batch.column("entities").to_pylist())
             for h, text, wanted in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), own):
                 found = {entity_hash(k, text[a:b]) for a, b, k in base_spans(text)} & wanted
-                terms = [term_hash(w) for w in words_of(text)] if found else ()
+                terms = [(term_hash(w), w) for w in words_of(text)] if found else ()
                 for e in found:
-                    for t in terms:
-                        n, texts = held.get((e, t), (0, ()))
-                        held[e, t] = (n + 1, texts if h in texts or len(texts) >= least_contexts else (*texts, h))
+                    for t, w in terms:
+                        n, texts, word = held.get((e, t), (0, (), w))
+                        held[e, t] = (n + 1, texts if h in texts or len(texts) >= least_contexts else (*texts, h), min(w, word))
                     if len(held) > MOST_HELD:
                         yield flushed(held)
                         held = {}
@@ -185,37 +214,62 @@ def _pair_rows(least_contexts: int, named: set[int] | None):
     return run
 
 
-def _term_counts(wanted: set[int] | None):
-    """Documents per term, of ``wanted`` ones or of all, counted within a task, and the term as a word."""
-
-    def counted(held: Counter) -> pa.RecordBatch:
-        rows = [(t, w, n) for w, n in held.items() if (t := term_hash(w)) in wanted] if wanted is not None else [(term_hash(w), w, n) for w, n in held.items()]
-        t, w, n = zip(*rows) if rows else ((),) * 3
-        return pa.RecordBatch.from_arrays([*_longs(t), pa.array(w, pa.string()), *_longs(n)], ["term", "word", "n"])
+def _term_counts(wanted: list[int]):
+    """Documents per term of ``wanted``, counted within a task: a list of counts in their order, in slices."""
+    number = {t: i for i, t in enumerate(wanted)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for batch in batches:
+        total = np.zeros(len(wanted), np.int64)
+
+        def add() -> None:
+            for w, n in held.items():
+                if (i := number.get(term_hash(w))) is not None:
+                    total[i] += n
+            held.clear()
+
+        for batch in few_rows(batches):
             for text in batch.column("text").to_pylist():
                 if text:
                     held.update(words_of(text))
                     if len(held) > MOST_HELD:
-                        yield counted(held)
-                        held = Counter()
-        yield counted(held)
+                        add()
+        add()
+        yield _slices(total)
 
     return run
 
 
+def _all_term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per term, of all terms, counted within a task."""
+
+    def counted(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(_longs([term_hash(w) for w in held], held.values()), ["term", "n"])
+
+    held: Counter = Counter()
+    for batch in few_rows(batches):
+        for text in batch.column("text").to_pylist():
+            if text:
+                held.update(words_of(text))
+                if len(held) > MOST_HELD:
+                    yield counted(held)
+                    held = Counter()
+    yield counted(held)
+
+
 class _ClassTable:
     """Counts documents by class: for each known word the numbers of its wanted classes, laid end to end."""
 
-    def __init__(self, wanted: set[str] | None):
-        self.number = {c: i for i, c in enumerate(sorted(wanted))} if wanted is not None else {}
+    def __init__(self, wanted: list[str] | None):
+        self.number = {c: i for i, c in enumerate(wanted)} if wanted is not None else {}
         self.grows = wanted is None
+        self.total = np.zeros(len(self.number), np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words; the counts stay."""
         self.words: dict[str, int] = {}
         self.first, self.size, self.flat = [], [], []
-        self.total = np.zeros(len(self.number), np.int64)
 
     def of(self, word: str) -> int:
         at = self.words.get(word)
@@ -252,23 +306,26 @@ class _ClassTable:
         return pa.RecordBatch.from_arrays([pa.array([names[i] for i in on.tolist()], pa.string()), pa.array(self.total[on])], ["class", "n_c"])
 
 
-def _class_counts(wanted: set[str] | None):
-    """Documents with a word of a class, of ``wanted`` classes or of all, counted within a task."""
+def _class_counts(wanted: list[str] | None):
+    """Documents with a word of a class, counted within a task: of ``wanted`` classes as slices in their order, or of all by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = _ClassTable(wanted), []
-        for batch in batches:
+        for batch in few_rows(batches):
             for text in batch.column("text").to_pylist():
                 if text:
                     held.append(words_of(text))
-                    if len(held) == 1000:
+                    if len(held) == 250:
                         table.add(held)
                         held = []
                         if max(len(table.words), len(table.number) if table.grows else 0) > MOST_HELD:
-                            yield table.rows()
-                            table = _ClassTable(wanted)
+                            if table.grows:
+                                yield table.rows()
+                                table = _ClassTable(None)
+                            else:
+                                table.forget()
         table.add(held)
-        yield table.rows()
+        yield table.rows() if table.grows else _slices(table.total)
 
     return run
 
@@ -298,8 +355,8 @@ def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = L
     An entity of fewer texts than ``least_contexts`` has no such pair and is
     left out first, and so is one in every document. Pairs are counted within
     each task before they are shuffled; how many documents hold a term or a
-    class is counted for those of judged pairs alone, or for all words where
-    those are more than ``most_pairs``.
+    class is counted for those of judged pairs alone, a list of counts from
+    each task, or for all words where those are more than ``most_pairs``.
 
     Null and empty texts hold nothing but count as documents; repeated rows
     count each; a table without entities gives no rows, and so does an empty
@@ -318,15 +375,17 @@ def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = L
         named = None
         holding = texts.join(met.join(of_entity, "entity").groupBy("h").agg(F.collect_list("entity").alias("entities")), "h")
     pairs = checkpointed(
-        holding.mapInArrow(_pair_rows(least_contexts, named), "entity long, term long, n long, texts array<long>")
+        holding.mapInArrow(_pair_rows(least_contexts, named), "entity long, term long, n long, texts array<long>, word string")
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_te"), F.size(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("texts"))
+        .agg(F.sum("n").alias("n_te"), F.min("word").alias("word"), F.size(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("texts"))
         .where(F.col("texts") >= least_contexts)
         .drop("texts")
     )
-    wanted = {r[0] for r in pairs.select("term").distinct().limit(most_pairs + 1).collect()}
-    counted = texts.mapInArrow(_term_counts(wanted if len(wanted) <= most_pairs else None), "term long, word string, n long")
-    of_term = counted.groupBy("term").agg(F.sum("n").alias("n_t"), F.min("word").alias("word"))
+    wanted = sorted(r[0] for r in pairs.select("term").distinct().limit(most_pairs + 1).collect())
+    if len(wanted) <= most_pairs:
+        of_term = _summed(texts.mapInArrow(_term_counts(wanted), "first long, counts array<long>"), wanted, "term", "long", "n_t")
+    else:
+        of_term = texts.mapInArrow(_all_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     n = F.lit(float(texts.count()))
     strength = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
     judged = checkpointed(
@@ -338,10 +397,13 @@ def disclosures(docs: DataFrame, text_col: str = "text", least_contexts: int = L
     weak = judged.where(F.col("strength") < remove_at)
     lengths = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LONGEST_CLASS)))
     options = checkpointed(weak.where(F.length("word") > 1).select("entity", "term", "n_e", F.explode(F.transform(lengths, lambda i: F.left("word", i))).alias("class")))
-    names = {r[0] for r in options.select("class").distinct().limit(most_pairs + 1).collect()}
+    names = sorted(r[0] for r in options.select("class").distinct().limit(most_pairs + 1).collect())
     if not names:
         return judged.select("entity", "term", "strength", F.lit("").alias("class"))
-    of_class = texts.mapInArrow(_class_counts(names if len(names) <= most_pairs else None), "class string, n_c long").groupBy("class").agg(F.sum("n_c").alias("n_c"))
+    if len(names) <= most_pairs:
+        of_class = _summed(texts.mapInArrow(_class_counts(names), "first long, counts array<long>"), names, "class", "string", "n_c")
+    else:
+        of_class = texts.mapInArrow(_class_counts(None), "class string, n_c long").groupBy("class").agg(F.sum("n_c").alias("n_c"))
     common = options.join(of_class, "class").where(F.log(n / F.col("n_c")) < generalise_at * F.log(n / F.col("n_e")))
     best = common.groupBy("entity", "term").agg(F.max_by("class", F.length("class")).alias("class"))
     return judged.join(best, ["entity", "term"], "left").select("entity", "term", "strength", F.coalesce("class", F.lit("")).alias("class"))
@@ -427,7 +489,7 @@ def _joined_pairs(frame: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = lambda x: (bits[x >> 6] >> (x & 63)) & 1 == 1
-        for batch in batches:
+        for batch in few_rows(batches):
             rows: set[tuple] = set()
             for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 if found := {entity_hash(kind, text[a:b]) for a, b, kind in base_spans(text)}:
@@ -452,7 +514,7 @@ def _searched(frame: DataFrame, least_contexts: int, most_pairs: int, finish, sc
     strong = {} if many else strong_of(pairs.select("entity", "term", "class").collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column("text").to_pylist()
             own = [strong_of((f["entity"], f["term"], f["class"]) for f in fs or ()) for fs in batch.column("found").to_pylist()] if many else [strong] * len(texts)
             yield finish(batch.column("row"), texts, [_with_terms(t, base_spans(t), s) if t else [] for t, s in zip(texts, own)])

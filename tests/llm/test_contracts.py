@@ -7,9 +7,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quarryline.llm import decontam, langid, minhash, packing, pii, quality, registry, sharding, urlrules
+from quarryline.llm import _common, decontam, langid, minhash, packing, pii, quality, registry, sharding, urlrules
 from quarryline.llm.tokens import encoder, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -642,6 +644,34 @@ def test_pii_terms_match_brute_force(spark, docs, most):
         assert all(not c or f"<{c}*>" in r.clean for *_, c in own)
 
 
+def test_pii_counts_of_wanted_names_are_a_few_rows_of_each_task(spark):
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(5000)]
+    rows = [(t, " ".join(words[t % 7 :: 1 + t % 3])) for t in range(40)]
+    frame = spark.createDataFrame(rows, "h long, text string").repartition(4)
+    sets = [set(t.split()) for _, t in rows]
+    terms = sorted(map(pii.term_hash, words))
+    counts = frame.mapInArrow(pii._term_counts(terms), "first long, counts array<long>")
+    assert counts.count() == 4 * 2  # not tasks times terms
+    got = {r.term: r.n_t for r in pii._summed(counts, terms, "term", "long", "n_t").collect()}
+    assert got == {pii.term_hash(w): n for w in words if (n := sum(w in own for own in sets))}
+    classes = sorted({w[:k] for w in words for k in (1, 2, 3)} - {"a"}) + ["zzzz"]
+    begun = [{w[:k] for w in own for k in (1, 2)} for own in sets]
+    counts = frame.mapInArrow(pii._class_counts(classes), "first long, counts array<long>")
+    assert counts.count() <= 4 * 2
+    got = {r["class"]: r.n_c for r in pii._summed(counts, classes, "class", "string", "n_c").collect()}
+    assert got == {c: n for c in classes if (n := sum(c in own for own in begun))}
+
+
+def test_tasks_take_few_texts_at_once(spark):
+    texts = [None if i % 9 == 0 else f"t{i}" for i in range(1203)]
+    parts = list(_common.few_rows(iter([pa.RecordBatch.from_pydict({"text": texts}), pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})])))
+    assert max(b.num_rows for b in parts) <= 500 and [t for b in parts for t in b.column("text").to_pylist()] == texts
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    finish = lambda rows, own, spans: pa.RecordBatch.from_arrays([pa.array([len(own)] * len(own), pa.int64())], ["n"])
+    sizes = [r.n for r in pii._searched(frame.select(F.col("doc_id").alias("row"), "text"), 3, 10, finish, "n long").collect()]
+    assert len(sizes) == len(texts) and max(sizes) <= 500
+
+
 def test_pii_words_next_to_an_entity_are_never_cut(spark):
     rows = [(i, f"filler{chr(97 + i)} " + "q" * 900 + f" zoe@mail.example.com tail{chr(97 + i)}") for i in range(4)] + [(9 + i, f"plain words number {i}") for i in range(9)]
     got = {r.doc_id: r for r in pii.scrub(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
