@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Reasons and warnings of a decision.
 REJECTIONS = ("not_a_mushroom", "unknown_mushroom", "unclear")
 WARNINGS = ("dangerous_genus", "low_confidence")
+#: Unicode's white space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def kind(value: Column) -> Column:
@@ -16,8 +18,13 @@ def kind(value: Column) -> Column:
     return F.when(name.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT"), "NUMBER").otherwise(name)
 
 
+def is_object(value: Column) -> Column:
+    """Whether there is an object, without a description of all its fields."""
+    return F.try_variant_get(value, "$", "struct<_:string>").isNotNull()
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def at(value: Column, path: str) -> Column:

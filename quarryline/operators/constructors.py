@@ -55,7 +55,7 @@ def constructed(df: DataFrame, taxa: DataFrame, aliases: DataFrame, targets: Dat
     v, col = F.col("_v"), F.col
     read = df.select("order", "kind", "flagged", "staged", F.try_parse_json("raw").alias("_v"))
     cells = read.select(
-        "order", "kind", "flagged", "staged", F.coalesce(variants.kind(v) == "OBJECT", F.lit(False)).alias("readable"),
+        "order", "kind", "flagged", "staged", variants.is_object(v).alias("readable"),
         *[F.coalesce(variants.stripped(F.try_variant_get(v, f"$.{c}", "string")), F.lit("")).alias(f"c_{c}") for c in CELLS],
     )
     restricted, local, photo = col("kind") == "restricted", col("kind") == "local", col("kind") == "photo"
