@@ -13,6 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from quarryline.llm import decontam, minhash, packing, pii, quality
 from quarryline.llm._common import scratch_path
 
+#: Documents that a task's JVM and Python hand over at once, at most, and words whose ids the packing remembers.
+BATCH, WORDS = 1000, 300_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in batches of at most ``BATCH`` rows, held once by the JVM and once by Python.
+
+    It stays so, since a stage runs when its result is read. A smaller setting of the session's own is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:  # 0 and below mean no limit
+        spark.conf.set(name, BATCH)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines above their host's limit are cut from the others.
@@ -20,6 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and blank texts are rejected; a null source is a host of its
     own; repeated rows are judged alike.
     """
+    small_batches(spark)
     return quality.cleaned(docs)
 
 
@@ -29,6 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that share an id one stays; rows without an id stay all, and so do
     texts without words.
     """
+    small_batches(spark)
     return minhash.one_of_each(docs)
 
 
@@ -37,6 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and wordless texts stay; items without words or id have no windows.
     """
+    small_batches(spark)
     return decontam.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -46,6 +62,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts stay as they are; repeated rows count each in the
     statistics and are rewritten alike.
     """
+    small_batches(spark)
     return pii.sanitise(docs)
 
 
@@ -55,7 +72,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is its end id alone; repeated rows and ids are packed
     as rows of their own. Returns the columns of ``packing.PIECES``.
     """
-    return packing.pack(docs)
+    small_batches(spark)
+    return packing.pack(docs, most_known=WORDS)
 
 
 STAGES = [

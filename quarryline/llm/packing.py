@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, vocabulary
+from .tokens import MOST_KNOWN, encoder, vocabulary
 
 #: Open windows of a partition at most: 32 MB of ids. 10,000 documents of the test tables keep fewer than 500 open.
 MOST_OPEN = 4096
@@ -152,7 +152,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary_path: str | None = None, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", most_open: int = MOST_OPEN) -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary_path: str | None = None, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", most_open: int = MOST_OPEN, most_known: int = MOST_KNOWN) -> DataFrame:
     """Packs the token ids of every document into windows of ``window`` ids.
 
     Returns one row per piece: ``doc_id, start`` (ids of its document before
@@ -165,14 +165,15 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary_path:
 
     Each input partition is packed on its own in one pass, without a shuffle,
     and ends with at most one window that isn't full. Memory holds the open
-    windows only, ``most_open`` of them at most. ``sequence_id`` is unique:
-    partition number times 2**32 plus a counter.
+    windows only, ``most_open`` of them at most, and the ids of ``most_known``
+    words. ``sequence_id`` is unique: partition number times 2**32 plus a
+    counter.
     """
     path = vocabulary_path or vocabulary("word_bpe_49k.json")
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, lower).encode
+        encode = encoder(path, lower, most_known=most_known).encode
         packer = Packer(window, TaskContext.get().partitionId() << 32, most_open)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

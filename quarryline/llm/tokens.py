@@ -20,7 +20,7 @@ _OTHER = re.compile("[^\t-\r -~¡-įı-˿]")
 #: The split patterns of the two vocabulary files, for these characters.
 _WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Words and pieces remembered at most; then the memory starts anew.
+#: Words and pieces remembered at most, unless told otherwise; then the memory starts anew.
 MOST_KNOWN = 1_200_000
 
 
@@ -57,11 +57,12 @@ class PieceEncoder:
     ``lower`` tells a vocabulary of lower-cased words from one of all bytes.
     """
 
-    def __init__(self, path: str, lower: bool, width: int = 4):
+    def __init__(self, path: str, lower: bool, width: int = 4, most_known: int = MOST_KNOWN):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width
+        self.most_known = most_known
         self.tokenizer.encode_special_tokens = True
         self.lower = lower
         self.model = self.tokenizer.model
@@ -90,7 +91,7 @@ class PieceEncoder:
             return b""
         if not text.isascii() and _OTHER.search(text) or text.isascii() and not text.isprintable() and _OTHER.search(text):
             return self.whole(text)
-        if len(self.known) + len(self.first) + len(self.later) > MOST_KNOWN:
+        if len(self.known) + len(self.first) + len(self.later) > self.most_known:
             self.known.clear(), self.first.clear(), self.later.clear()
         if self.lower:
             return b"".join(map(self.first.__getitem__, text.lower().split()))
@@ -101,14 +102,14 @@ class PieceEncoder:
 
 
 @functools.cache
-def _encoder(path: str, lower: bool, width: int) -> PieceEncoder:
-    return PieceEncoder(path, lower, width)
+def _encoder(path: str, lower: bool, width: int, most_known: int) -> PieceEncoder:
+    return PieceEncoder(path, lower, width, most_known)
 
 
-def encoder(path: str, lower: bool, width: int = 4) -> PieceEncoder:
+def encoder(path: str, lower: bool, width: int = 4, most_known: int = MOST_KNOWN) -> PieceEncoder:
     """One encoder for each worker process, which gives back what it remembers for other work."""
     words.forget()
-    return _encoder(path, lower, width)
+    return _encoder(path, lower, width, most_known)
 
 
 @functools.cache

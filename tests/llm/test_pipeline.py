@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from quarryline.llm import decontam, minhash, packing, pii, quality
-from quarryline.llm.tokens import encoder, vocabulary
+from quarryline.llm.tokens import PieceEncoder, encoder, vocabulary
 
 from .test_contracts import SCHEMA, SF, base_of, brute_components, brute_hits, brute_kept, brute_spans, check_packing, odd_rows
 
@@ -64,3 +64,25 @@ def test_common_lines_are_cut(spark):
     rows = [(i, "Common  Line here\n" + " ".join(f"w{i}x{k}" for k in range(90)), None, "h" if i % 2 else None, 0) for i in range(60)]
     got = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")).collect()
     assert len(got) == 60 and all(r.text == base_of(rows[r.doc_id][1]) and r.n_chars == len(r.text) for r in got)
+
+
+def test_stages_hand_over_few_texts_at_once(spark):
+    """Batches of 10,000 texts took an executor over its 3,000 MB; a smaller setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    try:
+        for own, after in (("10000", 1000), ("0", 1000), ("64", 64)):
+            for stage in (corpus_pipeline.quality_rules, corpus_pipeline.remove_personal_data, corpus_pipeline.pack_sequences):
+                spark.conf.set(name, own)
+                stage(spark, docs, SF)
+                assert int(spark.conf.get(name)) == after
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_packing_remembers_few_words_and_packs_alike():
+    few = PieceEncoder(vocabulary("word_bpe_49k.json"), True, most_known=3)
+    for text in ("one two three four five, six seven", "seven six five four three two one", "one"):
+        assert few.encode(text) == few.whole(text)
+        assert len(few.first) + len(few.known) < 20
