@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import dedup, fetching, identity, importing, lookups, settling
+from quarryline.operators import dedup, fetching, graph, identity, importing, lookups, settling
 from quarryline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -163,3 +163,14 @@ def test_row_numbers_survive_a_shuffle(spark):
     parts = F.struct(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), F.regexp_extract("url", "//[^/]*(.*)", 1).alias("path"))
     got = fetching.upgraded(sites, ["u"], vouched, parts, "url").collect()
     assert all(r.u.startswith("https:") == (r.id % 977 % 2 == 0) for r in got) and len(got) == 20_000
+
+
+def test_rows_of_one_key_stay_out_of_the_rounds(spark, monkeypatch):
+    """What is iterated over is the keys of rows that hold several, each pair once, not all rows."""
+    seen, search = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges, *names: seen.append(edges.where(f"{names[0]} <> {names[1]}").count()) or search(edges, *names))
+    keys = {i: [f"k{i % 5}"] for i in range(100)} | {100: ["k1", "k3"], 101: ["k3", "k1"], 102: ["k9", None], 103: [], 104: None, 105: ["k9"]}
+    frame = spark.createDataFrame(list(keys.items()), "n long, keys array<string>").repartition(3)
+    clean = lambda i: [k for k in keys[i] or [] if k]
+    assert {r.n: r.component for r in graph.linked_rows(frame, "n", "keys").collect()} == plain_groups(sorted(keys), clean)
+    assert seen == [1]
